@@ -44,7 +44,7 @@ def put(uri: str, data: bytes) -> None:
     """Write a file whole: under another name first, so that a repeated or a lost task leaves no torn file."""
     filesystem, path = opened(uri)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with filesystem.open_output_stream(part) as out:
+    with filesystem.open_output_stream(part, compression=None) as out:
         out.write(data)
     filesystem.move(part, path)
 
@@ -55,7 +55,7 @@ class Replacing:
     def __init__(self, uri: str):
         self.filesystem, self.path = opened(uri)
         self.part = f"{self.path}.{uuid.uuid4().hex}.part"
-        self.out = self.filesystem.open_output_stream(self.part)
+        self.out = self.filesystem.open_output_stream(self.part, compression=None)
 
     def write(self, data: bytes) -> None:
         self.out.write(data)
@@ -71,7 +71,7 @@ class Replacing:
 
 def get(uri: str) -> bytes:
     filesystem, path = opened(uri)
-    with filesystem.open_input_stream(path) as stream:
+    with filesystem.open_input_stream(path, compression=None) as stream:
         return stream.read()
 
 
