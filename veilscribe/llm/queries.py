@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscribe.llm import mixing, packing, token_counts, token_files, url_lists, warc
+from veilscribe.llm import fertility, mixing, packing, token_counts, token_files, url_lists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op5_warc, op6_token_files, op7_url_lists, op8_token_counts)}
+def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.assess(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op5_warc, op6_token_files, op7_url_lists, op8_token_counts, op9_fertility)}
 
 _NUMBER = "CAST(('0x' || substr(md5({}), 1, 13)) AS BIGINT)".format
 SQL: dict[str, str] = {
