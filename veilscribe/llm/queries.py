@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscribe.llm import fertility, mixing, packing, token_counts, token_files, url_lists, warc
+from veilscribe.llm import fertility, mixing, packing, simhash, token_counts, token_files, url_lists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), length=1024, max_segments=64, max_loss=1024, with_ids=False)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, cover=simhash.Cover.exact(3))
+    return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of every document, with sources flattened to the square root of their sizes."""
     docs = _table(spark, sf_dir, "documents")
@@ -62,7 +67,7 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.assess(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op5_warc, op6_token_files, op7_url_lists, op8_token_counts, op9_fertility)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_mixing, op5_warc, op6_token_files, op7_url_lists, op8_token_counts, op9_fertility)}
 
 _NUMBER = "CAST(('0x' || substr(md5({}), 1, 13)) AS BIGINT)".format
 SQL: dict[str, str] = {
