@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscribe.llm import fertility, mixing, packing, simhash, token_counts, token_files, url_lists, warc
+from veilscribe.llm import embeddings, fertility, mixing, packing, simhash, token_counts, token_files, url_lists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.tempered(docs, power=0.5), seed=17).select("doc_id", "source", "copy", "copies", "place")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(_table(spark, sf_dir, "pages"), min_revisit_bytes=0)
     read = warc.read_archives(spark, archives, with_payload=False).filter(F.col("record_type").isin("response", "revisit"))
@@ -67,7 +71,7 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.assess(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_mixing, op5_warc, op6_token_files, op7_url_lists, op8_token_counts, op9_fertility)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_mixing, op4_embeddings, op5_warc, op6_token_files, op7_url_lists, op8_token_counts, op9_fertility)}
 
 _NUMBER = "CAST(('0x' || substr(md5({}), 1, 13)) AS BIGINT)".format
 SQL: dict[str, str] = {
@@ -92,6 +96,21 @@ drawn AS (
   GROUP BY d.doc_id, d.source)
 SELECT doc_id, source, copy, copies, {_NUMBER("'17|place|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || CAST(copy AS VARCHAR)")} AS place
 FROM (SELECT doc_id, source, copies, unnest(range(1, copies + 1)) AS copy FROM drawn WHERE copies > 0)""",
+    "op4_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reached AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings
+  UNION
+  SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.seen)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e
+JOIN (SELECT node, min(seen) AS component_id FROM reached GROUP BY node) c ON c.node = e.vec_id
+LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) n ON n.a = e.vec_id""",
     "op5_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS f FROM p)
