@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscribe.llm import embeddings, fertility, mixing, packing, simhash, token_counts, token_files, url_lists, warc
+from veilscribe.llm import embeddings, fertility, mixing, packing, simhash, substrings, token_counts, token_files, url_lists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +71,13 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.assess(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_mixing, op4_embeddings, op5_warc, op6_token_files, op7_url_lists, op8_token_counts, op9_fertility)}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_mixing, op4_embeddings, op5_warc, op6_token_files, op7_url_lists, op8_token_counts, op9_fertility, op10_substrings)}
 
 _NUMBER = "CAST(('0x' || substr(md5({}), 1, 13)) AS BIGINT)".format
 SQL: dict[str, str] = {
