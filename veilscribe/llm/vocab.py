@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from itertools import islice
 
 import numpy as np
@@ -18,8 +19,8 @@ import regex
 from tokenizers import Tokenizer
 
 DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Merged pre-tokens that a process remembers; beyond that it forgets them all.
-MEMO_ENTRIES = 250_000
+#: Merged pre-tokens that a process remembers; beyond that it forgets those not asked for of late.
+MEMO_ENTRIES = 500_000
 
 _PATTERN = regex.compile(public_tokenizers.PATTERN)
 # The same pattern spelt out for code points below U+0250, for the faster engine.
@@ -45,18 +46,24 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class _Memo(dict):
-    """Pre-token to packed ids; asks the library for what it lacks and stays bounded."""
+    """Pre-token to packed ids; asks the library for what it lacks and stays bounded.
+
+    Once full, what it holds becomes the older half; what is asked for again moves back.
+    """
 
     def __init__(self, fixed: dict[str, bytes], merge, limit: int):
         super().__init__(fixed)
-        self.merge, self.limit, self.fixed = merge, limit + len(fixed), fixed
+        self.merge, self.limit, self.fixed, self.older = merge, limit // 2 + len(fixed), fixed, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-            self.update(self.fixed)
-        found = self.merge(piece)
+        found = self.older.get(piece)
+        if found is None:
+            found = self.merge(piece)
         if len(piece) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+                self.update(self.fixed)
             self[piece] = found
         return found
 
@@ -84,6 +91,9 @@ class Encoder:
             raise ValueError(f"{path}: special strings that take their surroundings are not supported")
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         alphabet = byte_alphabet()
+        self._spell = {b: c for c, b in alphabet.items()}
+        self._ascii = {b: self._spell[b] for b in range(128)}
+        self._model, self._code = self.library.model, "H" if self.dtype.itemsize == 2 else "I"
         self.token_bytes = [b""] * self.size
         for text, i in self.library.get_vocab(with_added_tokens=False).items():
             self.token_bytes[i] = bytes(alphabet[c] for c in text)
@@ -99,7 +109,10 @@ class Encoder:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _merge(self, piece: str) -> bytes:
-        return self._packed(self._library_ids(piece))
+        """The library's merges of one pre-token, given in the vocabulary's stand-ins for bytes."""
+        spelt = piece.translate(self._ascii) if piece.isascii() else "".join(map(self._spell.__getitem__, piece.encode()))
+        tokens = self._model.tokenize(spelt)
+        return struct.pack(f"<{len(tokens)}{self._code}", *[t.id for t in tokens])
 
     def _prove(self) -> dict[str, int]:
         """Vocabulary strings that are one pre-token and that the library encodes as that one id."""
