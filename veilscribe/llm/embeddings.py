@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from veilscribe.llm import vocab
 from veilscribe.llm.graph import components
-from veilscribe.llm.store import Workspace, get, put
+from veilscribe.llm.store import Workspace, free, get, put
 
 #: Numbers in a block of vectors, about; and blocks in a stripe at least.
 BLOCK_NUMBERS, STRIPE = 1 << 16, 4
@@ -120,7 +120,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     non-finite component link with nothing, and vectors of different lengths do not
     link.  A null id counts only where a component has no other; component_id is then
     null and the row is kept.  Rows that repeat an id are rows of their own.  An empty
-    table gives no row.
+    table gives no row.  Other columns are ignored; a result named like the id has an
+    underscore after it.
 
     Vectors in the same direction, to the last bit, are reduced to one with their number
     by map-side aggregation.  The distinct ones are written as blocks of bounded size into the shared
@@ -215,4 +216,4 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     space.drop("blocks", "classes")
     out = rows.select("id", "key").join(classes, F.col("key") == F.col("at"), "left")
     component = F.when(F.col("at").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select("id", F.coalesce("links", F.lit(0)).cast("long"), component, F.col("id").eqNullSafe(component)).toDF(id_col, *free([id_col], "n_links", "component_id", "kept"))

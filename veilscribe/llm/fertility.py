@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscribe.llm import vocab
+from veilscribe.llm.store import free
 
 MULTI_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -164,6 +165,11 @@ def _repeated(words: list[str]) -> int:
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_fallback double, entropy double, band string, reason string"
 
 
+def result_names(carried) -> list[str]:
+    """What the results beside the carried columns are called."""
+    return free(carried, *(x.split()[0] for x in MEASURES.split(", ")))
+
+
 def assess(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", *, bands: dict[str, Band] | None = None, english: str = vocab.DEFAULT_VOCABULARY, multi: str = MULTI_VOCABULARY,
     least_words: int = 50, most_repeated: int = 50, carry: tuple[str, ...] = (),
@@ -175,24 +181,24 @@ def assess(
     document with no band for its language (a null one, too) is judged by its script.
     A null text is an empty one: no words, so base_failed, and null measures.  Ids may be
     null or repeat; each row is judged by itself.  ``carry`` names columns of ``docs``
-    to keep; they may not be named like a result (ValueError).  An empty table gives no
-    row.  One narrow pass over whole texts, without a shuffle.
+    to keep; a result named like one of them has an underscore after it.  An empty table
+    gives no row.  One narrow pass over whole texts, without a shuffle.
     """
     bands = BANDS if bands is None else bands
-    results = {x.split()[0] for x in MEASURES.split(", ")} | {"__lang", "__text"}
-    if clash := results & {c.lower() for c in (id_col, *carry)}:
-        raise ValueError(f"columns may not be named {sorted(clash)}")
     lang = F.col(lang_col) if lang_col else F.lit(None)
     kept = [id_col, *(c for c in carry if c != id_col)]
-    source = docs.select(*kept, lang.cast("string").alias("__lang"), F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept) + ", " + MEASURES
+    code_name, text_name = free(kept, "lang", "text")
+    source = docs.select(*kept, lang.cast("string").alias(code_name), F.col(text_col).alias(text_name))
+    results = result_names(kept)
+    kinds = [*(source.schema[c].dataType.simpleString() for c in kept), *(x.split()[1] for x in MEASURES.split(", "))]
+    schema = ", ".join(f"`{n}` {t}" for n, t in zip([*kept, *results], kinds, strict=True))
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] + [pa.float64()] * 3 + [pa.string()] * 2
 
     def run(batches):
         known = {"english": _vocabulary(english), "multi": _vocabulary(multi)}
         for batch in batches:
             out = []
-            for code, text in vocab.rows(batch, "__lang", "__text"):
+            for code, text in vocab.rows(batch, code_name, text_name):
                 text = text or ""
                 stats = base_stats(text)
                 name = code if code in bands else script_of(text)
@@ -201,6 +207,6 @@ def assess(
                 failed = stats[0] < least_words or 100 * stats[4] > most_repeated * stats[0]
                 reason = ("words" if stats[0] < least_words else "repetition") if failed else outside(band, *measures)
                 out.append((*stats, failed, reason is None, *measures, name, reason))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], [*kept, *(x.split()[0] for x in MEASURES.split(", "))])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], [*kept, *results])
 
     return source.mapInArrow(run, schema)

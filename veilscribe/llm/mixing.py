@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscribe.llm.store import Workspace
+from veilscribe.llm.store import Workspace, free
 
 #: Greater means are split into equal parts, each with a draw of its own; sums of Poisson draws are Poisson.
 PART_MEAN = 64.0
@@ -50,7 +50,7 @@ def _tables(mean_by_source: DataFrame) -> DataFrame:
         return F.struct(p.alias("p"), c.alias("c"), F.concat(acc["cdf"], F.array(c)).alias("cdf"))
 
     grown = F.aggregate(F.sequence(F.lit(1), last), F.struct(p0.alias("p"), p0.alias("c"), F.array(p0).alias("cdf")), more, lambda acc: acc["cdf"])
-    return mean_by_source.withColumn("parts", parts).withColumn("rate", F.col("mean") / F.col("parts")).select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), grown.alias("__cdf"))
+    return mean_by_source.withColumn("parts", parts).withColumn("rate", F.col("mean") / F.col("parts")).select("source", "parts", grown.alias("cdf"))
 
 
 def mix(docs: DataFrame, weights: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0, partitions: int | None = None) -> DataFrame:
@@ -60,31 +60,30 @@ def mix(docs: DataFrame, weights: DataFrame, *, id_col: str = "doc_id", source_c
     A null source is a source like any other, a null text has size 0, and a null id draws
     as the string ``null``.  Rows that repeat an id draw the same number.  Sources
     without a weight above 0, or of size 0, come out empty; an empty table stays empty.
-    Columns of ``docs`` stay as they are, and must not be named copy, copies or place
-    (ValueError).  ``place`` orders the copies: rows of a partition are sorted by it and
+    Columns of ``docs`` stay as they are; if one is named like a result, the result has an
+    underscore after it.  ``place`` orders the copies: rows of a partition are sorted by it and
     partitions are ranges of it.
 
     The table of sources is written out first, so that Spark broadcasts it by its known
     size or else joins by a shuffle in which hot sources are split.
     """
     spark = docs.sparkSession
-    if clash := {"copy", "copies", "place", "__source", "__parts", "__cdf"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs may not have the columns {sorted(clash)}")
+    copy_, copies_, place_, source_, parts_, cdf_ = free(docs.columns, "copy", "copies", "place", "from", "parts", "cdf")
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
     space = Workspace(spark, "mixing")
-    tables = space.table(_tables(means(docs, weights, source_col=source_col, size=size)).coalesce(1), "sources")
+    tables = space.table(_tables(means(docs, weights, source_col=source_col, size=size)).coalesce(1), "sources").toDF(source_, parts_, cdf_)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     seeded = F.lit(str(seed))
 
     def drawn(part):
-        return F.size(F.filter("__cdf", lambda c: c <= _uniform(seeded, part.cast("string"), key))).cast("long")
+        return F.size(F.filter(cdf_, lambda c: c <= _uniform(seeded, part.cast("string"), key))).cast("long")
 
-    copies = F.aggregate(F.sequence(F.lit(0), F.col("__parts") - 1), F.lit(0).cast("long"), lambda n, part: n + drawn(part))
-    out = docs.join(tables, docs[source_col].eqNullSafe(tables["__source"])).withColumn("copies", copies).filter("copies > 0")
-    out = out.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "copies")
-    out = out.withColumn("place", F.conv(F.substring(F.md5(F.concat_ws("|", seeded, F.lit("place"), key, F.col("copy").cast("string"))), 1, _HEX), 16, 10).cast("long"))
+    copies = F.aggregate(F.sequence(F.lit(0), F.col(parts_) - 1), F.lit(0).cast("long"), lambda n, part: n + drawn(part))
+    out = docs.join(tables, docs[source_col].eqNullSafe(tables[source_])).withColumn(copies_, copies).filter(F.col(copies_) > 0)
+    out = out.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), copies_)).alias(copy_), copies_)
+    out = out.withColumn(place_, F.conv(F.substring(F.md5(F.concat_ws("|", seeded, F.lit("place"), key, F.col(copy_).cast("string"))), 1, _HEX), 16, 10).cast("long"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionById(n, F.floor(F.col("place") / float(1 << 4 * _HEX) * n).cast("int")).sortWithinPartitions("place", "copy")
+    return out.repartitionById(n, F.floor(F.col(place_) / float(1 << 4 * _HEX) * n).cast("int")).sortWithinPartitions(place_, copy_)
 
 
 def tempered(docs: DataFrame, *, source_col: str = "source", text_col: str = "text", power: float = 0.5) -> DataFrame:

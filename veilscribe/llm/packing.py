@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscribe.llm import vocab
+from veilscribe.llm.store import free
 
 #: Examples that a task holds open to choose from.
 POOL = 1024
@@ -131,9 +132,8 @@ def pack(
 
     An example is the ids of its prompt, which bear no loss, then those of its text and
     ``end_id``, which do.  Null texts and prompts are empty, so that the least example
-    is ``end_id`` alone.  A null id stays null; rows that repeat an id are packed one by
-    one, and other columns are ignored, whatever their names.  An empty table gives no
-    row.  ``ids`` are little-endian unsigned 32-bit.
+    is ``end_id`` alone.  A null id stays null; rows that repeat an id are packed one by one, and other columns are ignored, whatever their names; a result named like the
+    id has an underscore after it.  An empty table gives no row.  ``ids`` are little-endian unsigned 32-bit.
 
     Examples may be cut anywhere; each id lies in one piece.  Sequences hold at most
     ``length`` tokens, ``max_segments`` pieces and ``max_loss`` loss-bearing tokens, and
@@ -143,7 +143,8 @@ def pack(
     prompt = F.col(prompt_col) if prompt_col else F.lit(None)
     source = docs.select(F.col(id_col).alias("id"), prompt.cast("string").alias("prompt"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids binary" * with_ids
+    names = [id_col, *free([id_col], "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", *["ids"] * with_ids)]
+    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, [kind, *["long"] * 7, *["binary"] * with_ids], strict=True))
 
     def run(batches):
         encoder = vocab.encoder(vocabulary)
@@ -162,8 +163,7 @@ def pack(
 
         def full():
             types = [id_type, *[pa.int64()] * 7, *[pa.binary()] * with_ids]
-            names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "ids"]
-            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names[: len(types)])
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
             out.clear()
             return batch
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from veilscribe.llm import vocab
 from veilscribe.llm.graph import components
-from veilscribe.llm.store import Workspace
+from veilscribe.llm.store import Workspace, free
 
 _U = np.uint64
 _LANES, _ODD = _U(0x0101010101010101), _U(0x5555555555555555)
@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row's own included.  Null and empty texts have the fingerprint zero, which is linked
     like any other.  Rows that repeat an id each have their own fingerprint.  A null id
     counts only where a component has no other, and component_id is then null.  Other
-    columns are ignored; an empty table gives no row.
+    columns are ignored, and a result named like the id has an underscore after it.  An
+    empty table gives no row.
 
     Equal fingerprints are reduced to one by map-side aggregation before anything else.
     """
@@ -274,4 +275,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
     moved = space.table(rooted.join(smallest, F.col("root") == F.col("of")).select(F.col("fingerprint").alias("node"), "component_id"), "moved")
     classes = nodes.join(moved, nodes["fingerprint"] == moved["node"], "left").select(F.col("fingerprint").alias("node"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return prints.join(classes, prints["fingerprint"] == classes["node"]).select(F.col("id").alias(id_col), "fingerprint", "component_id")
+    return prints.join(classes, prints["fingerprint"] == classes["node"]).select("id", "fingerprint", "component_id").toDF(id_col, *free([id_col], "fingerprint", "component_id"))

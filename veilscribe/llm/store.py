@@ -49,6 +49,17 @@ def put(uri: str, data: bytes) -> None:
     filesystem.move(part, path)
 
 
+def free(taken, *wanted: str) -> list[str]:
+    """The wanted column names, with underscores after those that are taken; case does not tell names apart."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Replacing:
     """An output stream that takes its final name when it is closed in good order."""
 

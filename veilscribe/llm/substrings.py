@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscribe.llm.store import Workspace, get, put
+from veilscribe.llm.store import Workspace, free, get, put
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+\x20*[\x09-\x0D\x20]*")
 #: Text in a block, about, unless one document has more; documents in it at most.
@@ -213,19 +213,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Ids are integers.  Null ids come after all others; rows that repeat an id are
     separate documents, those of one block in the order of reading, so that one of two
-    equal rows keeps its text.  Other columns stay; none may be named n_words or
-    n_removed (ValueError).  An empty table gives no row.
+    equal rows keeps its text.  Other columns stay; if one is named like a result, the
+    result has an underscore after it.  An empty table gives no row.
 
     Windows are told apart by 96-bit hashes.  Texts are not shuffled: blocks are files
     in the shared folder that later tasks read by name.
     """
-    if clash := {"n_words", "n_removed"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs may not have the columns {sorted(clash)}")
     if window < 2:
         raise ValueError("a window has two words at least")
     spark, space = docs.sparkSession, Workspace(docs.sparkSession, "substrings")
     uri = space.folder("blocks")
-    fields = [f.name for f in docs.schema]
+    fields = docs.columns
+    words_name, removed_name = free(fields, "n_words", "n_removed")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << max(256, 4 * shuffles).bit_length() - 1
     shift = _U(64 - buckets.bit_length() + 1)
@@ -377,12 +376,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for i in np.flatnonzero(removed[k : k + 1024]).tolist():
                     texts[i] = _without(texts[i], covered[ends[k + i] - lengths[k + i] : ends[k + i]])
                 part = part.set_column(at, text_col, pa.array(texts, pa.string()))
-                part = part.append_column("n_words", pa.array(lengths[k : k + 1024])).append_column("n_removed", pa.array(removed[k : k + 1024]))
+                part = part.append_column(words_name, pa.array(lengths[k : k + 1024])).append_column(removed_name, pa.array(removed[k : k + 1024]))
                 yield from part.combine_chunks().to_batches()
 
     by_block = blocks.unionByName(repeats).repartition(n_blocks, "block").sortWithinPartitions("block")
     schema = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema)
-    return by_block.mapInArrow(clean, f"{schema}, n_words long, n_removed long")
+    return by_block.mapInArrow(clean, f"{schema}, `{words_name}` long, `{removed_name}` long")
 
 
 def _lookup(anchor: np.ndarray, elsewhere: list[tuple[np.uint64, np.ndarray]], shift: np.uint64) -> np.ndarray:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscribe.llm import vocab
+from veilscribe.llm.store import free
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = vocab.DEFAULT_VOCABULARY, limit: int = 512) -> DataFrame:
@@ -19,13 +20,15 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The counts are those of the tokenizers library without added special tokens.  A null
     text is an empty one and has 0 of each; a null id stays null; repeated rows stay
-    repeated; other columns of ``docs`` are ignored, whatever their names.  One narrow
+    repeated; other columns of ``docs`` are ignored, whatever their names, and a result
+    named like the id has an underscore after it.  One narrow
     pass: nothing is shuffled, and texts of any length are counted whole.
     n_direct is how many tokens the shortcut gave.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType
-    schema = f"`{id_col}` {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, n_direct long"
+    names = [id_col, *free([id_col], "n_bytes", "n_tokens", "over_limit", "n_direct")]
+    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, (kind.simpleString(), "long", "long", "boolean", "long"), strict=True))
 
     def count(batches):
         encoder = vocab.encoder(vocabulary)
@@ -37,7 +40,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n_bytes, n_tokens, direct = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(direct, pa.int64())],
-                [id_col, "n_bytes", "n_tokens", "over_limit", "n_direct"],
+                names,
             )
 
     return source.mapInArrow(count, schema)

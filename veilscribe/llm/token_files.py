@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscribe.llm import vocab
-from veilscribe.llm.store import Replacing, Workspace, get, opened, put
+from veilscribe.llm.store import Replacing, Workspace, free, get, opened, put
 
 MAGIC = b"VSIDS01\0"
 _TRAILER = struct.Struct("<8sQQQ")
@@ -204,7 +204,7 @@ class TokenFiles:
     def read(self, keys: DataFrame, key_col: str) -> DataFrame:
         """Every row written for the distinct keys: key, start (ids of all documents before), n_tokens, ids_crc32, ids.
 
-        Keys that were never written give no row.  Two shuffles of narrow rows: to the
+        Keys that were never written give no row; a result named like the key has an underscore after it.  Two shuffles of narrow rows: to the
         index files, then to the shards.
         """
         uri, shards, bases, files, kind = self.uri, self.shards, self.bases, self.index_files, self.key_type
@@ -238,7 +238,7 @@ class TokenFiles:
         hashed = keys.select(F.col(key_col).alias("key")).distinct().select("key", _spark_hash("key").alias("hash"))
         sent = hashed.repartitionById(files, _bucket("hash", files)).mapInArrow(find, place)
         sent = sent.repartitionById(max(1, len(shards)), F.col("shard")).sortWithinPartitions("shard", "ordinal")
-        return sent.mapInArrow(fetch, f"key {kind}, start long, n_tokens long, ids_crc32 long, ids binary").withColumnRenamed("key", key_col)
+        return sent.mapInArrow(fetch, f"key {kind}, start long, n_tokens long, ids_crc32 long, ids binary").toDF(key_col, *free([key_col], "start", "n_tokens", "ids_crc32", "ids"))
 
 
 @lru_cache(maxsize=8)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilscribe.llm.store import Workspace
+from veilscribe.llm.store import Workspace, free
 
 
 def host_of(url) -> F.Column:
@@ -38,25 +38,24 @@ def judge(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", at_c
 
     A pattern covers the host itself and every host below it.  A null or hostless URL,
     or a null fetch time, is on no list; no capture is lost and repeated rows stay.
-    Without entries nothing is blocked.  Columns of ``captures`` stay, and must not be
-    named host, lists or blocked (ValueError).
+    Without entries nothing is blocked.  Columns of ``captures`` stay; if one is named
+    like a result, the result has an underscore after it.
 
     Captures are first reduced to distinct hosts and times.  Intervals are written out,
     so that Spark broadcasts them by their known size or else joins by a shuffle in
     which hot hosts are split.
     """
-    if clash := {"host", "lists", "blocked"} & {c.lower() for c in captures.columns}:
-        raise ValueError(f"captures may not have the columns {sorted(clash)}")
+    host_, lists_, blocked_, of_, at_, found_ = free(captures.columns, "host", "lists", "blocked", "of", "at", "found")
     space = Workspace(captures.sparkSession, "url-lists")
     held = space.table(intervals(entries, **entry_cols), "intervals")
-    hosted = captures.withColumn("host", host_of(url_col))
-    asked = hosted.select("host", F.col(at_col).alias("__at")).na.drop().distinct()
+    hosted = captures.withColumn(host_, host_of(url_col))
+    asked = hosted.select(F.col(host_).alias("host"), F.col(at_col).alias("__at")).na.drop().distinct()
     labels = F.split("host", r"\.")
     # a.b.c: a.b.c, b.c, c
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
     tried = asked.select("host", "__at", F.explode(tails).alias("__tail"))
     holds = (tried["__tail"] == held["pattern"]) & (tried["__at"] >= held["valid_from"]) & (held["valid_to"].isNull() | (tried["__at"] < held["valid_to"]))
-    found = tried.join(held, holds).groupBy(F.col("host").alias("__host"), "__at").agg(F.sort_array(F.collect_set("list")).alias("lists"))
-    out = hosted.join(found, (hosted["host"] == found["__host"]) & (hosted[at_col] == found["__at"]), "left")
-    lists = F.coalesce("lists", F.array().cast("array<string>"))
-    return out.select(*captures.columns, "host", lists.alias("lists"), (F.size(lists) > 0).alias("blocked"))
+    found = tried.join(held, holds).groupBy(F.col("host").alias(of_), F.col("__at").alias(at_)).agg(F.sort_array(F.collect_set("list")).alias(found_))
+    out = hosted.join(found, (hosted[host_] == found[of_]) & (hosted[at_col] == found[at_]), "left")
+    lists = F.coalesce(found_, F.array().cast("array<string>"))
+    return out.select(*captures.columns, host_, lists.alias(lists_), (F.size(lists) > 0).alias(blocked_))
