@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from veilscribe.queries import quality, scores, texts, timing
+
+QUERIES: dict = {**texts.QUERIES, **timing.QUERIES, **scores.QUERIES, **quality.QUERIES}
+SQL: dict = {**texts.SQL, **timing.SQL, **scores.SQL, **quality.SQL}
