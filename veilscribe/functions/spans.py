@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilscribe.functions.binding import let
 from veilscribe.functions.matches import make_span, no_spans
 from veilscribe.functions.text import strip
 
@@ -88,16 +89,18 @@ def locate_entities(text: Column, entities: Column) -> Column:
     """
 
     def step(acc, e):
-        given = (e["start_char"] >= 0) & (e["end_char"] > e["start_char"])
-        given = F.coalesce(given, F.lit(False))
-        fresh = _unused(text, e["text"], acc["used"])
-        at = F.when(fresh >= 0, fresh).otherwise(_locate(e["text"], text, F.lit(1)) - 1)
+        given = F.coalesce((e["start_char"] >= 0) & (e["end_char"] > e["start_char"]), F.lit(False))
         blank = F.coalesce(e["text"] == "", F.lit(True))
-        start = F.when(given | blank, e["start_char"]).when(at >= 0, at)
-        end = F.when(given | blank, e["end_char"]).when(at >= 0, at + F.length(e["text"]))
-        taken = F.when(blank, None).when(given, e["start_char"]).when(fresh >= 0, fresh)
-        found = F.struct(e["pii_type"].alias("pii_type"), e["text"].alias("text"), start.cast("int").alias("start_char"), end.cast("int").alias("end_char"))
-        return F.struct(F.concat(acc["out"], F.array(found)).alias("out"), F.when(taken.isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(taken.cast("int")))).alias("used"))
+
+        def placed(fresh):
+            at = F.when(fresh >= 0, fresh).otherwise(_locate(e["text"], text, F.lit(1)) - 1)
+            start = F.when(given | blank, e["start_char"]).when(at >= 0, at)
+            end = F.when(given | blank, e["end_char"]).when(at >= 0, at + F.length(e["text"]))
+            taken = F.when(blank, None).when(given, e["start_char"]).when(fresh >= 0, fresh)
+            found = F.struct(e["pii_type"].alias("pii_type"), e["text"].alias("text"), start.cast("int").alias("start_char"), end.cast("int").alias("end_char"))
+            return F.struct(F.concat(acc["out"], F.array(found)).alias("out"), F.when(taken.isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(taken.cast("int")))).alias("used"))
+
+        return let(_unused(text, e["text"], acc["used"]), placed)
 
     nothing = F.expr("cast(array() as array<struct<pii_type: string, text: string, start_char: int, end_char: int>>)")
     return F.aggregate(F.coalesce(entities, nothing), F.struct(nothing.alias("out"), F.array().cast("array<int>").alias("used")), step, lambda acc: acc["out"])
@@ -149,9 +152,8 @@ def greedy_pairs(gold: Column, predicted: Column, threshold: float = 0.5) -> Col
         return F.aggregate(numbered, F.struct(F.lit(-1).alias("pi"), F.lit(0.0).alias("o")), lambda held, x: step(held, x["p"], x["i"]))
 
     def outer(acc, x):
-        found = best(acc, x["g"])
-        # the inner result once more by name, through a one-element array
-        return F.concat(acc, F.transform(F.filter(F.array(found), lambda f: f["pi"] >= 0), lambda f: F.struct(x["i"].alias("gi"), f["pi"].alias("pi"), f["o"].alias("overlap"))))
+        found = F.filter(F.array(best(acc, x["g"])), lambda f: f["pi"] >= 0)
+        return F.concat(acc, F.transform(found, lambda f: F.struct(x["i"].alias("gi"), f["pi"].alias("pi"), f["o"].alias("overlap"))))
 
     numbered = F.transform(gold, lambda g, i: F.struct(g.alias("g"), i.alias("i")))
     pairs = F.aggregate(numbered, F.expr(_PAIRS), outer)

@@ -128,7 +128,7 @@ def fold_numbers(text: Column) -> Column:
         alone = (F.size(words) == 1) & F.element_at(words, 1).isin(*NOT_A_NUMBER_ALONE)
         return F.when((F.size(words) == 0) | alone | F.forall(words, lambda w: w == "and"), run).otherwise(" num ")
 
-    joined = F.array_join(F.zip_with(gaps, F.concat(F.transform(runs, folded), F.array(F.lit(""))), F.concat), "")
+    joined = F.array_join(F.zip_with(gaps, F.concat(F.transform(runs, folded), F.array(F.lit(""))), lambda gap, run: F.concat(gap, run)), "")
     return F.when(text.rlike(NUMBER_WORD_RUN), joined).otherwise(text)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilscribe.functions.binding import let
 from veilscribe.functions.text import CJK, strip
 
 INTERVALS = "array<struct<start: double, end: double>>"
@@ -106,15 +107,19 @@ def word_places(text: Column, words: Column) -> Column:
         seek = lambda start: F.nullif(F.call_function("locate", c, text, start), F.lit(0))
         return F.coalesce(seek(at + 1), F.when(at > 0, seek(F.lit(1))))
 
-    def step(acc, w):
-        token = F.coalesce(w["word"], F.lit(""))
+    def hit_of(token, at):
         bare = strip(token)
         trimmed = F.regexp_replace(bare, rf"(?U)\A[^\w{CJK}]+|[^\w{CJK}]+\z", "")
-        options = F.transform(F.array(token, bare, trimmed), lambda c: F.struct(F.when(c != "", find(c, acc["at"])).alias("at"), F.length(c).alias("n")))
-        hit = F.try_element_at(F.filter(options, lambda o: o["at"].isNotNull()), F.lit(1))
-        start = hit["at"] - 1
-        place = F.struct(start.cast("int").alias("start_char"), (start + hit["n"]).cast("int").alias("end_char"), w["start"].alias("start_sec"), w["end"].alias("end_sec"), F.substr(text, hit["at"], hit["n"]).alias("text"))
-        return F.when((token != "") & hit.isNotNull(), F.struct((start + hit["n"]).cast("int").alias("at"), F.concat(acc["out"], F.array(place)).alias("out"))).otherwise(acc)
+        options = F.transform(F.array(token, bare, trimmed), lambda c: F.struct(F.when(c != "", find(c, at)).alias("at"), F.length(c).alias("n")))
+        return F.try_element_at(F.filter(options, lambda o: o["at"].isNotNull()), F.lit(1))
+
+    def step(acc, w):
+        def placed(hit):
+            start, end = (hit["at"] - 1).cast("int"), (hit["at"] - 1 + hit["n"]).cast("int")
+            place = F.struct(start.alias("start_char"), end.alias("end_char"), w["start"].alias("start_sec"), w["end"].alias("end_sec"), F.substr(text, hit["at"], hit["n"]).alias("text"))
+            return F.when(hit.isNotNull(), F.struct(end.alias("at"), F.concat(acc["out"], F.array(place)).alias("out"))).otherwise(acc)
+
+        return let(hit_of(F.coalesce(w["word"], F.lit("")), acc["at"]), placed)
 
     return F.when(text == "", nothing).otherwise(F.aggregate(usable_words(words), F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"]))
 
@@ -128,13 +133,17 @@ def char_time(at: Column, places: Column) -> Column:
 
     ``places`` are sorted by their characters.
     """
-    numbered = F.transform(places, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    numbered = F.transform(places, lambda w, i: F.struct(w.alias("w"), F.when(i > 0, F.try_element_at(places, F.greatest(i, F.lit(1)))).alias("before")))
     stop = F.try_element_at(F.filter(numbered, lambda x: x["w"]["end_char"] >= at), F.lit(1))
-    w, before = stop["w"], F.when(stop["i"] > 0, F.try_element_at(places, F.greatest(stop["i"], F.lit(1))))
-    inside = F.when(w["end_char"] <= w["start_char"], w["start_sec"]).otherwise(w["start_sec"] + (at - w["start_char"]) / (w["end_char"] - w["start_char"]) * (w["end_sec"] - w["start_sec"]))
-    chars, time = w["start_char"] - before["end_char"], w["start_sec"] - before["end_sec"]
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (at - before["end_char"]) / chars))
-    return F.when(w["start_char"] <= at, inside).when((chars > 0) & (time >= 0), before["end_sec"] + share * time)
+
+    def time(x):
+        w, before = x["w"], x["before"]
+        inside = F.when(w["end_char"] <= w["start_char"], w["start_sec"]).otherwise(w["start_sec"] + (at - w["start_char"]) / (w["end_char"] - w["start_char"]) * (w["end_sec"] - w["start_sec"]))
+        chars, gap = w["start_char"] - before["end_char"], w["start_sec"] - before["end_sec"]
+        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (at - before["end_char"]) / chars))
+        return F.when(w["start_char"] <= at, inside).when((chars > 0) & (gap >= 0), before["end_sec"] + share * gap)
+
+    return let(stop, time)
 
 
 def span_interval(span: Column, text: Column, seg_start: Column, seg_end: Column, places: Column, *, lead: float = 0.0, tail: float = 0.12, least: float = 0.2) -> Column:
@@ -145,29 +154,37 @@ def span_interval(span: Column, text: Column, seg_start: Column, seg_end: Column
     """
     text = F.coalesce(text, F.lit(""))
     n = F.length(text)
-    a = F.when(n > 0, F.greatest(F.lit(0), F.least(span["start"], n))).otherwise(F.lit(0))
-    b = F.when(n > 0, F.greatest(a + 1, F.least(span["end"], n))).otherwise(F.lit(1))
-    ordered = F.array_sort(places)
-    by_a, by_b = char_time(a, ordered), char_time(b, ordered)
-    by_word = by_b > by_a
-    by_word = F.coalesce(by_word, F.lit(False))
-    long = seg_end - seg_start
-    start = F.when(by_word, by_a).when(n <= 0, seg_start).otherwise(seg_start + a / n * long)
-    end = F.when(by_word, by_b).when(n <= 0, seg_end).otherwise(seg_start + b / n * long)
-    words = F.coalesce(span["text"], F.lit(""))
-    name = (F.upper(F.coalesce(span["type"], F.lit(""))) == "NAME") & words.rlike(f"[{CJK}]") & (F.length(words) <= 3)
-    cover = covering_word(a, b, places)
-    prefix = F.substr(text, cover["start_char"] + 1, a - cover["start_char"])
-    cue = F.coalesce(F.lit(False) if not NAME_CUES else prefix.rlike("|".join(NAME_CUES)), F.lit(False))
-    start = F.when(name & cue, cover["start_sec"]).otherwise(start)
-    s = F.greatest(seg_start, start - lead - F.when(name, 0.08).otherwise(0.0))
-    e = F.least(seg_end, end + tail)
-    middle = 0.5 * (s + e)
-    narrow = (e - s) < least
-    s2, e2 = F.when(narrow, F.greatest(seg_start, middle - 0.5 * least)).otherwise(s), F.when(narrow, F.least(seg_end, middle + 0.5 * least)).otherwise(e)
+    first = F.when(n > 0, F.greatest(F.lit(0), F.least(span["start"], n))).otherwise(F.lit(0))
     finite = ~F.isnan(seg_start) & ~F.isnan(seg_end) & (F.abs(seg_start) < float("inf")) & (F.abs(seg_end) < float("inf"))
-    sound = finite & (seg_end > seg_start) & span["start"].isNotNull() & span["end"].isNotNull() & (e > s) & (e2 > s2)
-    return F.when(sound, F.struct(s2.alias("start"), e2.alias("end"), F.when(by_word, "word").otherwise("char_ratio").alias("mode")))
+    usable = finite & (seg_end > seg_start) & span["start"].isNotNull() & span["end"].isNotNull()
+
+    def ends(a):
+        b = F.when(n > 0, F.greatest(a + 1, F.least(span["end"], n))).otherwise(F.lit(1))
+        return let(F.struct(a.alias("a"), b.alias("b"), F.array_sort(places).alias("ordered")), by_words)
+
+    def by_words(x):
+        times_ = F.struct(x["a"].alias("a"), x["b"].alias("b"), char_time(x["a"], x["ordered"]).alias("ta"), char_time(x["b"], x["ordered"]).alias("tb"), covering_word(x["a"], x["b"], places).alias("cover"))
+        return let(times_, in_time)
+
+    def in_time(x):
+        by_word = F.coalesce(x["tb"] > x["ta"], F.lit(False))
+        long = seg_end - seg_start
+        start = F.when(by_word, x["ta"]).when(n <= 0, seg_start).otherwise(seg_start + x["a"] / n * long)
+        end = F.when(by_word, x["tb"]).when(n <= 0, seg_end).otherwise(seg_start + x["b"] / n * long)
+        words = F.coalesce(span["text"], F.lit(""))
+        name = (F.upper(F.coalesce(span["type"], F.lit(""))) == "NAME") & words.rlike(f"[{CJK}]") & (F.length(words) <= 3)
+        prefix = F.substr(text, x["cover"]["start_char"] + 1, x["a"] - x["cover"]["start_char"])
+        cue = F.coalesce(prefix.rlike("|".join(NAME_CUES)), F.lit(False))
+        s = F.greatest(seg_start, F.when(name & cue, x["cover"]["start_sec"]).otherwise(start) - lead - F.when(name, 0.08).otherwise(0.0))
+        return let(F.struct(s.alias("start"), F.least(seg_end, end + tail).alias("end"), F.when(by_word, "word").otherwise("char_ratio").alias("mode")), widened)
+
+    def widened(x):
+        middle, narrow = 0.5 * (x["start"] + x["end"]), (x["end"] - x["start"]) < least
+        s = F.when(narrow, F.greatest(seg_start, middle - 0.5 * least)).otherwise(x["start"])
+        e = F.when(narrow, F.least(seg_end, middle + 0.5 * least)).otherwise(x["end"])
+        return F.when((x["end"] > x["start"]) & (e > s), F.struct(s.alias("start"), e.alias("end"), x["mode"].alias("mode")))
+
+    return F.when(usable, let(first, ends))
 
 
 def merge_in_row(intervals: Column, gap: float) -> Column:
@@ -199,13 +216,20 @@ def _front(text: Column) -> Column:
 
 def without_overlap(before: Column, text: Column, most: int = 20, least: int = 4) -> Column:
     """``text`` without the tokens at its start that are the last ones of ``before``: the longest run of ``least`` to ``most``."""
-    a, b = _chunk_tokens(before), _chunk_tokens(text)
     sizes = F.sequence(F.lit(most), F.lit(least), F.lit(-1))
-    k = F.try_element_at(F.filter(sizes, lambda k: (k <= F.size(a)) & (k <= F.size(b)) & (F.slice(a, F.greatest(F.size(a) - k, F.lit(0)) + 1, k) == F.slice(b, 1, k))), F.lit(1))
-    glue = F.when(text.rlike(f"[{CJK}]") | before.rlike(f"[{CJK}]"), F.array_join(F.slice(b, 1, k), "")).otherwise(F.array_join(F.slice(b, 1, k), " "))
-    front = _front(text)
-    cut = F.when(text.startswith(glue), _front(F.substr(text, F.length(glue) + 1))).when(front.startswith(glue), _front(F.substr(front, F.length(glue) + 1))).otherwise(text)
-    return F.when(k.isNull(), text).otherwise(cut)
+
+    def cut(glue):
+        front = _front(text)
+        return F.when(text.startswith(glue), _front(F.substr(text, F.length(glue) + 1))).when(front.startswith(glue), _front(F.substr(front, F.length(glue) + 1))).otherwise(text)
+
+    def shared(x):
+        a, b = x["a"], x["b"]
+        k = F.try_element_at(F.filter(sizes, lambda k: (k <= F.size(a)) & (k <= F.size(b)) & (F.slice(a, F.greatest(F.size(a) - k, F.lit(0)) + 1, k) == F.slice(b, 1, k))), F.lit(1))
+        space = F.when(text.rlike(f"[{CJK}]") | before.rlike(f"[{CJK}]"), "").otherwise(" ")
+        return let(k, lambda k: F.when(k.isNotNull(), F.call_function("array_join", F.slice(b, 1, k), space)))
+
+    tokens = F.struct(_chunk_tokens(before).alias("a"), _chunk_tokens(text).alias("b"))
+    return let(let(tokens, shared), lambda glue: F.when(glue.isNull(), text).otherwise(cut(glue)))
 
 
 def merge_chunk_texts(texts: Column, most: int = 20, least: int = 4) -> Column:

@@ -78,10 +78,11 @@ def llm_spans(text: Column, response: Column) -> Column:
     text, response = F.coalesce(text, F.lit("")), F.coalesce(response, F.lit(""))
     inner = F.regexp_extract(response, r"(?s)\[.*\]", 0)
     given = F.when(F.try_parse_json(response).isNotNull(), response).when(F.try_parse_json(inner).isNotNull(), inner)
-    is_list = F.schema_of_variant(F.try_parse_json(given)).startswith("ARRAY")
-    parsed = F.when(is_list, F.from_json(given, "array<struct<pii_type: string, text: string>>"))
+    # null unless it is a list; fields of what is no object are null
+    parsed = F.try_variant_get(F.try_parse_json(given), "$", "array<variant>")
     nothing = F.expr("cast(array() as array<struct<pii_type: string, text: string, start_char: int, end_char: int>>)")
-    entity = lambda e: F.struct(F.upper(e["pii_type"]).alias("pii_type"), strip(e["text"]).alias("text"), F.lit(None).cast("int").alias("start_char"), F.lit(None).cast("int").alias("end_char"))
+    part = lambda e, name: F.try_variant_get(e, f"$.{name}", "string")
+    entity = lambda e: F.struct(F.upper(part(e, "pii_type")).alias("pii_type"), strip(part(e, "text")).alias("text"), F.lit(None).cast("int").alias("start_char"), F.lit(None).cast("int").alias("end_char"))
     wanted = F.filter(F.coalesce(F.transform(parsed, entity), nothing), lambda e: F.coalesce(e["pii_type"].isin(*LLM_TYPES) & (e["text"] != ""), F.lit(False)))
     placed = F.filter(locate_entities(text, wanted), lambda e: e["start_char"].isNotNull())
     return F.transform(placed, lambda e: make_span(e["start_char"], e["end_char"], e["pii_type"], e["text"], F.lit("llm")))

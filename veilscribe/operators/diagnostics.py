@@ -47,9 +47,9 @@ def histogram(rows: DataFrame, column: str, edges: list[float]) -> DataFrame:
 
 
 def correlation(x: str, y: str) -> Column:
-    """Pearson; null where either does not vary."""
-    flat = (F.var_pop(x) == 0) | (F.var_pop(y) == 0)
-    return F.when(~F.coalesce(flat, F.lit(True)), F.nanvl(F.corr(x, y), F.lit(None).cast("double")))
+    """Pearson over the rows that have both; null where either does not vary."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def correlations(rows: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
@@ -139,7 +139,10 @@ def trend(rows: DataFrame, x: str, y: str, by: list[str], top: float = 100.0) ->
     """Least squares of y, at most ``top``, on x: slope, intercept, n; null for three rows or fewer."""
     v = F.least(F.col(y), F.lit(top))
     enough = F.count("*") > 3
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.when(enough, F.regr_slope(v, F.col(x))).alias("slope"), F.when(enough, F.regr_intercept(v, F.col(x))).alias("intercept"))
+    # not regr_slope, which fails where x does not vary
+    slope = F.try_divide(F.covar_pop(F.col(x), v), F.var_pop(F.when(v.isNotNull(), F.col(x))))
+    means = F.avg(F.when(F.col(x).isNotNull(), v)), F.avg(F.when(v.isNotNull(), F.col(x)))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.when(enough, slope).alias("slope"), F.when(enough, means[0] - slope * means[1]).alias("intercept"))
 
 
 def cumulative(rows: DataFrame, column: str, by: list[str]) -> DataFrame:

@@ -168,7 +168,7 @@ def with_segment_ids(segments: DataFrame, *, last: int = -1) -> DataFrame:
 def refinement_counts(before: DataFrame, after: DataFrame, longest: float) -> DataFrame:
     """One row: long segments before, segments before and after."""
     a = before.agg(F.count("*").alias("segments_before"), F.count_if(F.col("end") - F.col("start") > longest).alias("long_segments"))
-    return a.crossJoin(F.broadcast(after.agg(F.count("*").alias("segments_after"), F.count_if("decode_mode = 'mixed_redecode'").alias("redecoded"))))  # one row each
+    return a.crossJoin(F.broadcast(after.agg(F.count("*").alias("segments_after"), F.count_if(F.col("decode_mode") == "mixed_redecode").alias("redecoded"))))  # one row each
 
 
 def chunk_table(records: DataFrame, *, chunk: float = 28.0, shortest: float = 2.0, duration: str = "duration_sec", text: str = "transcript", key: str = "record_id") -> DataFrame:

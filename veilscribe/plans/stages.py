@@ -60,7 +60,7 @@ def run_asr(spark: SparkSession, config: dict, root: str, make: Callable[[], rec
     numbered = recognition.with_segment_ids(found, last=-1 if last is None else last)
     sinks.write_jsonl(numbered, target, mode="append" if resume else "overwrite")
     audio = inputs.agg(F.sum(F.coalesce("duration_sec", F.lit(0.0)))).first()[0] if "duration_sec" in inputs.columns else None
-    counts = found.agg(F.count_if("error IS NULL").alias("new_segments"), F.count_distinct(F.when(F.col("error").isNull(), F.col("source_item_id"))).alias("files_done"), F.count_distinct(F.when(F.col("error").isNotNull(), F.col("source_item_id"))).alias("files_failed")).first().asDict()
+    counts = found.agg(F.count_if(F.col("error").isNull()).alias("new_segments"), F.count_distinct(F.when(F.col("error").isNull(), F.col("source_item_id"))).alias("files_done"), F.count_distinct(F.when(F.col("error").isNotNull(), F.col("source_item_id"))).alias("files_failed")).first().asDict()
     elapsed = time.time() - began
     sinks.write_json(posixpath.join(out, "summary.json"), {"elapsed_sec": elapsed, "total_audio_sec": audio, "rtf": elapsed / audio if audio else None, "audio_sec_per_wall_sec": audio / elapsed if audio and elapsed else None, "segments": counts["new_segments"] + there.count(), **counts})
     _meta(out, "asr", config, **counts)

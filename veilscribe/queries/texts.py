@@ -255,10 +255,10 @@ FROM orders, (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS i)""",
     "q_llm_spans": "SELECT o_orderkey, 5 AS start, CAST(5 + length(o_orderpriority) AS INTEGER) AS \"end\", 'NAME' AS type, o_orderpriority AS text FROM orders WHERE o_orderkey % 4 IN (0, 1)",
     "q_model_detect": """
 WITH c AS (SELECT coalesce(text, '') AS t FROM conversations)
-SELECT 'NAME' AS pii_type, CAST(sum((length(t) - length(replace(t, 'the', ''))) // 3) AS BIGINT) AS n_spans FROM c HAVING sum((length(t) - length(replace(t, 'the', ''))) // 3) > 0
-UNION ALL SELECT 'ADDRESS', CAST(sum((length(t) - length(replace(t, 'de', ''))) // 2) AS BIGINT) FROM c HAVING sum((length(t) - length(replace(t, 'de', ''))) // 2) > 0""",
+SELECT 'NAME' AS pii_type, CAST(sum(len(regexp_extract_all(t, '(?:the)+'))) AS BIGINT) AS n_spans FROM c HAVING sum(len(regexp_extract_all(t, '(?:the)+'))) > 0
+UNION ALL SELECT 'ADDRESS', CAST(sum(len(regexp_extract_all(t, '(?:de)+'))) AS BIGINT) FROM c HAVING sum(len(regexp_extract_all(t, '(?:de)+'))) > 0""",
     "q_segment_table": """
-SELECT conv_id || '-' || turn AS segment_id, role AS language, round(turn * 1.234, 2) AS start_sec, round(turn * 1.234 + 1, 2) AS end_sec, CAST(CASE WHEN contains(text, 'e') THEN 1 ELSE 0 END AS INTEGER) AS detected_spans, text AS transcript,
+SELECT conv_id || '-' || turn AS segment_id, role AS language, CAST(round(turn * 1.234, 2) AS DOUBLE) AS start_sec, CAST(round(turn * 1.234 + 1, 2) AS DOUBLE) AS end_sec, CAST(CASE WHEN contains(text, 'e') THEN 1 ELSE 0 END AS INTEGER) AS detected_spans, text AS transcript,
   CASE WHEN contains(text, 'e') THEN substr(text, 1, strpos(text, 'e') - 1) || '[NAME]' || substr(text, strpos(text, 'e') + 1) ELSE text END AS redacted_transcript
 FROM conversations WHERE text IS NOT NULL""",
     "q_subword_labels": """

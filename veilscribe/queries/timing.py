@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilscribe.functions import times
 from veilscribe.operators import masking, recognition
 from veilscribe.queries._tables import SECONDS_SQL, events, rounded, table
+from veilscribe.shared import checkpointed
 
 
 def q_interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +60,9 @@ def q_char_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters in time: a user's events are words of 4 characters, 10 apart; one asks for places before, in and between them."""
     ranked = events(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("start", "event_id", "end"))).alias("e"))
     places = F.transform("e", lambda x, i: F.struct((i * 10 + 1).cast("int").alias("start_char"), (i * 10 + 5).cast("int").alias("end_char"), x["start"].alias("start_sec"), x["end"].alias("end_sec"), F.lit("").alias("text")))
-    asked = F.explode(F.array(*map(F.lit, (0, 3, 8, 15, 27, 31, 38, 1_000_000)))).alias("at")
-    out = ranked.select("user_id", places.alias("places"), asked)
-    return rounded(out.select("user_id", "at", times.char_time(F.col("at"), F.col("places")).alias("sec")), 4)
+    asked = F.explode(F.array(*map(F.lit, (0, 3, 8, 15, 27, 31, 38, 1_000_000))))
+    out = ranked.withColumn("places", places).withColumn("place", asked)
+    return rounded(out.select("user_id", "place", times.char_time(F.col("place"), F.col("places")).alias("sec")), 4)
 
 
 def q_word_align(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +121,7 @@ def q_recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"audio_path": "f0", "text": "hello there", "start": 0.0, "end": 5.0, "words": []}, {"audio_path": "f1", "text": "你好 hi", "start": 1.0, "end": 4.0, "words": [], "language": None},
         {"audio_path": "f1", "text": "long", "start": 5.0, "end": 30.0, "words": []}, {"audio_path": "f1", "text": "你好嗨", "start": 1.0, "end": 4.0, "words": [], "language": "zh"},
     ]
-    found = recognition.transcribe(inputs.unionByName(fine), recognition.replay(rows), recognition.Policy(longest=12.0, mixed_redecode=True, fallback="zh"))
+    found = recognition.transcribe(inputs.unionByName(fine), recognition.replay(rows), recognition.Policy(longest=12.0, mixed_redecode=True, fallback="zh"), checkpoint=checkpointed)
     return found.groupBy("language", "decode_mode", F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n"))
 
 
@@ -163,10 +164,10 @@ SELECT doc_id, round(CASE WHEN e - s < 0.2 THEN greatest(0, 0.5 * (s + e) - 0.1)
     "q_char_time": f"""
 WITH e AS (SELECT user_id, {SECONDS_SQL} AS a, {SECONDS_SQL} + value AS b, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
 w AS (SELECT *, lag(b) OVER (PARTITION BY user_id ORDER BY i) AS b0 FROM e),
-q AS (SELECT DISTINCT user_id, at FROM events, (SELECT unnest([0, 3, 8, 15, 27, 31, 38, 1000000]) AS at)),
-h AS (SELECT q.user_id, q.at, min(w.i) AS i FROM q JOIN w ON w.user_id = q.user_id AND w.i * 10 + 5 >= q.at GROUP BY q.user_id, q.at)
-SELECT q.user_id, CAST(q.at AS INTEGER) AS at, round(CASE WHEN w.i IS NULL THEN NULL WHEN w.i * 10 + 1 <= q.at THEN w.a + (q.at - w.i * 10 - 1) / 4.0 * (w.b - w.a) WHEN w.i > 0 AND w.a >= w.b0 THEN w.b0 + (q.at - (w.i * 10 - 5)) / 6.0 * (w.a - w.b0) END, 4) AS sec
-FROM q LEFT JOIN h ON h.user_id = q.user_id AND h.at = q.at LEFT JOIN w ON w.user_id = h.user_id AND w.i = h.i""",
+q AS (SELECT DISTINCT user_id, place FROM events, (SELECT unnest([0, 3, 8, 15, 27, 31, 38, 1000000]) AS place)),
+h AS (SELECT q.user_id, q.place, min(w.i) AS i FROM q JOIN w ON w.user_id = q.user_id AND w.i * 10 + 5 >= q.place GROUP BY q.user_id, q.place)
+SELECT q.user_id, CAST(q.place AS INTEGER) AS place, round(CASE WHEN w.i IS NULL THEN NULL WHEN w.i * 10 + 1 <= q.place THEN w.a + (q.place - w.i * 10 - 1) / 4.0 * (w.b - w.a) WHEN w.i > 0 AND w.a >= w.b0 THEN w.b0 + (q.place - (w.i * 10 - 5)) / 6.0 * (w.a - w.b0) END, 4) AS sec
+FROM q LEFT JOIN h ON h.user_id = q.user_id AND h.place = q.place LEFT JOIN w ON w.user_id = h.user_id AND w.i = h.i""",
     "q_word_align": """
 SELECT o_orderkey, round(2 + 0.75 / (length(o_orderpriority) + 2), 6) AS start_sec, round(2 + 0.75 * (length(o_orderpriority) + 1) / (length(o_orderpriority) + 2) + 0.12, 6) AS end_sec, 'word' AS mode FROM orders""",
     "q_mask_audit": _AUDIT,
@@ -180,7 +181,7 @@ WITH s AS (SELECT o_orderkey, o_orderstatus, i, CAST(round_even((o_orderkey * 1.
 f AS (SELECT o_orderkey, i, (i + 1) || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || chr(10) || o_orderstatus || chr(10) AS t FROM s)
 SELECT o_orderkey, md5(string_agg(t, chr(10) ORDER BY i)) AS srt_md5 FROM f GROUP BY o_orderkey""",
     "q_stamped_segments": """
-SELECT o_orderkey, CASE i WHEN 0 THEN 10.5 ELSE 12.5 END AS start_sec, CAST(CASE i WHEN 0 THEN 12 ELSE 30 END AS DOUBLE) AS end_sec, CASE i WHEN 0 THEN 'a' || o_orderstatus ELSE 'b' END AS text FROM orders, (SELECT unnest([0, 1]) AS i)""",
+SELECT o_orderkey, CAST(CASE i WHEN 0 THEN 10.5 ELSE 12.5 END AS DOUBLE) AS start_sec, CAST(CASE i WHEN 0 THEN 12 ELSE 30 END AS DOUBLE) AS end_sec, CASE i WHEN 0 THEN 'a' || o_orderstatus ELSE 'b' END AS text FROM orders, (SELECT unnest([0, 1]) AS i)""",
     "q_recognise": """
 WITH n AS (SELECT n_nationkey % 3 AS f, n_nationkey AS k FROM nation)
 SELECT 'en' AS language, 'single_pass' AS decode_mode, false AS failed, CAST(sum(CASE f WHEN 0 THEN 1 WHEN 1 THEN 3 END) AS BIGINT) AS n FROM n
