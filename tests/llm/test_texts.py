@@ -1,0 +1,181 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from veilscribe.llm import fertility, mixing, queries, substrings, url_lists
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+PROSE = (
+    "The harbour was quiet when we arrived, and only a few gulls circled above the moored boats. An old man sat mending his nets; he nodded at us without a word. "
+    "Further along the quay somebody had left a radio playing, so that a thin tune drifted over the water. We bought bread, cheese and two oranges from the shop on the corner, "
+    "then walked up the hill to watch the evening ferry come in from the islands."
+)
+
+
+def base(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    n = len(words)
+    return n, sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), n < 50 or 100 * len(covered) > 50 * n
+
+
+def test_op9_base_is_brute_force(spark, data):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = queries.op9_fertility(spark, data).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert tuple(r)[1:7] == base(texts[r["doc_id"]]), r["doc_id"]
+        assert r["kept"] == (r["reason"] is None) and not (r["kept"] and r["base_failed"])
+
+
+def test_op9_odd_rows(odd_docs, no_docs):
+    rows = fertility.assess(odd_docs, carry=("n_words", "copy")).collect()
+    assert len(rows) == odd_docs.count() and rows[0].__fields__[:5] == ["doc_id", "n_words", "copy", "n_words_", "word_chars"]
+    assert fertility.assess(no_docs).collect() == []
+    assert fertility.assess(odd_docs, lang_col=None).count() == len(rows)
+
+
+@pytest.mark.parametrize(
+    ("text", "kept"),
+    [
+        ("The committee met on Tuesday to discuss the new budget and agreed that further work was needed before a decision could be made. " * 3, False),
+        (PROSE, True),
+        (" ".join("".join(random.Random(f"{i} {k}").choice("zqxjkvwbp0123456789") for k in range(12)) for i in range(80)), False),
+        (" ".join(f"{'ab' * 300}{i}" for i in range(60)), False),
+        ("", False), (None, False),
+    ],
+)
+def test_verdicts(spark, text, kept):
+    docs = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    assert fertility.assess(docs).first()["kept"] is kept
+
+
+def test_scripts_have_their_bands(spark):
+    cases = {"han": "我们今天去公园玩了很久然后回家吃饭睡觉", "kana": "わたしは今日こうえんに行きました", "cyrillic": "Сегодня мы ходили гулять в парк", "arabic": "ذهبنا اليوم إلى الحديقة", "latin": "naïve façade", "other": "123 !?", "hangul": "오늘 우리는 공원에 갔다", "greek": "σήμερα πήγαμε", "thai": "วันนี้เราไป", "hebrew": "היום הלכנו", "indic": "आज हम पार्क गए"}
+    assert {k: fertility.script_of(v) for k, v in cases.items()} == {k: k for k in cases}
+
+
+def test_clean_documents_are_kept(spark, data):
+    good = spark.read.parquet(f"{data}/labels.parquet").filter("quality = 1 AND toxic = 0").select("doc_id")
+    judged = queries.op9_fertility(spark, data).join(good, "doc_id").filter("NOT base_failed")
+    n, kept = judged.count(), judged.filter("kept").count()
+    assert n > 20 and kept >= 0.97 * n
+
+
+# -------------------------------------------------------------------- substrings
+
+
+def removed(rows, window):
+    """By document: words gone, and the rest.  Rows are in the order of the corpus."""
+    seen, out = set(), []
+    for i, text in rows:
+        words, gone = WORD.findall(text or ""), set()
+        for k in range(len(words) - window + 1):
+            run = tuple(words[k : k + window])
+            if run in seen:
+                gone.update(range(k, k + window))
+            seen.add(run)
+        out.append((i, len(words), len(gone), [w for k, w in enumerate(words) if k not in gone]))
+    return out
+
+
+def test_op10_is_brute_force(spark, data):
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect())
+    expected = {i: (n, g, hashlib.sha256(" ".join(kept).encode()).hexdigest()) for i, n, g, kept in removed(rows, 20)}
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in queries.op10_substrings(spark, data).collect()} == expected
+    assert any(g for _, g, _ in expected.values())
+
+
+@pytest.mark.parametrize(("window", "block", "task"), [(2, 60, 5), (3, 1, 1), (4, 10_000, 10_000)])
+def test_small_windows_and_blocks(spark, window, block, task):
+    draw = random.Random(window)
+    rows = [(i, " ".join(draw.choice("abc") for _ in range(draw.randrange(0, 14)))) for i in range(60)] + [(60, None), (61, "  "), (62, "é ü ñ é ü ñ é ü ñ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = substrings.remove_repeats(docs, window=window, block_bytes=block, task_suffixes=task).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], WORD.findall(r["text"] or "")) for r in got} == {i: (n, g, kept) for i, n, g, kept in removed(rows, window)}
+
+
+def test_op10_odd_rows(odd_docs, no_docs):
+    got = substrings.remove_repeats(odd_docs)
+    assert got.columns == [*odd_docs.columns, "n_words_", "n_removed_"]
+    rows = {(r["doc_id"], r["n_words"]): r for r in got.collect()}
+    before = {(r["doc_id"], r["n_words"]): r for r in odd_docs.collect()}
+    assert set(rows) == set(before)
+    assert all(r["text"] == before[k]["text"] for k, r in rows.items() if not r["n_removed_"])
+    by_id = {k[0]: r["n_removed_"] for k, r in rows.items()}
+    assert by_id[7] == 0 and by_id[9] == 18_000 and by_id[11] == 150 - 5 - 19 + 0 or by_id[11] > 100
+    assert substrings.remove_repeats(no_docs).collect() == []
+    with pytest.raises(ValueError, match="window"):
+        substrings.remove_repeats(no_docs, window=1)
+
+
+def test_white_space_after_a_removed_word_goes_with_it(spark):
+    docs = spark.createDataFrame([(1, "a b c\n\nd"), (2, "x  a b c\n y")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in substrings.remove_repeats(docs, window=3).collect()} == {1: "a b c\n\nd", 2: "x  y"}
+
+
+# ------------------------------------------------------------- mixing and URL lists
+
+
+def test_mix_hits_its_weights(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "repeat('x', 50) AS text", "CASE WHEN id % 10 < 7 THEN 'big' WHEN id % 10 < 9 THEN 'mid' ELSE 'small' END AS source")
+    weights = spark.createDataFrame([("big", 1.0), ("mid", 1.0), ("small", 2.0), ("gone", 5.0)], "source string, weight double")
+    out = mixing.mix(docs, weights, seed=3)
+    share = {r["source"]: r["n"] / out.count() for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert abs(share["big"] - 0.25) < 0.02 and abs(share["small"] - 0.5) < 0.03 and "gone" not in share
+    assert out.count() == pytest.approx(6000, rel=0.05)
+    again = mixing.mix(docs.repartition(7), weights, seed=3)
+    assert again.exceptAll(out).count() == 0 and out.exceptAll(again).count() == 0
+    other = mixing.mix(docs, weights, seed=4)
+    assert other.exceptAll(out).count() > 0
+    places = [[r["place"] for r in p] for p in out.select("place").rdd.glom().collect()]
+    flat = [x for p in places for x in p]
+    assert flat == sorted(flat)
+
+
+def test_poisson_with_large_means(spark):
+    docs = spark.range(1000).selectExpr("id AS doc_id", "repeat('y', CASE WHEN id < 10 THEN 10 ELSE 1000 END) AS text", "IF(id < 10, 'rare', 'common') AS source")
+    weights = spark.createDataFrame([("rare", 1.0), ("common", 9.0)], "source string, weight double")
+    n = mixing.mix(docs, weights, seed=1).filter("source = 'rare'").groupBy("doc_id").agg(F.max("copies").alias("c")).agg(F.avg("c"), F.stddev("c"), F.count("*")).first()
+    mean = 0.1 * (990 * 1000 + 100) / 100
+    assert n[2] == 10 and abs(n[0] - mean) < 4 * (mean / 10) ** 0.5
+
+
+def test_op3_odd_rows(odd_docs, no_docs):
+    out = mixing.mix(odd_docs, mixing.tempered(odd_docs), seed=5)
+    assert out.columns == [*odd_docs.columns, "copy_", "copies", "place"]
+    assert mixing.mix(no_docs, mixing.tempered(no_docs)).collect() == []
+    twins = out.filter("doc_id = 5").groupBy("text", "n_words").agg(F.max("copies").alias("c")).collect()
+    assert len({r["c"] for r in twins}) <= 2
+
+
+def test_url_lists_by_date(spark):
+    days = lambda *rows: spark.createDataFrame(rows, "pattern string, list string, action string, since string").withColumn("since", F.to_date("since"))
+    entries = days(("Bad.com", "spam", "ADD", "2024-01-10"), ("bad.com", "spam", "remove", "2024-02-01"), ("bad.com", "spam", "add", "2024-03-01"), ("x.bad.com", "adult", "add", "2024-01-01"), ("bad.com", "tie", "remove", "2024-01-05"), ("bad.com", "tie", "add", "2024-01-05"), (None, "spam", "add", "2024-01-01"), ("bad.com", "odd", "maybe", "2024-01-01"))
+    asked = [("http://bad.com/", "2024-01-09"), ("http://bad.com/", "2024-01-10"), ("http://user@WWW.Bad.com.:80/a?b", "2024-01-31"), ("http://bad.com", "2024-02-01"), ("http://x.bad.com/", "2024-03-01"), ("http://notbad.com/", "2024-01-15"), (None, "2024-01-15"), ("mailto:a", "2024-01-15"), ("http://bad.com/", None)]
+    captures = spark.createDataFrame([(i, *a, "mine") for i, a in enumerate(asked)], "i int, url string, fetched_on string, host string").withColumn("fetched_on", F.to_date("fetched_on"))
+    got = {r["i"]: (r["host_"], r["lists"], r["blocked"]) for r in url_lists.judge(captures, entries).collect()}
+    assert got == {0: ("bad.com", ["tie"], True), 1: ("bad.com", ["spam", "tie"], True), 2: ("www.bad.com", ["spam", "tie"], True), 3: ("bad.com", ["tie"], True), 4: ("x.bad.com", ["adult", "spam", "tie"], True), 5: ("notbad.com", [], False), 6: (None, [], False), 7: (None, [], False), 8: ("bad.com", [], False)}
+    assert url_lists.judge(captures, entries.limit(0)).filter("blocked").count() == 0 and url_lists.judge(captures.limit(0), entries).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_have_their_sql(spark, data, name):
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for file in os.listdir(data):
+        con.sql(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{data}/{file}'")
+    found = queries.QUERIES[name](spark, data)
+    columns = sorted(found.columns)
+    expected = con.sql(queries.SQL[name]).project(", ".join(columns)).fetchall()
+    assert sorted(map(str, (tuple(r) for r in found.select(*columns).collect()))) == sorted(map(str, expected))
