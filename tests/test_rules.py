@@ -50,9 +50,9 @@ def test_matches_are_those_of_re(column, rule):
     prefix, pattern = re.match(r"(\(\?i?U\))(.*)", rule.pattern, re.S).groups()
     own = re.compile(pattern, re.IGNORECASE if "i" in prefix else 0)
     draw = random.Random(rule.pattern)
-    parts = ["1", "23", "4567", "+65 ", "-", " ", "，", "a", "S", "T1234567", "@x.co", "ab@c.de", "九八一零", "二", "电话", "是", "大牌", "路", "南京", "Road", "Street 5", "Block 12 ", "phone", "id", " is ", "staff ", "number", "Singapore ", "609690", "nine ", "one two ", "员工编号", "😀", "１２", "　", "é", "."]
+    parts = ["1", "23", "4567", "+65 ", "-", " ", "，", "a", "S", "T1234567", "@x.co", "ab@c.de", "九八一零", "二", "电话", "是", "南京Residence", "大牌", "路", "南京", "Road", "Street 5", "Block 12 ", "phone", "id", " is ", "staff ", "number", "Singapore ", "609690", "nine ", "one two ", "员工编号", "😀", "１２", "　", "é", "."]
     texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(1, 14))) for _ in range(250)]
-    found = column(lambda c: find_spans(c, rule.pattern, rule.kind, group=rule.group, hint=rule.hint), texts, "string")
+    found = column(lambda c: find_spans(c, rule.pattern, rule.kind, group=rule.group, hints=rule.hints), texts, "string")
     assert [[(s["start"], s["end"], s["text"]) for s in x] for x in found] == [[(m.start(rule.group), m.end(rule.group), m[rule.group]) for m in own.finditer(t)] for t in texts]
 
 

@@ -24,12 +24,12 @@ def make_span(start: Column, end: Column, kind: Column, text: Column, source: Co
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), kind.alias("type"), text.alias("text"), score.alias("score"), source.alias("source"))
 
 
-def find_spans(text: Column, pattern: str, kind: str, *, group: int = 0, source: str = "rule", hint: str | None = None) -> Column:
+def find_spans(text: Column, pattern: str, kind: str, *, group: int = 0, source: str = "rule", hints: tuple[str, ...] = ()) -> Column:
     """All leftmost matches that do not overlap, as spans.
 
-    A captured group must end its match, look-ahead aside.  ``hint`` is a string that
-    every match holds; with it, texts that lack it are never searched.  Other texts are
-    searched once before matches are taken apart, as most have none.
+    A captured group must end its match, look-ahead aside.  ``hints`` are patterns that
+    are found faster and that every text with a match has; other texts are not searched.
+    What is left is searched once before matches are taken apart, as most have none.
     """
     gaps, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
     value = F.regexp_extract_all(text, F.lit(pattern), group) if group else whole
@@ -42,6 +42,6 @@ def find_spans(text: Column, pattern: str, kind: str, *, group: int = 0, source:
 
     spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), no_spans().alias("out")), step, lambda acc: acc["out"])
     some = text.rlike(pattern)
-    if hint:
-        some = text.contains(hint) & some
+    for hint in reversed(hints):
+        some = text.rlike(hint) & some
     return F.when(some, spans).otherwise(no_spans())

@@ -56,7 +56,7 @@ ID_FILLER = r"(?iU)^(?:is|was|be|should\s+be)\s+"
 
 @dataclass(frozen=True)
 class Rule:
-    """``name`` switches the rule; ``instead`` is another name that does, where the first is not given."""
+    """``name`` switches the rule; ``instead`` is another name that does, where the first is not given.  ``hints`` are those of ``find_spans``."""
 
     name: str
     kind: str
@@ -64,7 +64,7 @@ class Rule:
     group: int = 0
     on: bool = True
     instead: str | None = None
-    hint: str | None = None
+    hints: tuple[str, ...] = ()
 
     def enabled(self, toggles: dict[str, bool]) -> bool:
         return bool(toggles.get(self.name, toggles.get(self.instead, self.on) if self.instead else self.on))
@@ -72,18 +72,18 @@ class Rule:
 
 RULES = (
     Rule("phone", "PHONE", f"(?U){PHONE}"),
-    Rule("zh_phone", "PHONE", f"(?U){ZH_PHONE}"),
+    Rule("zh_phone", "PHONE", f"(?U){ZH_PHONE}", hints=(f"{ZH_DIGIT}{{4}}",)),
     Rule("en_spoken_phone", "PHONE", f"(?iU){EN_SPOKEN_PHONE}"),
-    Rule("partial_phone", "PHONE", f"(?iU){EN_PARTIAL_PHONE}", group=1),
-    Rule("partial_phone", "PHONE", f"(?U){ZH_PARTIAL_PHONE}", group=1),
-    Rule("email", "EMAIL", f"(?U){EMAIL}", hint="@"),
-    Rule("address", "ADDRESS", f"(?U){ZH_ADDRESS}"),
-    Rule("address", "ADDRESS", f"(?iU){EN_ADDRESS}"),
-    Rule("generic_id", "ID", f"(?iU){EN_ID}", group=1, on=False, instead="id_number"),
-    Rule("generic_id", "ID", f"(?iU){ZH_ID}", group=1, on=False, instead="id_number"),
-    Rule("nric", "ID", f"(?iU){NRIC}"),
-    Rule("postal_code", "ADDRESS", f"(?iU){POSTAL}"),
-    Rule("postal_code", "ADDRESS", f"(?iU){POSTAL_AFTER_ROAD}", group=1),
+    Rule("partial_phone", "PHONE", f"(?iU){EN_PARTIAL_PHONE}", group=1, hints=(r"(?U)\d{4}",)),
+    Rule("partial_phone", "PHONE", f"(?U){ZH_PARTIAL_PHONE}", group=1, hints=(f"{ZH_DIGIT}{{3}}",)),
+    Rule("email", "EMAIL", f"(?U){EMAIL}", hints=("@",)),
+    Rule("address", "ADDRESS", f"(?U){ZH_ADDRESS}", hints=("[大路街道园苑公]|Residence",)),
+    Rule("address", "ADDRESS", f"(?iU){EN_ADDRESS}", hints=(r"(?U)\d", f"(?iU){ROAD}")),
+    Rule("generic_id", "ID", f"(?iU){EN_ID}", group=1, on=False, instead="id_number", hints=(ID_DIGIT, "(?iU)id|number")),
+    Rule("generic_id", "ID", f"(?iU){ZH_ID}", group=1, on=False, instead="id_number", hints=(ID_DIGIT, "(?iU)id|[证号]")),
+    Rule("nric", "ID", f"(?iU){NRIC}", hints=(r"(?U)\d{7}",)),
+    Rule("postal_code", "ADDRESS", f"(?iU){POSTAL}", hints=(r"(?U)\d{6}",)),
+    Rule("postal_code", "ADDRESS", f"(?iU){POSTAL_AFTER_ROAD}", group=1, hints=(r"(?U)\d{6}", f"(?iU){ROAD}")),
 )
 
 
@@ -106,7 +106,7 @@ def rule_spans(text: Column, toggles: dict[str, bool] | None = None) -> Column:
     text, found = F.coalesce(text, F.lit("")), []
     for rule in RULES:
         if rule.enabled(toggles or {}):
-            spans = find_spans(text, rule.pattern, rule.kind, group=rule.group, hint=rule.hint)
+            spans = find_spans(text, rule.pattern, rule.kind, group=rule.group, hints=rule.hints)
             found.append(trimmed_ids(spans) if rule.kind == "ID" else spans)
     if not found:
         return no_spans()

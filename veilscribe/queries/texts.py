@@ -23,7 +23,7 @@ def _rule(name: str):
 
 def _one_rule(spark, sf_dir, name):
     r = _rule(name)
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(find_spans(F.col("text"), r.pattern, r.kind, hint=r.hint)).alias("s")).select("doc_id", *_SPAN)
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(find_spans(F.col("text"), r.pattern, r.kind, hints=r.hints)).alias("s")).select("doc_id", *_SPAN)
 
 
 def q_email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
