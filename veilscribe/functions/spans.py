@@ -26,11 +26,15 @@ def clean_spans(text: Column, spans: Column, min_chars: int) -> Column:
         return F.struct(start.alias("start"), end.alias("end"), kind.alias("type"), i.alias("i"), s["score"].alias("score"), s["source"].alias("source"))
 
     proper = F.filter(F.transform(F.coalesce(spans, no_spans()), keyed), lambda s: (s["start"] >= 0) & (s["end"] > s["start"]) & (s["type"] != "") & (s["end"] - s["start"] >= min_chars))
-    ordered = F.array_sort(proper)
-    # a sorted array and the same one place on, side by side
-    pairs = F.arrays_zip(ordered.alias("now"), F.concat(F.array(F.lit(None)), ordered).alias("before"))
-    new = F.filter(pairs, lambda p: p["now"].isNotNull() & (p["before"].isNull() | (p["now"]["start"] != p["before"]["start"]) | (p["now"]["end"] != p["before"]["end"]) | (p["now"]["type"] != p["before"]["type"])))
-    return F.transform(new, lambda p: make_span(p["now"]["start"], p["now"]["end"], p["now"]["type"], F.substr(text, p["now"]["start"] + 1, p["now"]["end"] - p["now"]["start"]), p["now"]["source"], p["now"]["score"]))
+
+    def distinct(ordered):
+        # a sorted array and the same one place on, side by side
+        pairs = F.arrays_zip(ordered.alias("now"), F.concat(F.array(F.lit(None)), ordered).alias("before"))
+        key = lambda x: F.struct(x["start"], x["end"], x["type"])
+        new = F.filter(pairs, lambda p: p["now"].isNotNull() & (p["before"].isNull() | (key(p["now"]) != key(p["before"]))))
+        return F.transform(new, lambda p: make_span(p["now"]["start"], p["now"]["end"], p["now"]["type"], F.substr(text, p["now"]["start"] + 1, p["now"]["end"] - p["now"]["start"]), p["now"]["source"], p["now"]["score"]))
+
+    return let(F.array_sort(proper), distinct)
 
 
 def merge_adjacent(text: Column, spans: Column, gap: int) -> Column:
@@ -51,8 +55,8 @@ def merge_adjacent(text: Column, spans: Column, gap: int) -> Column:
         )
 
     start = F.struct(no_spans().alias("out"), F.try_element_at(no_spans(), F.lit(1)).alias("last"))
-    merged = F.aggregate(spans, start, step, lambda acc: F.when(acc["last"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["last"]))))
-    return F.when(F.size(spans) < 2, spans).otherwise(merged)
+    merged = lambda given: F.aggregate(given, start, step, lambda acc: F.when(acc["last"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["last"]))))
+    return let(spans, lambda given: F.when(F.size(given) < 2, given).otherwise(merged(given)))
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -67,7 +71,7 @@ def redact(text: Column, spans: Column) -> Column:
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
     whole = F.aggregate(ordered, start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, n))), ""))
-    return F.when((n == 0) | (F.size(ordered) == 0), text).otherwise(whole)
+    return F.when((n == 0) | (F.size(F.coalesce(spans, no_spans())) == 0), text).otherwise(whole)
 
 
 def _unused(text: Column, wanted: Column, used: Column) -> Column:
