@@ -109,3 +109,14 @@ def test_detection_stream(spark, tmp_path):
     incremental.detect_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     (row,) = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [s["type"] for s in row["spans"]] == ["EMAIL"]
+
+
+def test_mask_sessions(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    at = lambda second, ms=0: f"2024-01-01T00:{second // 60:02d}:{second % 60:02d}.{ms:03d}Z"
+    write_lines(tmp_path / "in" / "1.json", [{"source": "a", "at": at(1)}, {"source": "a", "at": at(1, 40)}, {"source": "a", "at": at(5)}, {"source": "b", "at": at(1)}])
+    write_lines(tmp_path / "in" / "2.json", [{"source": "a", "at": at(600)}])
+    rows = spark.readStream.schema("source string, at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    query = incremental.mask_sessions(rows, by="source").writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r["source"], r["n"]) for r in spark.table("sessions").collect()) == [("a", 1), ("a", 2), ("b", 1)]

@@ -93,13 +93,12 @@ def decode(calls: DataFrame, make: Callable[[], Engine]) -> DataFrame:
 
 def _windows_again(segments: DataFrame, make, windows: Column, language: Column, overlap: float) -> DataFrame:
     """Segments decoded again in windows: seg, core_start and what the engine gives whose middle lies in its window."""
-    core = segments.select("seg", "audio_path", language.alias("language"), F.explode(windows).alias("w"))
-    core = core.withColumns({"call": F.col("seg"), "core_start": F.col("w.start"), "core_end": F.col("w.end")})
+    core = segments.select("seg", "audio_path", language.alias("language"), F.explode(windows).alias("w")).select("seg", "audio_path", "language", F.col("w.start").alias("core_start"), F.col("w.end").alias("core_end"))
+    keyed = core.withColumn("call", F.xxhash64("seg", "core_start"))
     clip = times.with_context(F.col("core_start"), F.col("core_end"), overlap)
-    keyed = core.withColumn("key", F.struct("seg", "core_start"))
-    calls = keyed.select(F.xxhash64("seg", "core_start").alias("call"), "audio_path", "language", clip["start"].alias("clip_start"), clip["end"].alias("clip_end"))
+    calls = keyed.select("call", "audio_path", "language", clip["start"].alias("clip_start"), clip["end"].alias("clip_end"))
     found = decode(calls, make).drop("audio_path", "language")
-    both = keyed.select("seg", "core_start", "core_end", F.xxhash64("seg", "core_start").alias("call")).join(found, "call")
+    both = keyed.select("seg", "core_start", "core_end", "call").join(found, "call")
     return both.filter(F.col("error").isNull() & times.owned(F.col("start"), F.col("end"), F.col("core_start"), F.col("core_end"))).select("seg", "text", "start", "end", "words")
 
 

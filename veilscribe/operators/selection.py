@@ -117,12 +117,15 @@ def nearest(rows: DataFrame, metric: str, low: float, high: float, n: int, key:
 
 
 def spread_examples(rows: DataFrame, metric: str, by: str, key: str) -> DataFrame:
-    """Of each group the best, the worst and the two at a third and two thirds of the way."""
-    group = Window.partitionBy(by)
-    ranked = rows.withColumns({"__i": F.row_number().over(group.orderBy(metric, key)) - 1, "__n": F.count("*").over(group)})
-    at = F.col("__i")
-    wanted = (at == 0) | (at == F.floor(F.col("__n") / 3)) | (at == F.floor(2 * F.col("__n") / 3)) | (at == F.col("__n") - 1)
-    return ranked.filter(wanted).drop("__i", "__n")
+    """Of each group the best, the worst and the two at a third and two thirds of the way.
+
+    Ranks come from one numbering of all rows by group, so that a large group is no task's alone.
+    """
+    ranked = checkpointed(numbered(rows, [by, metric, key], "__n"))
+    groups = ranked.groupBy(F.col(by).alias("__by")).agg(F.min("__n").alias("__first"), F.count("*").alias("__size"))
+    both = ranked.join(groups, F.col(by).eqNullSafe(F.col("__by")))
+    at, n = F.col("__n") - F.col("__first"), F.col("__size")
+    return both.filter((at == 0) | (at == F.floor(n / 3)) | (at == F.floor(2 * n / 3)) | (at == n - 1)).select(*rows.columns)
 
 
 def thinned(rows: DataFrame, order: list, most: int) -> DataFrame:
