@@ -7,6 +7,8 @@ star around its least node.  Each round is written out; nothing is gathered anyw
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +39,9 @@ def components(edges: DataFrame, space: Workspace, a: str = "a", b: str = "b", r
     suffice; a round about squares the reach, so that this needs absurd graphs.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").distinct()
-    before, name = None, None
+    before, name, run = None, None, uuid.uuid4().hex
     for k in range(rounds):
-        last, name = name, f"stars-{k}"
+        last, name = name, f"stars-{run}-{k}"
         now = space.table(_small_star(_large_star(now)), name)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if last:

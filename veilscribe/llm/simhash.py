@@ -23,7 +23,7 @@ from veilscribe.llm.store import Workspace, free
 
 _U = np.uint64
 _LANES, _ODD = _U(0x0101010101010101), _U(0x5555555555555555)
-#: A cell of more fingerprints is split into chunks of about this size, or 8 times the root of the cell's.
+#: A cell of more fingerprints is dealt out in chunks of about this size, or 8 times the root of the cell's.
 CHUNK = 512
 _SMALL = 12
 
@@ -208,9 +208,12 @@ def links(prints: DataFrame, cover: Cover, space: Workspace, chunk: int = CHUNK)
     """a, b: edges between distinct fingerprints that join what links within ``cover.most`` bits join.
 
     ``prints`` has distinct ``fingerprint``s.  Every linked pair that meets in a cell is
-    in one component of the edges; large tiles give a forest instead of all pairs.  Cells
-    are counted first, those of one fingerprint go, and a large cell is dealt out in
-    tiles of two chunks, so that no task gets a whole hot cell.
+    in one component of the edges; neither all pairs nor all links are given.  Cells are
+    counted first, and those of one fingerprint go.  A large cell is dealt out in chunks,
+    one of its fingerprints to all of them, and the components of the links within chunks
+    are found.  That settles cells whose members are all in one component.  In the others
+    the members of the largest component stay in their chunks, and only the rest, in
+    every chunk, are held against them.
     """
 
     def spread(batches):
@@ -221,16 +224,6 @@ def links(prints: DataFrame, cover: Cover, space: Workspace, chunk: int = CHUNK)
                 which = pa.array(np.repeat(np.arange(len(column)), found.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1).view(np.int64)), column.take(which)], ["cell", "fingerprint"])
 
-    cells = space.table(prints.select("fingerprint").mapInArrow(spread, "cell long, fingerprint binary"), "cells")
-    n = F.col("n")
-    shared = cells.groupBy(F.col("cell").alias("at")).agg(F.count("*").alias("n")).filter("n > 1")
-    split = F.when(n <= chunk, 1).otherwise(F.ceil(n / F.greatest(F.lit(chunk), F.ceil(8 * F.sqrt(n))))).cast("int")
-    met = cells.join(shared, cells["cell"] == shared["at"]).select("cell", "fingerprint", split.alias("split"))
-    mine = F.pmod(F.xxhash64("fingerprint"), F.col("split")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("split") - 1), lambda j: j != F.col("mine"))
-    tile = F.when(F.col("split") == 1, F.array("cell")).otherwise(F.transform(others, lambda j: F.xxhash64("cell", F.least("mine", j), F.greatest("mine", j))))
-    tiles = met.withColumn("mine", mine).select(F.explode(tile).alias("tile"), "fingerprint").repartition("tile").sortWithinPartitions("tile", "fingerprint")
-
     def find(batches):
         held_t, held_p = np.zeros(0, np.int64), np.zeros((0, cover.words), _U)
 
@@ -248,7 +241,30 @@ def links(prints: DataFrame, cover: Cover, space: Workspace, chunk: int = CHUNK)
         if len(held_t):
             yield result(held_t, held_p)
 
-    return tiles.mapInArrow(find, "a binary, b binary").distinct()
+    def linked(dealt: DataFrame) -> DataFrame:
+        """Edges within tiles of rows that have an array of ``tiles`` each."""
+        tiles = dealt.select(F.explode("tiles").alias("tile"), "fingerprint").repartition("tile").sortWithinPartitions("tile", "fingerprint")
+        return tiles.mapInArrow(find, "a binary, b binary").distinct()
+
+    cells = space.table(prints.select("fingerprint").mapInArrow(spread, "cell long, fingerprint binary"), "cells")
+    n, mark = F.col("n"), F.xxhash64("fingerprint")
+    shared = cells.groupBy(F.col("cell").alias("at")).agg(F.count("*").alias("n"), F.min(mark).alias("least")).filter("n > 1")
+    split = F.when(n <= chunk, 1).otherwise(F.ceil(n / F.greatest(F.lit(chunk), F.ceil(8 * F.sqrt(n))))).cast("int")
+    met = cells.join(shared, cells["cell"] == shared["at"]).select("cell", "fingerprint", split.alias("split"), (mark == F.col("least")).alias("central"))
+    own = F.array(F.xxhash64("cell", F.pmod(F.xxhash64(F.lit("chunk"), "fingerprint"), F.col("split")).cast("int")))
+    every = F.transform(F.sequence(F.lit(0), F.col("split") - 1), lambda j: F.xxhash64("cell", j))
+    near = space.table(linked(met.select("fingerprint", F.when((F.col("split") > 1) & F.col("central"), every).otherwise(own).alias("tiles"))), "near")
+    roots = space.table(components(near, space), "roots")
+    stars = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+    large = met.filter("split > 1").join(roots, F.col("fingerprint") == roots["node"], "left").select("cell", "fingerprint", "split", F.coalesce("root", "fingerprint").alias("part"))
+    large = space.table(large, "large")
+    parts = large.groupBy("cell", "part").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy(F.col("cell").alias("at")).agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    left = large.join(open_, large["cell"] == open_["at"]).select("fingerprint", F.when(F.col("part") == F.col("largest"), own).otherwise(every).alias("tiles"))
+    across = space.table(linked(left), "across")
+    space.drop("cells", "near", "large")
+    return stars.unionByName(across)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 3, cover: Cover | None = None) -> DataFrame:
@@ -268,9 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space = Workspace(docs.sparkSession, "simhash")
     prints = space.table(fingerprints(docs, id_col, text_col, shingle_words=shingle_words, words=cover.words), "prints")
     nodes = space.table(prints.groupBy("fingerprint").agg(F.min("id").alias("least")), "nodes")
-    edges = space.table(links(nodes, cover, space), "links")
-    space.drop("cells")
-    linked = components(edges, space)
+    linked = components(links(nodes, cover, space), space)
     rooted = nodes.join(linked, nodes["fingerprint"] == linked["node"]).select("fingerprint", "root", "least")
     smallest = rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
     moved = space.table(rooted.join(smallest, F.col("root") == F.col("of")).select(F.col("fingerprint").alias("node"), "component_id"), "moved")
