@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import roots
+from brute import roots
 
 from veilscribe.llm import embeddings, queries
 

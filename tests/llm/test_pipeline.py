@@ -1,5 +1,5 @@
 import corpus_pipeline
-from test_texts import base, removed
+from test_documents import base, removed
 from test_tokens import check_packed
 
 from veilscribe.llm import fertility

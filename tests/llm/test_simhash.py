@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from conftest import roots
+from brute import roots
 
 from veilscribe.llm import graph, queries, simhash
 from veilscribe.llm.store import Workspace
