@@ -14,8 +14,9 @@ from veilscribe.llm import fertility, mixing, packing, simhash, substrings
 from veilscribe.llm.store import Workspace
 
 #: Near-duplicates: 256 bits over shingles of five words; at most 52 differ, which is a cosine of 0.8 or more between the
-#: shingle counts.  Pairs meet in 48 tables of 18 bits: with a probability of 0.92 at a Jaccard similarity of 0.8, 0.999 at 0.9.
-NEAR = simhash.Cover.sampled(52, words=4, tables=48, segments=18)
+#: shingle counts.  At a Jaccard similarity of 0.8 about 39 differ, and such pairs meet with a probability of 0.92 at any
+#: size of the corpus; at 0.9 with 0.999.
+NEAR = simhash.Sampling(52, words=4, typical=38.8, recall=0.92)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ against each other by the Manhattan distance, and what is left is verified exact
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -130,6 +131,28 @@ class Cover:
                 yield cell ^ (cell >> _U(32))
 
 
+@dataclass(frozen=True)
+class Sampling:
+    """A sampled cover that grows with the corpus: random fingerprints meet as seldom, and near ones as often, at any size.
+
+    A table has ``spare`` bits more than it takes to number the fingerprints, so that one
+    meets 2 ** -spare unrelated ones in it.  There are as many tables as two fingerprints
+    that differ in ``typical`` bits need to meet with probability ``recall``.
+    """
+
+    most: int
+    words: int
+    typical: float
+    recall: float
+    spare: int = 2
+
+    def cover(self, n: int) -> Cover:
+        bits = 64 * self.words
+        segments = min(bits, math.ceil(math.log2(max(n, 2))) + self.spare)
+        tables = math.ceil(math.log(1 - self.recall) / math.log1p(-((1 - self.typical / bits) ** segments)))
+        return Cover.sampled(self.most, self.words, tables, segments)
+
+
 def _mask(segments: np.ndarray, bits: int, words: int) -> tuple[int, ...]:
     out = [0] * words
     for s in segments.tolist():
@@ -219,10 +242,10 @@ def links(prints: DataFrame, cover: Cover, space: Workspace, chunk: int = CHUNK)
     def spread(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                column = batch.column(0).slice(at, 2048)
-                found = np.stack(list(cover.cells(_as_words(column, cover.words))), axis=1)
-                which = pa.array(np.repeat(np.arange(len(column)), found.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1).view(np.int64)), column.take(which)], ["cell", "fingerprint"])
+                part = batch.slice(at, 2048)
+                found = np.stack(list(cover.cells(_as_words(part.column(0), cover.words))), axis=1)
+                marks = np.repeat(part.column(1).to_numpy(zero_copy_only=False), found.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1).view(np.int64)), pa.array(marks)], ["cell", "mark"])
 
     def find(batches):
         held_t, held_p = np.zeros(0, np.int64), np.zeros((0, cover.words), _U)
@@ -246,11 +269,14 @@ def links(prints: DataFrame, cover: Cover, space: Workspace, chunk: int = CHUNK)
         tiles = dealt.select(F.explode("tiles").alias("tile"), "fingerprint").repartition("tile").sortWithinPartitions("tile", "fingerprint")
         return tiles.mapInArrow(find, "a binary, b binary").distinct()
 
-    cells = space.table(prints.select("fingerprint").mapInArrow(spread, "cell long, fingerprint binary"), "cells")
-    n, mark = F.col("n"), F.xxhash64("fingerprint")
-    shared = cells.groupBy(F.col("cell").alias("at")).agg(F.count("*").alias("n"), F.min(mark).alias("least")).filter("n > 1")
+    # rows of the cells are two numbers; fingerprints come back for those that meet another
+    marked = prints.select("fingerprint", F.xxhash64("fingerprint").alias("mark"))
+    cells = space.table(marked.mapInArrow(spread, "cell long, mark long"), "cells")
+    n = F.col("n")
+    shared = cells.groupBy(F.col("cell").alias("at")).agg(F.count("*").alias("n"), F.min("mark").alias("least")).filter("n > 1")
     split = F.when(n <= chunk, 1).otherwise(F.ceil(n / F.greatest(F.lit(chunk), F.ceil(8 * F.sqrt(n))))).cast("int")
-    met = cells.join(shared, cells["cell"] == shared["at"]).select("cell", "fingerprint", split.alias("split"), (mark == F.col("least")).alias("central"))
+    met = cells.join(shared, cells["cell"] == shared["at"]).select("cell", "mark", split.alias("split"), (F.col("mark") == F.col("least")).alias("central"))
+    met = met.join(marked.withColumnRenamed("mark", "of"), F.col("mark") == F.col("of")).select("cell", "fingerprint", "split", "central")
     own = F.array(F.xxhash64("cell", F.pmod(F.xxhash64(F.lit("chunk"), "fingerprint"), F.col("split")).cast("int")))
     every = F.transform(F.sequence(F.lit(0), F.col("split") - 1), lambda j: F.xxhash64("cell", j))
     near = space.table(linked(met.select("fingerprint", F.when((F.col("split") > 1) & F.col("central"), every).otherwise(own).alias("tiles"))), "near")
@@ -267,7 +293,7 @@ def links(prints: DataFrame, cover: Cover, space: Workspace, chunk: int = CHUNK)
     return stars.unionByName(across)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 3, cover: Cover | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 3, cover: Cover | Sampling | None = None) -> DataFrame:
     """One row for each row of ``docs``: id, fingerprint (binary), component_id.
 
     Fingerprints that differ in at most ``cover.most`` bits are linked (3 of 64 by
@@ -284,6 +310,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space = Workspace(docs.sparkSession, "simhash")
     prints = space.table(fingerprints(docs, id_col, text_col, shingle_words=shingle_words, words=cover.words), "prints")
     nodes = space.table(prints.groupBy("fingerprint").agg(F.min("id").alias("least")), "nodes")
+    if isinstance(cover, Sampling):
+        cover = cover.cover(nodes.count())
     linked = components(links(nodes, cover, space), space)
     rooted = nodes.join(linked, nodes["fingerprint"] == linked["node"]).select("fingerprint", "root", "least")
     smallest = rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
