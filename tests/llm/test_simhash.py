@@ -100,3 +100,29 @@ def test_wide_cover_finds_near_copies(spark):
 
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, shingle_words=5, cover=NEAR).collect()}
     assert got == {i: i % 100 for i, _ in rows}
+
+
+def test_wide_cover_meets_at_the_full_radius():
+    from corpus_pipeline import NEAR
+
+    draw = np.random.default_rng(11)
+    a = draw.integers(0, 2**64, (20_000, 4), np.uint64, endpoint=False)
+    far = np.argsort(draw.random((len(a), 256)), axis=1) < NEAR.most
+    b = a ^ np.packbits(far, axis=1, bitorder="little").view(np.uint64)
+    assert (np.bitwise_count(a ^ b).sum(axis=1) == NEAR.most).all()
+    cover = NEAR.cover(2 * len(a))
+    met = np.any([x == y for x, y in zip(cover.cells(a), cover.cells(b), strict=True)], axis=0)
+    assert met.mean() > 0.985
+
+
+@pytest.mark.parametrize("n", [1, 11, 12, 13, 64, 65, 700])
+def test_forest_is_all_pairs(n):
+    draw = np.random.default_rng(n)
+    prints = draw.integers(0, 2**64, (n, 4), np.uint64, endpoint=False)
+    for k in range(1, n, 2):
+        flips = draw.choice(256, draw.integers(40, 60), replace=False)
+        prints[k] = prints[k // 3] ^ np.packbits(np.isin(np.arange(256), flips), bitorder="little").view(np.uint64)
+    a, b = simhash._forest(simhash.Cover.sampled(52, 4, 1, 1), prints)
+    pairs = [(i, j) for i, j in itertools.combinations(range(n), 2) if np.bitwise_count(prints[i] ^ prints[j]).sum() <= 52]
+    assert roots(zip(a.tolist(), b.tolist(), strict=True), range(n)) == roots(pairs, range(n))
+    assert (b < a).all()

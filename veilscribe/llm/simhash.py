@@ -133,25 +133,30 @@ class Cover:
 
 @dataclass(frozen=True)
 class Sampling:
-    """A sampled cover that grows with the corpus: random fingerprints meet as seldom, and near ones as often, at any size.
+    """A sampled cover for a corpus of any size.
 
-    A table has ``spare`` bits more than it takes to number the fingerprints, so that one
-    meets 2 ** -spare unrelated ones in it.  There are as many tables as two fingerprints
-    that differ in ``typical`` bits need to meet with probability ``recall``.
+    A cell holds about 2 ** ``crowd`` unrelated fingerprints at most, which are held
+    against each other.  There are as many tables as two fingerprints that differ in
+    ``typical`` bits need to meet with probability ``recall``; nearer ones meet more often.
     """
 
     most: int
     words: int
-    typical: float
+    typical: int
     recall: float
-    spare: int = 2
+    crowd: int = 9
 
     def cover(self, n: int) -> Cover:
         bits = 64 * self.words
-        segments = min(bits, math.ceil(math.log2(max(n, 2))) + self.spare)
-        tables = math.ceil(math.log(1 - self.recall) / math.log1p(-((1 - self.typical / bits) ** segments)))
+        segments = min(bits - self.typical, max(0, math.ceil(math.log2(max(n, 2))) - self.crowd))
+        agree = math.comb(bits - self.typical, segments) / math.comb(bits, segments)
+        tables = 1 if agree == 1 else math.ceil(math.log(1 - self.recall) / math.log1p(-agree))
         return Cover.sampled(self.most, self.words, tables, segments)
 
+    def chunk(self) -> int:
+        """Cells of up to four times the usual crowd are not dealt out."""
+        return max(CHUNK, 4 << self.crowd)
+
 
 def _mask(segments: np.ndarray, bits: int, words: int) -> tuple[int, ...]:
     out = [0] * words
@@ -175,32 +180,44 @@ def _as_binary(prints: np.ndarray) -> pa.Array:
 # ------------------------------------------------------------------------------- links
 
 
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits the rows of a and b differ in, word by word."""
+    out = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+    for w in range(1, a.shape[-1]):
+        out += np.bitwise_count(a[..., w] ^ b[..., w])
+    return out
+
+
 def _near(cover: Cover, a: np.ndarray, b: np.ndarray, counts_a: np.ndarray, counts_b: np.ndarray) -> np.ndarray:
     """Which rows of a and b are linked: first by the Manhattan bound, then exactly."""
-    near = np.bitwise_count(counts_a ^ counts_b).sum(axis=-1, dtype=np.int16) <= cover.most
+    near = _bits(counts_a, counts_b) <= cover.most
     if cover.bits > 1 and near.any():
         at = np.nonzero(near)
         a, b = np.broadcast_arrays(a, b)
-        near[at] = np.bitwise_count(a[at] ^ b[at]).sum(axis=-1, dtype=np.int16) <= cover.most
+        near[at] = _bits(a[at], b[at]) <= cover.most
     return near
 
 
 def _forest(cover: Cover, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For a large tile: members and the first member of their component, instead of all linked pairs."""
-    n, counts = len(prints), cover.counts(prints)
+    n, prints = len(prints), np.asfortranarray(prints)
+    counts = np.asfortranarray(cover.counts(prints))
     near = np.zeros((n, n), bool)
     for at in range(0, n, 64):
-        rows = slice(at, at + 64)
-        near[rows] = _near(cover, prints[rows, None], prints[None], counts[rows, None], counts[None])
-    label = np.arange(n)
+        rows, rest = slice(at, at + 64), slice(at, n)
+        near[rows, rest] = _near(cover, prints[rows, None], prints[None, rest], counts[rows, None], counts[None, rest])
+    linked = np.flatnonzero(near.sum(axis=1) + near.sum(axis=0) > 2)
+    near = near[np.ix_(linked, linked)]
+    near |= near.T
+    label = np.arange(len(linked))
     while True:
-        least = np.where(near, label[None], n).min(axis=1)
+        least = np.concatenate([np.zeros(0, np.int64), *(np.where(near[at : at + 64], label[None], n).min(axis=1) for at in range(0, len(linked), 64))])
         least = least[least]
         if (least == label).all():
             break
         label = least
-    moved = np.flatnonzero(label != np.arange(n))
-    return moved, label[moved]
+    moved = np.flatnonzero(label != np.arange(len(linked)))
+    return linked[moved], linked[label[moved]]
 
 
 def _links_of(cover: Cover, tiles: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,9 +327,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space = Workspace(docs.sparkSession, "simhash")
     prints = space.table(fingerprints(docs, id_col, text_col, shingle_words=shingle_words, words=cover.words), "prints")
     nodes = space.table(prints.groupBy("fingerprint").agg(F.min("id").alias("least")), "nodes")
+    chunk = CHUNK
     if isinstance(cover, Sampling):
-        cover = cover.cover(nodes.count())
-    linked = components(links(nodes, cover, space), space)
+        cover, chunk = cover.cover(nodes.count()), cover.chunk()
+    linked = components(links(nodes, cover, space, chunk), space)
     rooted = nodes.join(linked, nodes["fingerprint"] == linked["node"]).select("fingerprint", "root", "least")
     smallest = rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
     moved = space.table(rooted.join(smallest, F.col("root") == F.col("of")).select(F.col("fingerprint").alias("node"), "component_id"), "moved")
