@@ -14,8 +14,9 @@ from veilscribe.llm import fertility, mixing, packing, simhash, substrings
 from veilscribe.llm.store import Workspace
 
 #: Near-duplicates: 256 bits over shingles of five words; at most 52 differ, which is a cosine of 0.8 or more between the
-#: shingle counts.  Two fingerprints that differ in 52 bits meet with a probability of 0.99, nearer ones more often.
-NEAR = simhash.Sampling(52, words=4, typical=52, recall=0.99)
+#: shingle counts.  Two fingerprints that differ in 52 bits meet with a probability of 0.99
+#: at any size of the corpus, nearer ones more often.
+NEAR = simhash.Sampling(52, words=4, recall=0.99)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -126,3 +127,14 @@ def test_forest_is_all_pairs(n):
     pairs = [(i, j) for i, j in itertools.combinations(range(n), 2) if np.bitwise_count(prints[i] ^ prints[j]).sum() <= 52]
     assert roots(zip(a.tolist(), b.tolist(), strict=True), range(n)) == roots(pairs, range(n))
     assert (b < a).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 500, 44_000, 222_000, 13_000_000, 10**9])
+def test_recall_within_the_radius_holds_at_any_size(n):
+    from corpus_pipeline import NEAR
+
+    cover = NEAR.cover(n)
+    segments = sum(map(int.bit_count, cover.masks[0]))
+    for apart in range(NEAR.most + 1):
+        agree = math.comb(256 - apart, segments) / math.comb(256, segments)
+        assert 1 - (1 - agree) ** len(cover.masks) >= 0.99

@@ -133,23 +133,23 @@ class Cover:
 
 @dataclass(frozen=True)
 class Sampling:
-    """A sampled cover for a corpus of any size.
+    """A sampled cover that grows with the corpus and has the same recall at any size.
 
     A cell holds about 2 ** ``crowd`` unrelated fingerprints at most, which are held
     against each other.  There are as many tables as two fingerprints that differ in
-    ``typical`` bits need to meet with probability ``recall``; nearer ones meet more often.
+    ``most`` bits need to meet with probability ``recall``, at any size; nearer ones meet
+    more often.  The number of tables grows with the corpus, about as its third root.
     """
 
     most: int
     words: int
-    typical: int
     recall: float
     crowd: int = 9
 
     def cover(self, n: int) -> Cover:
         bits = 64 * self.words
-        segments = min(bits - self.typical, max(0, math.ceil(math.log2(max(n, 2))) - self.crowd))
-        agree = math.comb(bits - self.typical, segments) / math.comb(bits, segments)
+        segments = min(bits - self.most, max(0, math.ceil(math.log2(max(n, 2))) - self.crowd))
+        agree = math.comb(bits - self.most, segments) / math.comb(bits, segments)
         tables = 1 if agree == 1 else math.ceil(math.log(1 - self.recall) / math.log1p(-agree))
         return Cover.sampled(self.most, self.words, tables, segments)
 
