@@ -1,8 +1,12 @@
+import itertools
+import random
+
 import corpus_pipeline
+from brute import roots
 from test_documents import base, removed
 from test_tokens import check_packed
 
-from veilscribe.llm import fertility
+from veilscribe.llm import fertility, simhash
 
 
 def staged(spark, docs, upto):
@@ -60,3 +64,20 @@ def test_odd_rows_pass_every_stage(spark, odd_docs, no_docs):
     ids = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, odd_docs, "").collect()]
     assert ids.count(5) == 1 and ids.count(None) == 2 and 9 not in ids and 12 not in ids
     assert staged(spark, no_docs, 5).collect() == []
+
+
+def test_near_dedup_is_all_pairs(spark):
+    """Pairs at Jaccard similarities from about 0.78 to 0.95 over five-word shingles."""
+    draw, rows = random.Random(3), []
+    for k in range(450):
+        words = [f"w{draw.randrange(5000)}" for _ in range(300)]
+        other = list(words)
+        for at in range(draw.randrange(1, 8)):
+            other[10 + 40 * at] = f"x{draw.randrange(5000)}"
+        rows += [(k, " ".join(words)), (1000 + k, " ".join(other))]
+    prints = [int.from_bytes(simhash.fingerprint(t, 5, 4), "big") for _, t in rows]
+    pairs = [(rows[i][0], rows[j][0]) for i, j in itertools.combinations(range(len(rows)), 2) if (prints[i] ^ prints[j]).bit_count() <= 52]
+    expected = set(roots(pairs, [i for i, _ in rows]).values())
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert len(pairs) > 400 and expected <= kept, "nothing unlike goes"
+    assert len(kept - expected) <= 0.01 * len(pairs), "near copies go"
