@@ -93,15 +93,115 @@ def test_op10_is_brute_force(spark, data):
     assert any(g for _, g, _ in expected.values())
 
 
-@pytest.mark.parametrize(("window", "block", "task"), [(2, 60, 5), (3, 1, 1), (4, 10_000, 10_000)])
-def test_small_windows_and_blocks(spark, window, block, task):
+def abc(window):
     draw = random.Random(window)
     rows = [(i, " ".join(draw.choice("abc") for _ in range(draw.randrange(0, 14)))) for i in range(60)] + [(60, None), (61, "  "), (62, "é ü ñ é ü ñ é ü ñ")]
+    return rows + [(63 + k, f"{draw.choice('abc')} x y z x y z a b c d e f g {draw.choice('abc')}") for k in range(12)]
+
+
+SMALL = [(2, 60, 5, 2), (3, 1, 1, 1), (4, 10_000, 10_000, 1024), (7, 100, 1, 1), (6, 10_000, 3, 4)]
+
+
+@pytest.mark.parametrize(("window", "block", "task", "classes"), SMALL)
+def test_small_windows_and_blocks(spark, window, block, task, classes):
+    rows = abc(window)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = substrings.remove_repeats(docs, window=window, block_bytes=block, task_suffixes=task).collect()
+    got = substrings.remove_repeats(docs, window=window, block_bytes=block, task_suffixes=task, first_classes=classes).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], WORD.findall(r["text"] or "")) for r in got} == {i: (n, g, kept) for i, n, g, kept in removed(rows, window)}
 
 
+def passages(rows, window):
+    """Maximal runs of windows that repeat, one after another, places where the windows are for the first time."""
+    seen, out = {}, []
+    for i, text in rows:
+        words, run = WORD.findall(text or ""), None
+        for k in range(len(words) - window + 1):
+            of, at = seen.setdefault(tuple(words[k : k + window]), (i, k))
+            if (of, at) == (i, k):
+                run = None
+            elif run and (of, at) == (run[3], run[4] + run[2] - window + 1):
+                run[2] += 1
+            else:
+                run = [i, k, window, of, at]
+                out.append(run)
+    return sorted(map(tuple, out))
+
+
+@pytest.mark.parametrize(("window", "block", "task", "classes"), SMALL)
+def test_maximal_repeats_are_brute_force(spark, window, block, task, classes):
+    docs = spark.createDataFrame(abc(window), "doc_id long, text string").repartition(5)
+    got = substrings.maximal_repeats(docs, window=window, block_bytes=block, task_suffixes=task, first_classes=classes)
+    assert got.columns == ["doc_id", "start", "length", "first_id", "first_start"]
+    assert sorted(map(tuple, got.collect())) == passages(abc(window), window)
+
+
+def test_maximal_repeats_of_the_documents(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    expected = passages(rows, 20)
+    assert sorted(map(tuple, substrings.maximal_repeats(docs, block_bytes=50_000, task_suffixes=500).collect())) == expected and max(r[2] for r in expected) > 50
+    assert substrings.maximal_repeats(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("hashes", [1, 2, 7])
+def test_words_are_compared_and_not_their_hashes(hashes):
+    """With a hash that hardly tells words apart, in blocks and in trees."""
+    rows, window = abc(4), 4
+    told = substrings.word_hash
+    substrings.word_hash = lambda word: len(word) * 31 % hashes
+    try:
+        import numpy as np
+
+        block = substrings.Block.of([t for _, t in rows], np.arange(len(rows)), window)
+        at, bits, later, _ = block.heads(np.arange(len(block.anchors)))
+        contexts = block.contexts(at, bits)
+        suffix, k, _ = substrings.repeats(contexts, bits, window)
+    finally:
+        substrings.word_hash = told
+    starts = sorted([*later.tolist(), *(at[suffix] - k).tolist()])
+    seen, expected, base_ = set(), [], 0
+    for _, text in rows:
+        words = WORD.findall(text or "")
+        for i in range(len(words) - window + 1):
+            run = tuple(words[i : i + window])
+            expected += [base_ + i] * (run in seen)
+            seen.add(run)
+        base_ += len(words)
+    assert starts == expected
+
+
+def test_trees_are_their_words():
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    words = draw.integers(0, 3, (6, 200))
+    tree = substrings.Tree(words)
+    columns = [tuple(c) for c in words.T]
+    assert [columns[k] for k in tree.order] == sorted(columns)
+    for depth in range(7):
+        classes = {}
+        for node, column in zip(tree.nodes(depth).tolist(), columns, strict=True):
+            classes.setdefault(node, set()).add(column[:depth])
+        assert all(len(c) == 1 for c in classes.values()) and len(classes) == len({c[:depth] for c in columns})
+
+
+def test_prefixes_are_extended_until_they_fit():
+    import numpy as np
+
+    texts = ["the cat sat on the mat and looked at me"] * 3 + [f"the cat sat on the mat and looked {k}" for k in range(200)] + [f"word{k} b c d e f g" for k in range(50)]
+    block = substrings.Block.of(texts, np.arange(len(texts)), 7)
+    at, bits, _, _ = block.heads(np.arange(len(block.anchors)))
+    prefixes, rounds = substrings.Prefixes(7 - substrings.places(7) + 1, 4), 0
+    while True:
+        node, _, some = prefixes.deal(block, at, bits)
+        sizes = dict(enumerate(np.bincount(node).tolist()))
+        if not prefixes.extend({k: n for k, n in sizes.items() if n}, 20):
+            break
+        rounds += 1
+    assert 1 < rounds <= prefixes.anchor and max(n for k, n in sizes.items() if prefixes.depth[k] <= prefixes.anchor) <= 20
+    assert sum(map(int.bit_count, some.tolist())) == sum(map(int.bit_count, bits.tolist()))
+
+
 def test_op10_odd_rows(odd_docs, no_docs):
     got = substrings.remove_repeats(odd_docs)
     assert got.columns == [*odd_docs.columns, "n_words_", "n_removed_"]
@@ -110,7 +210,7 @@ def test_op10_odd_rows(odd_docs, no_docs):
     assert set(rows) == set(before)
     assert all(r["text"] == before[k]["text"] for k, r in rows.items() if not r["n_removed_"])
     by_id = {k[0]: r["n_removed_"] for k, r in rows.items()}
-    assert by_id[7] == 0 and by_id[9] == 18_000 and by_id[11] == 150 - 5 - 19 + 0 or by_id[11] > 100
+    assert by_id[7] == 0 and by_id[9] == 18_000
     assert substrings.remove_repeats(no_docs).collect() == []
     with pytest.raises(ValueError, match="window"):
         substrings.remove_repeats(no_docs, window=1)

@@ -1,27 +1,35 @@
 """Removal of repeated passages with prefix-partitioned suffix trees over words.
 
-A suffix is what follows a word of a document.  A passage of ``window`` words that
-occurs twice is an inner node of the suffix tree at that depth or deeper, and the places
-where it occurs are the leaves below.  The tree is never built whole:
-
-1. Documents are written as blocks.  In each window the least hash of a run of
-   ``anchor`` words marks an anchor; equal windows have equal anchors.  Anchors seen once
-   in the corpus rule their suffixes out, so that most suffixes go no further.
-2. The others are dealt out by prefixes of variable length: by a short one, and by the
-   whole window where the suffixes of a short prefix would not fit into a task's memory.
-3. A task sorts the suffixes of its prefixes, which lays the leaves of each deep inner
-   node side by side.  Each node's first leaf, in the order of the corpus, stays; the
-   others repeat it.  Runs of repeated windows are the maximal repeats.
-
-Between the steps only packed arrays move, one for each block and task.  Equal suffixes
-of a block are one before they are dealt out, so a passage in a third of all documents
-counts once for each block.
+A window of words that occurs twice is a repeat.  The suffixes taken into trees are
+those that start at anchors: in each window the run of ``window - 8`` words with the
+least hash is its anchor, so that equal windows have equal anchors at equal places.  A
+window is then a suffix's first words, its right part, and up to eight words before it,
+its left part.
+
+1. Documents are written as blocks, with their words as numbers of the block's own
+   vocabulary.  Anchors seen once in the corpus rule their windows out.
+2. The suffixes at the other anchors are dealt out by prefixes of variable length.  A
+   prefix of one word is extended word by word as long as its suffixes would not fit
+   into a task's memory; where the whole anchor does not do, its windows are dealt out
+   one by one.
+3. A task has the suffixes of some prefixes as word sequences.  Sorted, with the lengths
+   of the prefixes that neighbours share, they are a suffix tree, and so are the left
+   parts read backwards.  Leaves that share a node of depth r to the right and one of
+   depth l to the left repeat l + r words; those with ``window`` words are deep.  The
+   first leaf of a deep node in the order of the corpus stays, the others repeat it.
+4. Windows that repeat one place after another are joined to maximal repeats.
+
+Hashes only propose: nothing is called equal before its words were compared.  Between
+the steps packed arrays move, one for each block and prefix group.  Equal windows of a block are one
+before they are dealt out, so a passage in a third of all documents counts once for
+each block.
 """
 
 from __future__ import annotations
 
 import io
 import re
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -36,11 +44,12 @@ from pyspark.sql import functions as F
 from veilscribe.llm.store import Workspace, free, get, put
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+\x20*[\x09-\x0D\x20]*")
-#: Text in a block, about, unless one document has more; documents in it at most.
-BLOCK_BYTES, BLOCK_DOCS = 6_000_000, 16_384
-#: Short prefixes, by hash; suffixes that one task should hold; words of a short prefix and of an anchor.
-PREFIXES, TASK_SUFFIXES, PREFIX_WORDS, ANCHOR_WORDS = 256, 2_000_000, 5, 12
-_MEMO = 400_000
+#: Text in a block, about, unless one document has more; documents in it at most; blocks that a task takes one after another.
+BLOCK_BYTES, BLOCK_DOCS, TASK_BLOCKS = 8_000_000, 32_768, 64
+#: Suffixes that a group should hold, and classes that the first word of a prefix is dealt into.
+TASK_SUFFIXES, FIRST_CLASSES = 400_000, 1024
+#: Places that an anchor may have in a window.
+PLACES = 9
 _U = np.uint64
 _MULTIPLIER = _U(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
@@ -49,18 +58,9 @@ _LAST = np.iinfo(np.int64).max
 # ------------------------------------------------------------------- hashes of word runs
 
 
-class _Hashes(dict):
-    """Word to a 64-bit hash, bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= _MEMO:
-            self.clear()
-        self[word] = found
-        return found
-
-
-_hashes = _Hashes()
+def word_hash(word: bytes) -> int:
+    """Proposes equal words; nothing rests on it."""
+    return xxhash.xxh3_64_intdigest(word)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -95,46 +95,234 @@ def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return _joined(np.arange(len(values)), width, lambda a, b: np.where(values[b] < values[a], b, a))
 
 
+def places(window: int) -> int:
+    """How many places an anchor may have in a window; it is ``window - places + 1`` words long."""
+    return max(1, min(PLACES, (window + 1) // 2))
+
+
 # -------------------------------------------------------------------------------- blocks
 
 
-class Windows:
-    """The windows of a block's documents, which are in the order of the corpus.
+class _Numbers(dict):
+    """Word to its number, in the order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self)
+        return found
 
-    ``start`` has the places of their first words, counted over the block, and
-    ``anchor`` the hash of the anchor of each.
+
+class Block:
+    """The words of a block's documents, in the order of the corpus.
+
+    ``words`` has their numbers in ``vocabulary``, ``lengths`` the words of each document,
+    ``anchors`` the places of the anchors, and ``windows`` for each anchor the windows it
+    is in: bit k for the one that starts k words before it.
     """
 
-    def __init__(self, texts: list[str | None], window: int):
-        self.window, look = window, _hashes.__getitem__
-        anchor = min(ANCHOR_WORDS, window)
-        words = [t.encode().split() if t else [] for t in texts]
-        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
-        self.ends = np.cumsum(self.lengths)
-        n = int(self.ends[-1]) if len(words) else 0
-        self.flat = np.fromiter(map(look, chain.from_iterable(words)), _U, n)
-        self.start, self.anchor_at, self.anchor = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
+    def __init__(self, words: np.ndarray, vocabulary: list[bytes], lengths: np.ndarray, ids: np.ndarray, window: int):
+        self.words, self.vocabulary, self.lengths, self.ids, self.window = words, vocabulary, lengths, ids, window
+        self.ends = np.cumsum(lengths)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(word_hash, self.vocabulary), _U, len(self.vocabulary))
+
+    @classmethod
+    def of(cls, texts, ids: np.ndarray, window: int) -> Block:
+        numbers = _Numbers()
+        look, parts, lengths = numbers.__getitem__, [np.zeros(0, np.uint32)], []
+        for text in texts:
+            found = text.encode().split() if text else []
+            lengths.append(len(found))
+            parts.append(np.fromiter(map(look, found), np.uint32, len(found)))
+        block = cls(np.concatenate(parts), list(numbers), np.array(lengths, np.int64), ids, window)
+        block._anchor()
+        return block
+
+    def _anchor(self) -> None:
+        n, places_, window = len(self.words), places(self.window), self.window
+        self.anchors, self.windows = np.zeros(0, np.int64), np.zeros(0, np.uint16)
         if n >= window:
-            self.start = np.flatnonzero(np.arange(n) + window <= np.repeat(self.ends, self.lengths))
-            runs = run_hashes(self.flat, anchor, 3)
-            self.anchor_at = leftmost_least(runs, window - anchor + 1)[self.start]
-            self.anchor = runs[self.anchor_at]
+            runs = run_hashes(self.hashes[self.words], window - places_ + 1, 3)
+            start = np.flatnonzero(np.arange(n) + window <= np.repeat(self.ends, self.lengths))
+            at = leftmost_least(runs, places_)[start]
+            if len(at):
+                # windows in a row have anchors in a row
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                self.anchors = at[first]
+                self.windows = np.add.reduceat(1 << (at - start), first).astype(np.uint16)
+
+    def to_bytes(self) -> bytes:
+        small = self.words.astype(np.uint16) if len(self.vocabulary) <= 1 << 16 else self.words
+        np.savez(out := io.BytesIO(), words=small, vocabulary=np.frombuffer(b" ".join(self.vocabulary), np.uint8), lengths=self.lengths, ids=self.ids, anchors=np.diff(self.anchors, prepend=0).astype(np.uint32), windows=self.windows, window=self.window)
+        return zstandard.ZstdCompressor(1).compress(out.getvalue())
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Block:
+        with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data))) as held:
+            block = cls(held["words"].astype(np.int64), held["vocabulary"].tobytes().split(), held["lengths"], held["ids"], int(held["window"]))
+            block.anchors, block.windows = np.cumsum(held["anchors"], dtype=np.int64), held["windows"]
+        return block
+
+    def prefix(self, at: np.ndarray, length: int, before: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of ``length`` words from each place on; ``before`` has those of one word less."""
+        out = np.full(len(at), 17, _U) if before is None else before
+        with np.errstate(over="ignore"):
+            for k in range(0 if before is None else length - 1, length):
+                out = _mix(out * _MULTIPLIER + self.hashes[self.words[at + k]])
+        return out
+
+    def anchor_hashes(self) -> np.ndarray:
+        return self.prefix(self.anchors, self.window - places(self.window) + 1)
+
+    def met(self, hashes: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+        """Which anchors are in another block, given the hashes of those, or in two places of this one."""
+        ordered = np.sort(hashes)
+        return np.isin(hashes, np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], elsewhere]))
+
+    def heads(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows of the chosen anchors, the first of each word sequence: anchors and windows left.  And the starts of the others, with the first start of each."""
+        at, bits = self.anchors[chosen], self.windows[chosen].copy()
+        owner, k = _bits_of(bits)
+        start = at[owner] - k
+        order = np.argsort(start)
+        start, owner, k = start[order], owner[order], k[order]
+        hashes = run_hashes(self.hashes[self.words], self.window, 11)[start] if len(start) else np.zeros(0, _U)
+        order = np.argsort(hashes, kind="stable")
+        fresh = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]) if len(order) else np.zeros(0, bool)
+        first = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+        again = order != first
+        later, earlier = order[again], first[again]
+        same = np.ones(len(later), bool)
+        for j in range(self.window):
+            same &= self.words[start[later] + j] == self.words[start[earlier] + j]
+        later, earlier = later[same], earlier[same]
+        np.bitwise_and.at(bits, owner[later], ~(np.uint16(1) << k[later].astype(np.uint16)))
+        left = bits > 0
+        sort = np.argsort(start[later])
+        return at[left], bits[left], start[later][sort], start[earlier][sort]
+
+    def contexts(self, at: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """For each anchor the words that its windows cover, plus one: ``window`` from it on and those before it, backwards; 0 elsewhere."""
+        w, p = self.window, places(self.window)
+        most = np.frexp(bits.astype(float))[1] - 1
+        least = np.frexp((bits & -bits.astype(np.int32)).astype(float))[1] - 1
+        out = np.zeros((w + p - 1, len(at)), np.int64)
+        last = len(self.words) - 1
+        for k in range(w):
+            out[k] = np.where(k < w - least, self.words[np.minimum(at + k, last)] + 1, 0)
+        for k in range(1, p):
+            out[w + k - 1] = np.where(k <= most, self.words[np.maximum(at - k, 0)] + 1, 0)
+        return out
+
+
+def _bits_of(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of each set bit."""
+    found = [np.flatnonzero(bits >> np.uint16(k) & np.uint16(1)) for k in range(16)]
+    return np.concatenate(found), np.repeat(np.arange(16), [len(x) for x in found])
+
+
+# ------------------------------------------------------------------------------ prefixes
+
+
+class Prefixes:
+    """A tree of variable-length prefixes: what its leaves hold should fit into a task.
+
+    A node of depth k stands for prefixes of k words, dealt into its parent's classes by
+    hash.  Depth ``anchor + 1`` stands for whole windows.
+    """
 
-    def prefixes(self) -> np.ndarray:
-        """The number of the short prefix of each window."""
-        short = run_hashes(self.flat, min(PREFIX_WORDS, self.window), 7)
-        return (short[self.start] >> _U(40)).astype(np.int64) % PREFIXES
+    def __init__(self, anchor: int, classes: int):
+        self.anchor = anchor
+        self.fan, self.child, self.depth = np.array([classes] + [0] * classes), np.array([1] + [0] * classes), np.array([0] + [1] * classes)
+
+    def extend(self, sizes: dict[int, int], limit: int) -> bool:
+        """Extends the leaves that hold more than ``limit``; whether there were any."""
+        heavy = np.array([node for node, n in sorted(sizes.items()) if n > limit and not self.fan[node] and self.depth[node] <= self.anchor], np.int64)
+        if not len(heavy):
+            return False
+        fan = np.array([min(4096, 2 * -(-sizes[node] // limit)) for node in heavy.tolist()])
+        self.fan[heavy], self.child[heavy] = fan, len(self.fan) + np.cumsum(fan) - fan
+        more = np.zeros(int(fan.sum()), np.int64)
+        self.fan, self.child, self.depth = np.append(self.fan, more), np.append(self.child, more), np.append(self.depth, np.repeat(self.depth[heavy] + 1, fan))
+        return True
+
+    def deal(self, block: Block, at: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaf, anchor and windows of each suffix; suffixes of spent prefixes are dealt out window by window."""
+        node, hashes, open_ = np.zeros(len(at), np.int64), None, np.arange(len(at))
+        for depth in range(1, self.anchor + 1):
+            hashes = block.prefix(at[open_], depth, hashes)
+            node[open_] = self.child[node[open_]] + (hashes % self.fan[node[open_]].astype(_U)).astype(np.int64)
+            on = self.fan[node[open_]] > 0
+            open_, hashes = open_[on], hashes[on]
+            if not len(open_):
+                return node, at, bits
+        owner, k = _bits_of(bits[open_])
+        owner = open_[owner]
+        hashes = block.prefix(at[owner] - k, block.window)
+        spent = self.child[node[owner]] + (hashes % self.fan[node[owner]].astype(_U)).astype(np.int64)
+        rest = self.fan[node] == 0
+        return np.concatenate([node[rest], spent]), np.concatenate([at[rest], at[owner]]), np.concatenate([bits[rest], np.uint16(1) << k.astype(np.uint16)])
+
+    def groups(self, sizes: dict[int, int], limit: int) -> np.ndarray:
+        """Node to group: neighbouring leaves together, up to about ``limit``."""
+        counts = np.zeros(len(self.fan), np.int64)
+        counts[list(sizes)] = list(sizes.values())
+        counts[self.fan > 0] = 0
+        before = np.cumsum(counts) - counts
+        return np.unique(before // limit, return_inverse=True)[1]
+
+
+# --------------------------------------------------------------------------------- trees
+
+
+class Tree:
+    """The suffix tree of word sequences, one a column: their order, and the words that neighbours in it share."""
+
+    def __init__(self, words: np.ndarray):
+        depth, n = words.shape
+        width = max(1, int(words.max(initial=0)).bit_length())
+        keys = []
+        for k in range(0, depth, 64 // width):
+            key = np.zeros(n, _U)
+            for row in words[k : k + 64 // width]:
+                key = key << _U(width) | row.astype(_U)
+            keys.append(key)
+        self.order = np.lexsort(keys[::-1]) if keys else np.arange(n)
+        self.shared, same = np.zeros(max(0, n - 1), np.int64), np.ones(max(0, n - 1), bool)
+        for row in words:
+            ordered = row[self.order]
+            same &= ordered[1:] == ordered[:-1]
+            self.shared += same
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """For each leaf the node over it that has so many words."""
+        out = np.zeros(len(self.order), np.int64)
+        out[self.order[1:]] = np.cumsum(self.shared < depth)
+        return out
+
+
+def repeats(contexts: np.ndarray, bits: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix, window and the suffix with the same window that comes first, for each window below a deep node but the first.
+
+    Columns of ``contexts`` are suffixes in the order of the corpus, as ``Block.contexts`` gives them.
+    """
+    right, left = Tree(contexts[:window]), Tree(contexts[window:])
+    found = [(np.zeros(0, np.int64),) * 3]
+    for k in range(places(window)):
+        some = np.flatnonzero(bits >> np.uint16(k) & np.uint16(1))
+        if len(some) < 2:
+            continue
+        # l words to the left and window - l to the right
+        deep = right.nodes(window - k)[some] * (contexts.shape[1] + 1) + left.nodes(k)[some]
+        _, first, of = np.unique(deep, return_index=True, return_inverse=True)
+        first = some[first[of]]
+        again = np.flatnonzero(first != some)
+        found.append((some[again], np.full(len(again), k), first[again]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
-    def met(self, elsewhere: np.ndarray) -> np.ndarray:
-        """Which windows have an anchor that is in another block, given the hashes of those, or in two places of this one."""
-        at, first = np.unique(self.anchor_at, return_index=True)
-        hashes = np.sort(self.anchor[first])
-        twice = np.unique(hashes[1:][hashes[1:] == hashes[:-1]])
-        return np.isin(self.anchor, np.concatenate([twice, elsewhere]))
 
-    def hashes(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits of hash of the windows that start there."""
-        return run_hashes(self.flat, self.window, 11)[start], (run_hashes(self.flat, self.window, 29)[start] >> _U(32)).astype(np.uint32)
+# ------------------------------------------------------------------------- packed arrays
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -153,6 +341,27 @@ def _unpacked(data: bytes, *types) -> list[np.ndarray]:
     return out
 
 
+def _spelt(contexts: np.ndarray, vocabulary: list[bytes]) -> bytes:
+    """Word sequences with the words themselves: each word used once, then the sequences in numbers of these."""
+    used = np.unique(contexts) if contexts.size < 20_000 else np.flatnonzero(np.bincount(contexts.reshape(-1), minlength=1))
+    used = used[used > 0]
+    number = np.zeros(int(used[-1]) + 1 if len(used) else 1, np.uint32)
+    number[used] = np.arange(1, len(used) + 1)
+    codes = number[contexts].astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
+    words = b" ".join([vocabulary[u - 1] for u in used.tolist()])
+    return zstandard.ZstdCompressor(1).compress(len(words).to_bytes(8, "little") + codes.dtype.itemsize.to_bytes(1, "little") + words + codes.tobytes())
+
+
+def _read_spelt(data: bytes, rows: int, numbers: _Numbers) -> np.ndarray:
+    """The sequences that ``_spelt`` wrote, in numbers of ``numbers``, plus one."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    size, width = int.from_bytes(raw[:8], "little"), raw[8]
+    words = raw[9 : 9 + size].split()
+    known = np.zeros(len(words) + 1, np.int32)
+    known[1:] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)) + 1
+    return known[np.frombuffer(raw, f"<u{width}", offset=9 + size)].reshape(rows, -1)
+
+
 def _groups(batches, key: str):
     """Runs of rows with one key, of batches that are sorted by it: the key, and the rows as a table."""
     held, now = [], None
@@ -163,17 +372,19 @@ def _groups(batches, key: str):
         edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
         for a, b in zip(edges, edges[1:], strict=False):
             if held and keys[a] != now:
-                yield now, pa.Table.from_batches(held)
+                yield int(now), pa.Table.from_batches(held)
                 held = []
             now = keys[a]
             held.append(batch.slice(a, b - a))
     if held:
-        yield now, pa.Table.from_batches(held)
+        yield int(now), pa.Table.from_batches(held)
 
 
-def _read(uri: str, block: int) -> pa.Table:
-    with pa.ipc.open_file(pa.BufferReader(get(f"{uri}/{block:020d}.arrow"))) as file:
-        return file.read_all()
+def _runs(keys: np.ndarray):
+    """Key, start and end of each run of equal keys."""
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(keys[a]), a, b
 
 
 def _sorted(table: pa.Table, id_col: str) -> pa.Table:
@@ -193,8 +404,8 @@ def _without(text: str, gone: np.ndarray) -> str:
     return b"".join(out).decode()
 
 
-_ROWS = "kind int, block long, part long, n long, data binary"
-_ROW_TYPES = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+_ROWS = "kind int, block long, part long, n long, data binary, more binary"
+_ROW_TYPES = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("more", pa.binary())])
 _BLOCK, _ANCHORS, _COUNT, _SUFFIXES, _REPEATS = range(5)
 
 
@@ -202,7 +413,199 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_ROW_TYPES.types)], schema=_ROW_TYPES)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 20, block_bytes: int = BLOCK_BYTES, task_suffixes: int = TASK_SUFFIXES) -> DataFrame:
+# ----------------------------------------------------------------------------- operators
+
+
+class _Search:
+    """The windows of a table's documents that start earlier, too."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int, task_suffixes: int, first_classes: int, sources: bool):
+        if window < 2:
+            raise ValueError("a window has two words at least")
+        spark, space = docs.sparkSession, Workspace(docs.sparkSession, "substrings")
+        self.uri, self.id_col, self.text_col, self.window, self.sources = space.folder("blocks"), id_col, text_col, window, sources
+        uri, fields = self.uri, docs.columns
+        shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = 1 << max(256, 4 * shuffles).bit_length() - 1
+        shift = _U(64 - buckets.bit_length() + 1)
+
+        def cut(batches):
+            """Blocks of rows, in the order of reading."""
+            held, size, count = [], 0, 0
+            for batch in batches:
+                batch = pa.RecordBatch.from_arrays(batch.columns, fields)
+                at = batch.schema.get_field_index(text_col)
+                sizes = pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
+                first = 0
+                for k, n in enumerate(sizes.tolist()):
+                    size, count = size + n, count + 1
+                    if size >= block_bytes or count >= BLOCK_DOCS:
+                        held.append(batch.slice(first, k + 1 - first))
+                        yield pa.Table.from_batches(held)
+                        held, size, count, first = [], 0, 0, k + 1
+                if first < batch.num_rows:
+                    held.append(batch.slice(first))
+            if held:
+                yield pa.Table.from_batches(held)
+
+        def write(batches):
+            task = TaskContext.get().partitionId()
+            for number, table in enumerate(cut(batches)):
+                name, table = (task << 32) + number, _sorted(table, id_col)
+                out = io.BytesIO()
+                with pa.ipc.new_file(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+                    file.write_table(table)
+                put(f"{uri}/{name:020d}.arrow", out.getvalue())
+                texts = chain.from_iterable(c.slice(k, 256).to_pylist() for c in table[text_col].chunks for k in range(0, len(c), 256))
+                block = Block.of(texts, table[id_col].cast(pa.int64()).fill_null(_LAST).to_numpy(), window)
+                put(f"{uri}/{name:020d}.words", block.to_bytes())
+                rows = [(_BLOCK, name, 0, len(block.anchors), b"", None)]
+                anchors = np.unique(block.anchor_hashes())
+                low = (anchors & _U(0xFFFFFFFF)).astype(np.uint32)
+                rows += [(_ANCHORS, name, p, b - a, low[a:b].tobytes(), None) for p, a, b in _runs((anchors >> shift).astype(np.int64))]
+                yield _batch(rows)
+
+        def meet(batches):
+            """Anchors of a bucket that are in two blocks or more, for each of those."""
+            for part, rows in _groups(batches, "part"):
+                lists = [np.frombuffer(x, np.uint32) for x in rows["data"].to_pylist()]
+                values, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                order = np.argsort(values, kind="stable")
+                same = values[order][1:] == values[order][:-1]
+                shared = np.zeros(len(values), bool)
+                shared[order[1:][same]] = True
+                shared[order[:-1][same]] = True
+                at = np.flatnonzero(shared)
+                blocks = rows["block"].to_pylist()
+                found = [(_ANCHORS, blocks[k], part, b - a, values[at[a:b]].tobytes(), None) for k, a, b in _runs(owner[at])]
+                if found:
+                    yield _batch(found)
+
+        first = space.table(docs.mapInArrow(write, _ROWS), "first")
+        self.blocks = first.filter(F.col("kind") == _BLOCK)
+        n_blocks = max(1, self.blocks.count())
+        self.tasks = min(n_blocks, max(4 * shuffles, -(-n_blocks // TASK_BLOCKS)))
+        width = min(buckets, shuffles)
+        anchors = first.filter(F.col("kind") == _ANCHORS)
+        shared = anchors.repartitionById(width, (F.col("part") % width).cast("int")).sortWithinPartitions("part", "block").mapInArrow(meet, _ROWS)
+        prefixes = Prefixes(window - places(window) + 1, first_classes)
+
+        def heads(batches):
+            """Writes a block's suffixes that may lie below a deep node, and counts them by their first words."""
+            sizes = np.zeros(len(prefixes.fan), np.int64)
+            for name, rows in _groups(batches, "block"):
+                block = Block.from_bytes(get(f"{uri}/{name:020d}.words"))
+                elsewhere = [(_U(r["part"]) << shift, np.frombuffer(r["data"], np.uint32)) for r in rows.select(["kind", "part", "data"]).to_pylist() if r["kind"] == _ANCHORS]
+                hashes = block.anchor_hashes()
+                chosen = np.flatnonzero(block.met(hashes, _lookup(hashes, elsewhere, shift)))
+                at, bits, later, earlier = block.heads(chosen)
+                np.savez(side := io.BytesIO(), at=np.diff(at, prepend=0), bits=bits, later=np.diff(later, prepend=0), earlier=np.diff(earlier, prepend=0) if sources else earlier[:0])
+                put(f"{uri}/{name:020d}.heads", zstandard.ZstdCompressor(1).compress(side.getvalue()))
+                sizes += np.bincount(prefixes.deal(block, at, bits)[0], minlength=len(sizes))
+            some = np.flatnonzero(sizes)
+            yield pa.RecordBatch.from_pydict({"node": some, "n": sizes[some]})
+
+        def count(batches):
+            sizes = np.zeros(len(prefixes.fan), np.int64)
+            for name in _names(batches):
+                block, at, bits, _, _ = _heads(uri, name)
+                sizes += np.bincount(prefixes.deal(block, at, bits)[0], minlength=len(sizes))
+            some = np.flatnonzero(sizes)
+            yield pa.RecordBatch.from_pydict({"node": some, "n": sizes[some]})
+
+        def total(counts: DataFrame) -> dict[int, int]:
+            """A number for each prefix that is in use, of which there are about as many as groups."""
+            found = counts.groupBy("node").agg(F.sum("n").alias("n")).toArrow()
+            return dict(zip(found["node"].to_pylist(), found["n"].to_pylist(), strict=True))
+
+        by_block = self.blocks.unionByName(shared).repartition(self.tasks, "block").sortWithinPartitions("block")
+        sizes = total(by_block.mapInArrow(heads, "node long, n long"))
+        limit = max(1, min(task_suffixes, max(task_suffixes // 16, -(-sum(sizes.values()) // (2 * shuffles)))))
+        while prefixes.extend(sizes, task_suffixes):
+            sizes = total(self._names().mapInArrow(count, "node long, n long"))
+        self.depth = int(prefixes.depth.max())
+        group = prefixes.groups(sizes, limit)
+        groups = int(group.max()) + 1 if len(group) else 1
+
+        def suffixes(batches):
+            """The suffixes of each block by prefix group, with their words."""
+            for name in _names(batches):
+                block, at, bits, _, _ = _heads(uri, name)
+                if not len(at):
+                    continue
+                node, at, bits = prefixes.deal(block, at, bits)
+                part = group[node]
+                order = np.lexsort((at, part))
+                part, at, bits = part[order], at[order], bits[order]
+                doc = np.searchsorted(block.ends, at, side="right")
+                ids = block.ids[doc]
+                place = at - (block.ends - block.lengths)[doc]
+                out = []
+                for p, a, b in _runs(part):
+                    columns = [ids[a:b], at[a:b], *[place[a:b]] * sources, bits[a:b]]
+                    out.append((_SUFFIXES, name, p, b - a, _spelt(block.contexts(at[a:b], bits[a:b]), block.vocabulary), _packed(*columns)))
+                    if len(out) >= 64:
+                        yield _batch(out)
+                        out = []
+                if out:
+                    yield _batch(out)
+
+        def trees(batches):
+            """The windows of a group's suffixes that start earlier, by block."""
+            rows_of, types = window + places(window) - 1, [np.int64, np.int64, *[np.int64] * sources, np.uint16]
+            for part, rows in _groups(batches, "part"):
+                numbers, blocks = _Numbers(), np.array(rows["block"].to_pylist())
+                contexts = np.concatenate([_read_spelt(x.as_py(), rows_of, numbers) for x in rows["data"]], axis=1)
+                columns = [np.concatenate(c) for c in zip(*(_unpacked(x.as_py(), *types) for x in rows["more"]), strict=True)]
+                ids, at, bits = columns[0], columns[1], columns[-1]
+                owner = np.repeat(np.arange(len(blocks)), rows["n"].to_numpy())
+                order = np.lexsort((at, blocks[owner], ids))
+                contexts, bits, ids, at, owner = np.take(contexts, order, axis=1), bits[order], ids[order], at[order], owner[order]
+                suffix, k, earlier = repeats(contexts, bits, window)
+                start = at[suffix] - k
+                by = np.lexsort((start, owner[suffix]))
+                suffix, k, earlier, start = suffix[by], k[by], earlier[by], start[by]
+                found = []
+                for o, a, b in _runs(owner[suffix]):
+                    where = _packed(ids[earlier[a:b]], (columns[2][order])[earlier[a:b]] - k[a:b]) if sources else None
+                    found.append((_REPEATS, int(blocks[o]), part, b - a, _packed(start[a:b]), where))
+                if found:
+                    yield _batch(found)
+
+        width = min(groups, max(shuffles, -(-groups // 8)))
+        sent = self._names().mapInArrow(suffixes, _ROWS)
+        self.found = sent.repartitionById(width, (F.col("part") % width).cast("int")).sortWithinPartitions("part", "block").mapInArrow(trees, _ROWS)
+
+    def _names(self) -> DataFrame:
+        return self.blocks.select("block").repartition(self.tasks, "block")
+
+    def by_block(self) -> DataFrame:
+        return self.blocks.unionByName(self.found).repartition(self.tasks, "block").sortWithinPartitions("block")
+
+
+def _names(batches):
+    for batch in batches:
+        yield from batch.column(0).to_pylist()
+
+
+def _heads(uri: str, name: int) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block, the anchors and windows that are dealt out, and starts of windows that it has earlier, with those."""
+    block = Block.from_bytes(get(f"{uri}/{name:020d}.words"))
+    with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(get(f"{uri}/{name:020d}.heads")))) as side:
+        return block, np.cumsum(side["at"]), side["bits"], np.cumsum(side["later"]), np.cumsum(side["earlier"])
+
+
+def _lookup(hashes: np.ndarray, elsewhere: list[tuple[np.uint64, np.ndarray]], shift: np.uint64) -> np.ndarray:
+    """The anchors of this block that the lists name by bucket and low bits.  The bits between are not looked at: what is named too much is told apart by its words."""
+    if not elsewhere:
+        return hashes[:0]
+    named = np.concatenate([low.astype(_U) | top for top, low in elsewhere])
+    own = np.unique(hashes)
+    mask = _U((((1 << 64) - 1) >> int(shift) << int(shift)) | 0xFFFFFFFF)
+    return own[np.isin(own & mask, named)]
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 20, block_bytes: int = BLOCK_BYTES, task_suffixes: int = TASK_SUFFIXES, first_classes: int = FIRST_CLASSES) -> DataFrame:
     """``docs`` with repeated passages taken out of the texts; added: n_words (before) and n_removed.
 
     Words are runs of characters other than space and U+0009 to U+000D.  A word goes if
@@ -216,154 +619,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     equal rows keeps its text.  Other columns stay; if one is named like a result, the
     result has an underscore after it.  An empty table gives no row.
 
-    Windows are told apart by 96-bit hashes.  Texts are not shuffled: blocks are files
-    in the shared folder that later tasks read by name.
+    Texts are not shuffled: blocks are files in the shared folder that later tasks read
+    by name.
     """
-    if window < 2:
-        raise ValueError("a window has two words at least")
-    spark, space = docs.sparkSession, Workspace(docs.sparkSession, "substrings")
-    uri = space.folder("blocks")
-    fields = docs.columns
-    words_name, removed_name = free(fields, "n_words", "n_removed")
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << max(256, 4 * shuffles).bit_length() - 1
-    shift = _U(64 - buckets.bit_length() + 1)
-
-    def cut(batches):
-        """Blocks of rows, in the order of reading."""
-        held, size, count = [], 0, 0
-        for batch in batches:
-            batch = pa.RecordBatch.from_arrays(batch.columns, fields)
-            at = batch.schema.get_field_index(text_col)
-            sizes = pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
-            first = 0
-            for k, n in enumerate(sizes.tolist()):
-                size, count = size + n, count + 1
-                if size >= block_bytes or count >= BLOCK_DOCS:
-                    held.append(batch.slice(first, k + 1 - first))
-                    yield pa.Table.from_batches(held)
-                    held, size, count, first = [], 0, 0, k + 1
-            if first < batch.num_rows:
-                held.append(batch.slice(first))
-        if held:
-            yield pa.Table.from_batches(held)
-
-    def write(batches):
-        task = TaskContext.get().partitionId()
-        for number, table in enumerate(cut(batches)):
-            block, table = (task << 32) + number, _sorted(table, id_col)
-            out = io.BytesIO()
-            with pa.ipc.new_file(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
-                file.write_table(table)
-            put(f"{uri}/{block:020d}.arrow", out.getvalue())
-            windows = Windows(table[text_col].to_pylist(), window)
-            rows = [(_BLOCK, block, 0, len(windows.start), b"")]
-            if len(windows.start):
-                counts = np.bincount(windows.prefixes(), minlength=PREFIXES)
-                rows += [(_COUNT, block, int(p), int(counts[p]), None) for p in np.flatnonzero(counts)]
-                anchors = np.unique(windows.anchor)
-                part = (anchors >> shift).astype(np.int64)
-                edges = np.searchsorted(part, np.arange(buckets + 1))
-                low = (anchors & _U(0xFFFFFFFF)).astype(np.uint32)
-                rows += [(_ANCHORS, block, p, int(b - a), low[a:b].tobytes()) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
-            yield _batch(rows)
-
-    def meet(batches):
-        """Anchors of a bucket that are in two blocks or more, for each of those."""
-        for part, rows in _groups(batches, "part"):
-            lists = [np.frombuffer(x, np.uint32) for x in rows["data"].to_pylist()]
-            values, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            order = np.argsort(values, kind="stable")
-            same = values[order][1:] == values[order][:-1]
-            shared = np.zeros(len(values), bool)
-            shared[order[1:][same]] = True
-            shared[order[:-1][same]] = True
-            at = np.flatnonzero(shared)
-            edges = np.searchsorted(owner[at], np.arange(len(lists) + 1))
-            blocks = rows["block"].to_pylist()
-            found = [(_ANCHORS, blocks[k], int(part), int(b - a), values[at[a:b]].tobytes()) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
-            if found:
-                yield _batch(found)
-
-    first = space.table(docs.mapInArrow(write, _ROWS), "first")
-    # a row for each short prefix
-    total = dict(first.filter(F.col("kind") == _COUNT).groupBy("part").agg(F.sum("n")).collect())
-    splits = np.array([max(1, -(-total.get(p, 0) // task_suffixes)) for p in range(PREFIXES)], np.int64)
-    part_base = np.concatenate([[0], np.cumsum(splits)])
-    blocks = first.filter(F.col("kind") == _BLOCK)
-    n_blocks = max(1, blocks.count())
-    width = min(buckets, shuffles)
-    anchors = first.filter(F.col("kind") == _ANCHORS)
-    shared = anchors.repartitionById(width, (F.col("part") % width).cast("int")).sortWithinPartitions("part", "block").mapInArrow(meet, _ROWS)
-
-    def suffixes(batches):
-        """The suffixes of a block that may lie below a deep node, one for each window's words, by prefix; others of the same words are repeats."""
-        for block, rows in _groups(batches, "block"):
-            block, table = int(block), _read(uri, int(block))
-            windows = Windows(table[text_col].to_pylist(), window)
-            none = np.zeros(0, np.int64)
-            heads = repeats = none
-            out = []
-            if len(windows.start):
-                elsewhere = [(_U(r["part"]) << shift, np.frombuffer(r["data"], np.uint32)) for r in rows.to_pylist() if r["kind"] == _ANCHORS]
-                known = _lookup(windows.anchor, elsewhere, shift)
-                chosen = windows.start[windows.met(known)]
-                high, low = windows.hashes(chosen)
-                order = np.lexsort((chosen, low, high))
-                same = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
-                again = np.zeros(len(chosen), bool)
-                again[order[1:][same]] = True
-                repeats, heads = chosen[again], chosen[~again]
-                high, low = high[~again], low[~again]
-                ids = table[id_col].cast(pa.int64()).fill_null(_LAST).to_numpy()
-                doc = ids[np.searchsorted(windows.ends, heads, side="right")]
-                short = windows.prefixes()[np.searchsorted(windows.start, heads)]
-                part = part_base[short] + (high % splits[short].astype(_U)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                edges = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1], [True]])) if len(order) else none
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    at = order[a:b]
-                    out.append((_SUFFIXES, block, int(part[at[0]]), b - a, _packed(high[at], low[at], doc[at], at.astype(np.int64))))
-            np.savez(side := io.BytesIO(), lengths=windows.lengths, heads=heads, repeats=repeats)
-            put(f"{uri}/{block:020d}.npz", zstandard.ZstdCompressor(1).compress(side.getvalue()))
-            if out:
-                yield _batch(out)
-
-    by_block = blocks.unionByName(shared).repartition(n_blocks, "block").sortWithinPartitions("block")
-    second = space.table(by_block.mapInArrow(suffixes, _ROWS), "second")
-
-    def subtree(batches):
-        """Of the suffixes below each deep node of a prefix, all but the first in the corpus."""
-        for part, rows in _groups(batches, "part"):
-            blocks, lists = rows["block"].to_pylist(), [_unpacked(x, _U, np.uint32, np.int64, np.int64) for x in rows["data"].to_pylist()]
-            high, low, doc, at = (np.concatenate(c) for c in zip(*lists, strict=True))
-            owner = np.repeat(np.arange(len(lists)), [len(x[0]) for x in lists])
-            order = np.argsort(high)
-            same = high[order][1:] == high[order][:-1]
-            below = np.zeros(len(high), bool)
-            below[order[1:][same]] = True
-            below[order[:-1][same]] = True
-            some = np.flatnonzero(below)
-            order = some[np.lexsort((np.array(blocks)[owner[some]], doc[some], low[some], high[some]))]
-            same = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
-            again = np.sort(order[1:][same])
-            edges = np.searchsorted(owner[again], np.arange(len(lists) + 1))
-            found = [(_REPEATS, blocks[k], int(part), int(b - a), _packed(np.sort(at[again[a:b]]))) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
-            if found:
-                yield _batch(found)
-
-    parts = int(part_base[-1])
-    width = min(parts, max(shuffles, parts // 8))
-    repeats = second.repartitionById(width, (F.col("part") % width).cast("int")).sortWithinPartitions("part", "block").mapInArrow(subtree, _ROWS)
+    search = _Search(docs, id_col, text_col, window, block_bytes, task_suffixes, first_classes, False)
+    uri = search.uri
+    words_name, removed_name = free(docs.columns, "n_words", "n_removed")
 
     def clean(batches):
-        for block, rows in _groups(batches, "block"):
-            table = _read(uri, int(block))
-            with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(get(f"{uri}/{int(block):020d}.npz")))) as side:
-                lengths, heads, own = side["lengths"], side["heads"], side["repeats"]
-            gone = [own, *(heads[_unpacked(r["data"], np.int64)[0]] for r in rows.to_pylist() if r["kind"] == _REPEATS)]
-            ends, edge = np.cumsum(lengths), np.zeros(int(lengths.sum()) + 1, np.int64)
-            starts = np.concatenate(gone)
+        for name, rows in _groups(batches, "block"):
+            with pa.ipc.open_file(pa.BufferReader(get(f"{uri}/{name:020d}.arrow"))) as file:
+                table = file.read_all()
+            block, _, _, own, _ = _heads(uri, name)
+            ends, lengths, edge = block.ends, block.lengths, np.zeros(len(block.words) + 1, np.int64)
+            starts = np.concatenate([own, *(_unpacked(r["data"], np.int64)[0] for r in rows.select(["kind", "data"]).to_pylist() if r["kind"] == _REPEATS)])
             np.add.at(edge, starts, 1)
             np.add.at(edge, starts + window, -1)
             covered = np.cumsum(edge[:-1]) > 0
@@ -379,16 +648,51 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 part = part.append_column(words_name, pa.array(lengths[k : k + 1024])).append_column(removed_name, pa.array(removed[k : k + 1024]))
                 yield from part.combine_chunks().to_batches()
 
-    by_block = blocks.unionByName(repeats).repartition(n_blocks, "block").sortWithinPartitions("block")
     schema = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema)
-    return by_block.mapInArrow(clean, f"{schema}, `{words_name}` long, `{removed_name}` long")
+    return search.by_block().mapInArrow(clean, f"{schema}, `{words_name}` long, `{removed_name}` long")
 
 
-def _lookup(anchor: np.ndarray, elsewhere: list[tuple[np.uint64, np.ndarray]], shift: np.uint64) -> np.ndarray:
-    """The anchors of this block that the lists name by bucket and low bits.  The bits between are not looked at: what is named too much is told apart by the windows' own hashes."""
-    if not elsewhere:
-        return anchor[:0]
-    named = np.concatenate([low.astype(_U) | top for top, low in elsewhere])
-    own = np.unique(anchor)
-    mask = _U((((1 << 64) - 1) >> int(shift) << int(shift)) | 0xFFFFFFFF)
-    return own[np.isin(own & mask, named)]
+def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 20, block_bytes: int = BLOCK_BYTES, task_suffixes: int = TASK_SUFFIXES, first_classes: int = FIRST_CLASSES) -> DataFrame:
+    """The passages that ``remove_repeats`` takes out: id, start, length, first_id, first_start.
+
+    A row says that ``length`` words of the document from its word ``start`` on are also
+    those from word ``first_start`` of the document ``first_id`` on, where each window of
+    them occurs for the first time in the corpus, and that the passage can be made longer
+    at neither end.  Passages may overlap, with each other and with their own source.
+    Null ids come last and are null again here; otherwise ids are as for
+    ``remove_repeats``, and so are null and empty texts and the empty table.  A result
+    named like the id has an underscore after it.
+    """
+    search = _Search(docs, id_col, text_col, window, block_bytes, task_suffixes, first_classes, True)
+    uri = search.uri
+
+    def join(batches):
+        for name, rows in _groups(batches, "block"):
+            block, _, _, own, earlier = _heads(uri, name)
+            begins = block.ends - block.lengths
+            doc = np.searchsorted(block.ends, earlier, side="right")
+            lists = [(own[:0], block.ids[:0], own[:0])]
+            lists += [(_unpacked(r["data"], np.int64)[0], *_unpacked(r["more"], np.int64, np.int64)) for r in rows.select(["kind", "data", "more"]).to_pylist() if r["kind"] == _REPEATS]
+            start, of, at = (np.concatenate(c) for c in zip(*lists, strict=True))
+            order = np.argsort(start)
+            start, of, at = start[order], of[order], at[order]
+            # what is earlier in the block may be a repeat of another
+            known = np.minimum(np.searchsorted(start, earlier), max(0, len(start) - 1))
+            repeat = start[known] == earlier if len(start) else np.zeros(len(earlier), bool)
+            own_of, own_at = block.ids[doc], earlier - begins[doc]
+            own_of[repeat], own_at[repeat] = of[known[repeat]], at[known[repeat]]
+            start, of, at = np.concatenate([start, own]), np.concatenate([of, own_of]), np.concatenate([at, own_at])
+            order = np.argsort(start)
+            start, of, at = start[order], of[order], at[order]
+            doc = np.searchsorted(block.ends, start, side="right")
+            on = (np.diff(start) == 1) & (np.diff(at) == 1) & (of[1:] == of[:-1]) & (doc[1:] == doc[:-1])
+            head = np.flatnonzero(np.concatenate([[True], ~on])) if len(start) else start
+            length = np.diff(np.concatenate([head, [len(start)]])) + window - 1
+
+            def null_again(values):
+                return pa.array(values, mask=values == _LAST)
+
+            yield pa.RecordBatch.from_arrays([null_again(block.ids[doc[head]]), pa.array(start[head] - begins[doc[head]]), pa.array(length), null_again(of[head]), pa.array(at[head])], ["id", "start", "length", "first_id", "first_start"])
+
+    found = search.by_block().mapInArrow(join, "id long, start long, length long, first_id long, first_start long")
+    return found.toDF(id_col, *free([id_col], "start", "length", "first_id", "first_start"))
