@@ -49,3 +49,32 @@ def test_bounds_hold():
     q, scale, error, norm = embeddings.quantise(units)
     near = (q.astype(float) @ q.astype(float).T) * scale[:, None] * scale[None]
     assert (np.abs(units @ units.T - near) <= error[:, None] * norm[None] + error[None] + 1e-12).all()
+
+
+def test_work_is_every_pair_of_stripes_of_a_length():
+    stripes = np.array([3, 1, 5])
+    cells = stripes * (stripes + 1) // 2
+    found = [embeddings._cell(k, cells, stripes) for k in range(int(cells.sum()))]
+    assert found == [(kind, left, right) for kind, n in enumerate(stripes) for left in range(n) for right in range(left, n)]
+
+
+def test_a_task_holds_as_much_for_any_number_of_vectors(spark, monkeypatch):
+    """Of some 2,000 blocks no task has more than a stripe and a block at a time."""
+    monkeypatch.setattr(embeddings, "BLOCK_NUMBERS", 64)
+    draw = np.random.default_rng(9)
+    base = draw.normal(size=(90, 1))
+    rows = [(i, [float(x) for x in draw.normal(size=6)]) for i in range(5 * 64)] + [(1000 + k, [float(x)] * 2) for k, x in enumerate(base[:, 0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(str(tuple(r)) for r in embeddings.near_duplicates(frame).collect()) == expected(rows)
+    for blocks in (1, 10, 100, 2_000, 10**7):
+        assert 1 <= int(np.clip(blocks // (4 * embeddings.STRIPE), 1, embeddings.STRIPE)) <= embeddings.STRIPE
+
+
+def test_units_are_one_by_one():
+    import pyarrow as pa
+
+    rows = [[3.0, 4.0], None, [], [0.0, 0.0], [1.0, None], [math.nan, 1.0], [1.0], [1e-320, 0.0], [1e308, 1e308], [-2.0, 0.0, 1.0]]
+    found = embeddings.units(pa.array(rows, pa.list_(pa.float64())).slice(0))
+    assert [x is None for x in found] == [False, True, True, True, True, True, False, False, False, False]
+    assert np.frombuffer(found[0]).tolist() == [0.6, 0.8] and np.frombuffer(found[7]).tolist() == [1.0, 0.0]
+    assert embeddings.units(pa.array(rows, pa.list_(pa.float64())).slice(6)) == found[6:]

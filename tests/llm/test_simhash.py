@@ -1,3 +1,4 @@
+import dataclasses
 import itertools
 import math
 import random
@@ -52,8 +53,8 @@ def test_bit_counts():
     assert simhash._bit_counts(hashes).tolist() == [int((hashes >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
 
 
-@pytest.mark.parametrize("chunk", [4, 512])
-def test_every_near_pair_is_linked(spark, chunk):
+@pytest.mark.parametrize(("chunk", "n"), [(4, 0), (512, 0), (4, 10**11), (512, 10**12)])
+def test_every_near_pair_is_linked(spark, chunk, n):
     draw = random.Random(chunk)
     values = {draw.getrandbits(64) for _ in range(60)}
     for v in list(values):
@@ -66,7 +67,7 @@ def test_every_near_pair_is_linked(spark, chunk):
     values = sorted(values)
     frame = spark.createDataFrame([(v.to_bytes(8, "big"),) for v in values], "fingerprint binary")
     space = Workspace(spark, "test")
-    edges = simhash.links(frame, simhash.Cover.exact(3), space, chunk=chunk)
+    edges = simhash.links(frame, simhash.Cover.exact(3, n), space, chunk=chunk)
     found = roots([(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in edges.collect()], values)
     assert found == roots([(a, b) for a, b in itertools.combinations(values, 2) if (a ^ b).bit_count() <= 3], values)
 
@@ -79,6 +80,44 @@ def test_manhattan_bounds_hamming():
     assert (counts <= np.bitwise_count(a ^ b)).all()
 
 
+def met(cover, a, b):
+    """Which rows of a and b share a cell that is the own one of either."""
+    out = np.zeros(len(a), bool)
+
+    def table(prints):
+        cells = {}
+        for rows, cell, own in cover.cells(prints):
+            for r, c in zip(rows.tolist(), cell.tolist(), strict=True):
+                cells.setdefault(r, {})[c] = cells.get(r, {}).get(c, False) or own
+        return cells
+
+    left, right = table(a), table(b)
+    for k in range(len(a)):
+        out[k] = any(own or right[k][c] for c, own in left[k].items() if c in right[k])
+    return out
+
+
+@pytest.mark.parametrize(("most", "n"), [(0, 0), (1, 0), (2, 0), (3, 0), (3, 10**10), (3, 10**12), (5, 0), (5, 10**11)])
+def test_exact_covers_miss_no_pair(most, n):
+    draw, cover = np.random.default_rng(most), simhash.Cover.exact(most, n)
+    a = draw.integers(0, 2**64, (300, 1), np.uint64, endpoint=False)
+    far = np.argsort(draw.random((len(a), 64)), axis=1) < most
+    assert met(cover, a, a ^ np.packbits(far, axis=1, bitorder="little").view(np.uint64)).all()
+    assert cover.reach == (most > 0 and n < 10**10)
+    held = {c for _, cell, own in cover.cells(a[:1]) if own for c in cell.tolist()}
+    assert len(held) == len(cover.picks)
+    unlike = met(cover, a, draw.integers(0, 2**64, (300, 1), np.uint64, endpoint=False))
+    assert most == 5 or unlike.sum() <= 1, "cells are small"
+
+
+def test_with_least_is_a_minimum_by_key(spark):
+    draw = random.Random(4)
+    rows = [(draw.choice([1, 1, 1, 2, 3]), draw.choice([None, *range(50)]), k) for k in range(400)] + [(9, None, 400)]
+    found = graph.with_least(spark.createDataFrame(rows, "k int, v int, i int"), "k", "v", "m").collect()
+    least = {k: min((v for j, v, _ in rows if j == k and v is not None), default=None) for k in {1, 2, 3, 9}}
+    assert sorted(map(str, map(tuple, found))) == sorted(str((k, v, i, least[k])) for k, v, i in rows)
+
+
 def test_components(spark):
     draw = random.Random(9)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(120)] + [(5, 5)]
@@ -103,17 +142,17 @@ def test_wide_cover_finds_near_copies(spark):
     assert got == {i: i % 100 for i, _ in rows}
 
 
-def test_wide_cover_meets_at_the_full_radius():
-    from corpus_pipeline import NEAR
-
+@pytest.mark.parametrize(("bits", "reach"), [(1, 0), (1, 1), (2, 0), (2, 1)])
+def test_sampled_covers_meet_at_the_full_radius(bits, reach):
     draw = np.random.default_rng(11)
-    a = draw.integers(0, 2**64, (20_000, 4), np.uint64, endpoint=False)
-    far = np.argsort(draw.random((len(a), 256)), axis=1) < NEAR.most
+    a = draw.integers(0, 2**64, (1500, 4), np.uint64, endpoint=False)
+    far = np.argsort(draw.random((len(a), 256)), axis=1) < 52
     b = a ^ np.packbits(far, axis=1, bitorder="little").view(np.uint64)
-    assert (np.bitwise_count(a ^ b).sum(axis=1) == NEAR.most).all()
-    cover = NEAR.cover(2 * len(a))
-    met = np.any([x == y for x, y in zip(cover.cells(a), cover.cells(b), strict=True)], axis=0)
-    assert met.mean() > 0.985
+    assert (np.bitwise_count(a ^ b).sum(axis=1) == 52).all()
+    cover = simhash.Sampling(52, 4, 0.99, bits=bits, reach=reach).cover(20_000)
+    assert met(cover, a, b).mean() > 0.98
+    once = simhash.Cover.sampled(52, 4, 1, len(cover.picks[0]), bits=bits, reach=reach)
+    assert met(once, a, b).mean() == pytest.approx(once.meeting(), abs=0.04)
 
 
 @pytest.mark.parametrize("n", [1, 11, 12, 13, 64, 65, 700])
@@ -123,8 +162,9 @@ def test_forest_is_all_pairs(n):
     for k in range(1, n, 2):
         flips = draw.choice(256, draw.integers(40, 60), replace=False)
         prints[k] = prints[k // 3] ^ np.packbits(np.isin(np.arange(256), flips), bitorder="little").view(np.uint64)
-    a, b = simhash._forest(simhash.Cover.sampled(52, 4, 1, 1), prints)
-    pairs = [(i, j) for i, j in itertools.combinations(range(n), 2) if np.bitwise_count(prints[i] ^ prints[j]).sum() <= 52]
+    own = draw.random(n) < 0.7
+    a, b = simhash._forest(simhash.Cover.sampled(52, 4, 1, 1), prints, own)
+    pairs = [(i, j) for i, j in itertools.combinations(range(n), 2) if (own[i] or own[j]) and np.bitwise_count(prints[i] ^ prints[j]).sum() <= 52]
     assert roots(zip(a.tolist(), b.tolist(), strict=True), range(n)) == roots(pairs, range(n))
     assert (b < a).all()
 
@@ -134,7 +174,6 @@ def test_recall_within_the_radius_holds_at_any_size(n):
     from corpus_pipeline import NEAR
 
     cover = NEAR.cover(n)
-    segments = sum(map(int.bit_count, cover.masks[0]))
-    for apart in range(NEAR.most + 1):
-        agree = math.comb(256 - apart, segments) / math.comb(256, segments)
-        assert 1 - (1 - agree) ** len(cover.masks) >= 0.99
+    chances = [dataclasses.replace(cover, most=apart).meeting() for apart in range(NEAR.most + 1)]
+    assert chances == sorted(chances, reverse=True)
+    assert all(1 - (1 - p) ** len(cover.picks) >= 0.99 for p in chances)

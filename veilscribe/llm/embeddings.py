@@ -9,6 +9,7 @@ computed again, in double precision from the full vectors.
 from __future__ import annotations
 
 import io
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -16,29 +17,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscribe.llm import vocab
-from veilscribe.llm.graph import components
-from veilscribe.llm.store import Workspace, free, get, put
+from veilscribe.llm.graph import components, with_least
+from veilscribe.llm.store import Workspace, free, get, groups, put, there
 
-#: Numbers in a block of vectors, about; and blocks in a stripe at least.
-BLOCK_NUMBERS, STRIPE = 1 << 16, 4
+#: Numbers in a block of vectors, about; and blocks in a stripe at most.
+BLOCK_NUMBERS, STRIPE = 1 << 18, 8
+#: Rows of a tile product at a time.
+_ROWS = 512
 #: Float products of int8 vectors of so many components are still exact.
 _EXACT_FLOAT = (1 << 24) // (127 * 127)
 
 
-def unit(values) -> np.ndarray | None:
-    """The vector over its norm, in double precision; None if it is null, zero, or not all finite numbers."""
-    if values is None or not len(values) or any(v is None for v in values):
-        return None
-    x = np.asarray(values, np.float64)
-    if not np.isfinite(x).all():
-        return None
-    top = np.abs(x).max()
-    if not top:
-        return None
-    # frexp keeps the scaling exact
-    x = np.ldexp(x, -int(np.frexp(top)[1]))
-    return x / np.sqrt((x * x).sum()) + 0.0
+def units(lists) -> list[bytes | None]:
+    """Each list of an Arrow column of doubles over its norm, as bytes; None where it is null, empty, zero, or not all finite numbers."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    ends = lists.offsets.to_numpy()
+    first, size = ends[:-1], np.diff(ends)
+    values = lists.values
+    raw = values.fill_null(np.nan).to_numpy(zero_copy_only=False) if values.null_count else values.to_numpy()
+    usable = size > 0
+    if lists.null_count:
+        usable &= lists.is_valid().to_numpy(zero_copy_only=False)
+    out: list[bytes | None] = [None] * len(lists)
+    for length in np.unique(size[usable]).tolist():
+        rows = np.flatnonzero(usable & (size == length))
+        for at in range(0, len(rows), 4096):
+            some = rows[at : at + 4096]
+            x = raw[first[some][:, None] + np.arange(length)]
+            top = np.abs(x).max(axis=1)
+            fine = np.isfinite(top) & (top > 0)
+            some, x = some[fine], x[fine]
+            # frexp keeps the scaling exact
+            x = np.ldexp(x, -np.frexp(top[fine])[1][:, None])
+            x = x / np.sqrt((x * x).sum(axis=1))[:, None] + 0.0
+            for k, row in zip(some.tolist(), x, strict=True):
+                out[k] = row.tobytes()
+    return out
 
 
 def quantise(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,22 +64,40 @@ def quantise(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return q, scale, np.sqrt(((units - near) ** 2).sum(axis=1)) * up + 1e-15, np.sqrt((near**2).sum(axis=1)) * up
 
 
+class Written:
+    """The blocks of a folder by number; None for one that was never written."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
+
+    def block(self, number: int) -> Block | None:
+        return Block(self.uri, number) if there(f"{self.uri}/{number:010d}.q.npz") else None
+
+
+def _cell(cell: int, cells: np.ndarray, stripes: np.ndarray) -> tuple[int, int, int]:
+    """Which length, left and right stripe a number of the work is: the pairs of stripes of each length, row by row."""
+    ends = np.cumsum(cells)
+    kind = int(np.searchsorted(ends, cell, side="right"))
+    cell, n = cell - int(ends[kind] - cells[kind]), int(stripes[kind])
+    left = n - 1 - (math.isqrt(8 * (n * (n + 1) // 2 - 1 - cell) + 1) - 1) // 2
+    return kind, left, left + cell - (left * n - left * (left - 1) // 2)
+
+
 class Block:
     """Distinct vectors of one dimension: their nodes, copies and quantised form; full vectors come when asked for."""
 
-    def __init__(self, uri: str, name: str):
-        with np.load(io.BytesIO(get(f"{uri}/{name}.q.npz"))) as held:
-            self.nodes, self.copies, q, self.scale, self.error, self.norm = (held[k] for k in ("nodes", "copies", "q", "scale", "error", "norm"))
-        self.q = q.astype(np.float32 if q.shape[1] <= _EXACT_FLOAT else np.float64)
-        self.uri, self._full = f"{uri}/{name}.full.npy", None
+    def __init__(self, uri: str, number: int):
+        with np.load(io.BytesIO(get(f"{uri}/{number:010d}.q.npz"))) as held:
+            self.nodes, self.copies, self.q, self.scale, self.error, self.norm = (held[k] for k in ("nodes", "copies", "q", "scale", "error", "norm"))
+        self.uri, self._full = f"{uri}/{number:010d}.full.npy", None
 
     @staticmethod
-    def write(uri: str, name: str, nodes: np.ndarray, copies: np.ndarray, units: np.ndarray) -> None:
+    def write(uri: str, number: int, nodes: np.ndarray, copies: np.ndarray, units: np.ndarray) -> None:
         q, scale, error, norm = quantise(units)
         np.savez(out := io.BytesIO(), nodes=nodes, copies=copies, q=q, scale=scale, error=error, norm=norm)
         np.save(full := io.BytesIO(), units)
-        put(f"{uri}/{name}.full.npy", full.getvalue())
-        put(f"{uri}/{name}.q.npz", out.getvalue())
+        put(f"{uri}/{number:010d}.full.npy", full.getvalue())
+        put(f"{uri}/{number:010d}.q.npz", out.getvalue())
 
     @property
     def full(self) -> np.ndarray:
@@ -74,23 +106,33 @@ class Block:
         return self._full
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The exact product of int8 rows; it is taken in floats, for which there is a fast one."""
+    kind = np.float32 if a.shape[1] <= _EXACT_FLOAT else np.float64
+    return a.astype(kind) @ b.astype(kind).T
+
+
 def linked_pairs(a: Block, b: Block, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a and b with a cosine of ``least`` or more, each pair once if a is b."""
-    product = a.q @ b.q.T
     slack = 1e-9
-    room = least - slack - a.error * b.norm.max() - b.error.max()
-    # no pair of the row can reach the threshold below this product
-    lowest = np.where(room > 0, room / (a.scale * b.scale.max()), -np.inf)
-    i, j = np.nonzero(product >= lowest[:, None])
-    if a is b:
-        i, j = i[i < j], j[i < j]
-    may = a.scale[i] * b.scale[j] * product[i, j] + a.error[i] * b.norm[j] + b.error[j] >= least - slack
-    i, j = i[may], j[may]
-    sure = np.zeros(len(i), bool)
-    for at in range(0, len(i), 1 << 14):
-        part = slice(at, at + (1 << 14))
-        sure[part] = (a.full[i[part]] * b.full[j[part]]).sum(axis=1) >= least
-    return i[sure], j[sure]
+    found = [(np.zeros(0, np.int64),) * 2]
+    for at in range(0, len(a.nodes), _ROWS):
+        rows = slice(at, at + _ROWS)
+        product = _product(a.q[rows], b.q)
+        room = least - slack - a.error[rows] * b.norm.max() - b.error.max()
+        # no pair of the row can reach the threshold below this product
+        lowest = np.where(room > 0, room / (a.scale[rows] * b.scale.max()), -np.inf)
+        i, j = np.nonzero(product >= lowest[:, None])
+        may = a.scale[at + i] * b.scale[j] * product[i, j] + a.error[at + i] * b.norm[j] + b.error[j] >= least - slack
+        i, j = at + i[may], j[may]
+        if a is b:
+            i, j = i[i < j], j[i < j]
+        sure = np.zeros(len(i), bool)
+        for k in range(0, len(i), 1 << 14):
+            part = slice(k, k + (1 << 14))
+            sure[part] = (a.full[i[part]] * b.full[j[part]]).sum(axis=1) >= least
+        found.append((i[sure], j[sure]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,93 +166,101 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     underscore after it.
 
     Vectors in the same direction, to the last bit, are reduced to one with their number
-    by map-side aggregation.  The distinct ones are written as blocks of bounded size into the shared
-    folder.  Blocks form stripes; a task takes two stripes and holds each block of one
-    against each of the other, so that all pairs are seen, and gives for each vector the
-    number of its links and a star forest of them, never the pairs.
+    by map-side aggregation.  The distinct ones are written as blocks of bounded size into
+    the shared folder, and up to eight blocks are a stripe.  A task holds one stripe and
+    takes the blocks of another one at a time, so that its memory is the same for any
+    number of vectors; all pairs of stripes are seen.  It gives for each vector the number
+    of its links and a star forest of them, never the pairs.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
     spark, space = vectors.sparkSession, Workspace(vectors.sparkSession, "embeddings")
     source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     kind = source.schema["id"].dataType.simpleString()
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def units(batches):
-        for batch in batches:
-            found = [None if u is None else u.tobytes() for u in map(unit, (v for (v,) in vocab.rows(batch, "v")))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else xxhash.xxh128_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], ["id", "key", "unit"])
-
-    rows = space.table(source.mapInArrow(units, f"id {kind}, key binary, unit binary"), "rows")
-    counted = rows.filter("key IS NOT NULL").groupBy("key").agg(F.first("unit").alias("unit"), F.min("id").alias("least"), F.count("*").alias("copies"))
-    classes = space.table(counted, "classes")
-    size = classes.agg(F.count("*").alias("n"), F.max(F.octet_length("unit")).alias("bytes")).first()
-    per_block = max(64, BLOCK_NUMBERS // max(1, (size["bytes"] or 8) // 8))
-    n_blocks = max(1, -(-size["n"] // per_block))
+    def keyed(with_units: bool):
+        def run(batches):
+            for batch in batches:
+                found = units(batch.column(1))
+                columns = [batch.column(0), pa.array([None if x is None else xxhash.xxh128_digest(x) for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(found, pa.binary())] * with_units], ["id", "key", *["unit"] * with_units])
+
+        return source.mapInArrow(run, f"id {kind}, key binary" + ", unit binary" * with_units)
+
+    rows = space.table(keyed(False), "rows")
+    counted = keyed(True).filter("key IS NOT NULL").groupBy("key").agg(F.first("unit").alias("unit"), F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = space.table(counted.withColumn("length", (F.octet_length("unit") / 8).cast("int")), "classes")
+    # a row for each length of vectors
+    sizes = sorted(map(tuple, classes.groupBy("length").agg(F.count("*")).collect()))
+    lengths = np.array([length for length, _ in sizes], np.int64)
+    blocks = np.array([-(-n // max(64, BLOCK_NUMBERS // length)) for length, n in sizes], np.int64)
+    base = np.cumsum(blocks) - blocks
+    stripe = np.clip(blocks // (4 * STRIPE), 1, STRIPE)
+    stripes = -(-blocks // stripe)
+    cells = stripes * (stripes + 1) // 2
+    n_blocks, n_cells = max(1, int(blocks.sum())), int(cells.sum())
     uri = space.folder("blocks")
 
     def build(batches):
-        parts = list(batches)
-        if not sum(p.num_rows for p in parts):
-            return
-        whole = pa.Table.from_batches(parts)
-        raw, block = whole["unit"].to_pylist(), whole["block"][0].as_py()
-        nodes = (block << 32) + np.arange(len(raw))
-        lengths = np.array([len(x) for x in raw])
-        copies = whole["copies"].to_numpy()
-        for length in np.unique(lengths):
-            at = np.flatnonzero(lengths == length)
-            name = f"{block:08d}-{length}"
-            Block.write(uri, name, nodes[at], copies[at], np.frombuffer(b"".join(raw[k] for k in at), np.float64).reshape(len(at), -1))
-            t = pa.Table.from_arrays([whole["key"].take(pa.array(at)), pa.array(nodes[at], pa.int64()), whole["least"].take(pa.array(at)), pa.array(copies[at], pa.int64()), pa.array([name] * len(at))], ["key", "node", "least", "copies", "name"])
+        for number, whole in groups(batches, "block"):
+            raw = whole["unit"].to_pylist()
+            nodes = (number << 32) + np.arange(len(raw))
+            Block.write(uri, number, nodes, whole["copies"].to_numpy(), np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1))
+            t = pa.Table.from_arrays([whole["key"], pa.array(nodes, pa.int64()), whole["least"], whole["copies"]], ["key", "node", "least", "copies"])
             yield from t.combine_chunks().to_batches()
 
-    dealt = classes.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int")).repartitionById(n_blocks, F.col("block")).sortWithinPartitions("key")
-    nodes = space.table(dealt.mapInArrow(build, f"key binary, node long, least {kind}, copies long, name string"), "nodes")
-    # a name for each block, as bounded as the files themselves
-    names = sorted(r["name"] for r in nodes.select("name").distinct().collect())
-    by_length: dict[str, list[str]] = {}
-    for name in names:
-        by_length.setdefault(name.rpartition("-")[2], []).append(name)
-    stripes, work = [], []
-    for same in by_length.values():
-        stripe, first = max(STRIPE, -(-len(same) // 400)), len(stripes)
-        stripes += [same[k : k + stripe] for k in range(0, len(same), stripe)]
-        work += [(r, c) for r in range(first, len(stripes)) for c in range(r, len(stripes))]
+    plan = spark.createDataFrame(zip(lengths.tolist(), base.tolist(), blocks.tolist(), strict=True), "length int, base long, blocks long")
+    dealt = classes.join(F.broadcast(plan), "length").withColumn("block", F.col("base") + F.pmod(F.xxhash64("key"), F.col("blocks"))).select("key", "unit", "least", "copies", "block")
+    width = min(n_blocks, max(4 * shuffles, -(-n_blocks // 64)))
+    dealt = dealt.repartitionById(width, F.pmod("block", F.lit(width)).cast("int")).sortWithinPartitions("block", "key")
+    nodes = space.table(dealt.mapInArrow(build, f"key binary, node long, least {kind}, copies long"), "nodes")
+    # a hash may leave a block without vectors
+    written = Written(uri)
 
     def tiles(batches):
+        held, lefts = None, []
         for batch in batches:
-            for left, right in vocab.rows(batch, "left", "right", step=1):
-                rights = [Block(uri, n) for n in stripes[right]]
-                lefts = rights if left == right else [Block(uri, n) for n in stripes[left]]
-                degree: dict[int, np.ndarray] = {id(x): np.zeros(len(x.nodes), np.int64) for x in [*lefts, *rights]}
-                ends_a, ends_b = [], []
-                for r, a in enumerate(lefts):
-                    for b in rights[r:] if lefts is rights else rights:
+            for cell in batch.column(0).to_pylist():
+                kind_, left, right = _cell(cell, cells, stripes)
+                first, last = int(base[kind_]), int(base[kind_] + blocks[kind_])
+                names = lambda k: range(first + k * int(stripe[kind_]), min(last, first + (k + 1) * int(stripe[kind_])))  # noqa: B023, E731
+                if held != (kind_, left):
+                    held, lefts = (kind_, left), [b for n in names(left) if (b := written.block(n))]
+                degrees, ends_a, ends_b = [np.zeros(len(a.nodes), np.int64) for a in lefts], [], []
+                counted_nodes, counts = [], []
+                for r, b in enumerate(lefts) if left == right else ((None, b) for n in names(right) if (b := written.block(n))):
+                    degree = np.zeros(len(b.nodes), np.int64)
+                    for k, a in enumerate(lefts if r is None else lefts[: r + 1]):
                         i, j = linked_pairs(a, b, least)
                         if not len(i):
                             continue
-                        degree[id(a)] += np.bincount(i, b.copies[j], len(a.nodes)).astype(np.int64)
-                        degree[id(b)] += np.bincount(j, a.copies[i], len(b.nodes)).astype(np.int64)
+                        degrees[k] += np.bincount(i, b.copies[j], len(a.nodes)).astype(np.int64)
+                        degree += np.bincount(j, a.copies[i], len(b.nodes)).astype(np.int64)
                         moved, root = _stars(a.nodes[i], b.nodes[j])
                         ends_a.append(moved)
                         ends_b.append(root)
-                blocks = {id(x): x for x in [*lefts, *rights]}
-                some = [(x.nodes[d > 0], d[d > 0]) for k, x in blocks.items() for d in [degree[k]]]
-                counted_nodes, counts = np.concatenate([x for x, _ in some]), np.concatenate([d for _, d in some])
-                moved, root = _stars(np.concatenate(ends_a), np.concatenate(ends_b)) if ends_a else (counts[:0], counts[:0])
+                    counted_nodes.append(b.nodes[degree > 0])
+                    counts.append(degree[degree > 0])
+                for a, degree in zip(lefts, degrees, strict=True):
+                    counted_nodes.append(a.nodes[degree > 0])
+                    counts.append(degree[degree > 0])
+                if not ends_a:
+                    continue
+                counted_nodes, counts = np.concatenate(counted_nodes), np.concatenate(counts)
+                moved, root = _stars(np.concatenate(ends_a), np.concatenate(ends_b))
                 n, m = len(counts), len(moved)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([counted_nodes, moved]), pa.int64()), pa.concat_arrays([pa.array(counts, pa.int64()), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(root, pa.int64())])],
                     ["node", "links", "root"],
                 )
 
-    cells = spark.createDataFrame([(k, *w) for k, w in enumerate(work)], "cell int, left int, right int").repartitionById(max(1, min(len(work), 4096)), F.col("cell"))
-    found = space.table(cells.select("left", "right").mapInArrow(tiles, "node long, links long, root long"), "found")
+    work = spark.range(0, n_cells, 1, max(1, min(n_cells, max(8 * shuffles, -(-n_cells // 64)))))
+    found = space.table(work.mapInArrow(tiles, "node long, links long, root long"), "found")
     degrees = found.filter("links IS NOT NULL").groupBy(F.col("node").alias("counted")).agg(F.sum("links").alias("links"))
     linked = components(found.filter("root IS NOT NULL"), space, "node", "root")
     rooted = nodes.join(linked.withColumnRenamed("node", "of"), nodes["node"] == F.col("of")).select("node", "root", "least")
-    smallest = rooted.groupBy(F.col("root").alias("at")).agg(F.min("least").alias("component_id"))
-    moved = rooted.join(smallest, F.col("root") == F.col("at")).select(F.col("node").alias("moved"), "component_id")
+    moved = with_least(rooted, "root", "least", "component_id").select(F.col("node").alias("moved"), "component_id")
     classes = nodes.join(degrees, nodes["node"] == degrees["counted"], "left").join(moved, nodes["node"] == F.col("moved"), "left")
     classes = space.table(classes.select(F.col("key").alias("at"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.when(F.col("moved").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component")), "result")
     space.drop("blocks", "classes")

@@ -15,10 +15,23 @@ from pyspark.sql import functions as F
 from veilscribe.llm.store import Workspace
 
 
+def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the least ``value`` of each ``key`` as ``name``, null if it has none.
+
+    Rows of a key are dealt out by a salt, and what is known of the key goes to each salt
+    that it has, so that a key with a third of all rows is no task of its own.
+    """
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    parts = salted.groupBy(key, "__salt").agg(F.min(value).alias("__least"))
+    whole = parts.groupBy(F.col(key).alias("__key")).agg(F.min("__least").alias(name), F.collect_list("__salt").alias("__salts"))
+    known = whole.select("__key", name, F.explode("__salts").alias("__of"))
+    return salted.join(known, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__of"))).select(*rows.columns, name)
+
+
 def _hung(pairs: DataFrame) -> DataFrame:
-    """u, v, m: pairs with the least of u and all v beside it.  The least are found by map-side aggregation; a hub's pairs join them by a shuffle that can split them."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
-    return pairs.join(least, pairs["u"] == least["at"]).select("u", "v", "m")
+    """u, v, m: pairs with the least of u and all v beside it."""
+    return with_least(pairs, "u", "v", "m").withColumn("m", F.least("u", "m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

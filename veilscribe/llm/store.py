@@ -11,6 +11,8 @@ import posixpath
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,11 @@ def _remove(uri: str) -> None:
         filesystem.delete_dir(path)
 
 
+def there(uri: str) -> bool:
+    filesystem, path = opened(uri)
+    return filesystem.get_file_info(path).type == pafs.FileType.File
+
+
 def put(uri: str, data: bytes) -> None:
     """Write a file whole: under another name first, so that a repeated or a lost task leaves no torn file."""
     filesystem, path = opened(uri)
@@ -60,6 +67,24 @@ def free(taken, *wanted: str) -> list[str]:
     return out
 
 
+def groups(batches, key: str):
+    """Runs of rows with one key, of batches that are sorted by it: the key, and the rows as a table."""
+    held, now = [], None
+    for batch in batches:
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        if not len(keys):
+            continue
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if held and keys[a] != now:
+                yield int(now), pa.Table.from_batches(held)
+                held = []
+            now = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield int(now), pa.Table.from_batches(held)
+
+
 class Replacing:
     """An output stream that takes its final name when it is closed in good order."""
 

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscribe.llm.store import Workspace, free, get, put
+from veilscribe.llm.store import Workspace, free, get, groups, put
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+\x20*[\x09-\x0D\x20]*")
 #: Text in a block, about, unless one document has more; documents in it at most; blocks that a task takes one after another.
@@ -362,24 +362,6 @@ def _read_spelt(data: bytes, rows: int, numbers: _Numbers) -> np.ndarray:
     return known[np.frombuffer(raw, f"<u{width}", offset=9 + size)].reshape(rows, -1)
 
 
-def _groups(batches, key: str):
-    """Runs of rows with one key, of batches that are sorted by it: the key, and the rows as a table."""
-    held, now = [], None
-    for batch in batches:
-        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-        if not len(keys):
-            continue
-        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(edges, edges[1:], strict=False):
-            if held and keys[a] != now:
-                yield int(now), pa.Table.from_batches(held)
-                held = []
-            now = keys[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield int(now), pa.Table.from_batches(held)
-
-
 def _runs(keys: np.ndarray):
     """Key, start and end of each run of equal keys."""
     edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
@@ -467,7 +449,7 @@ class _Search:
 
         def meet(batches):
             """Anchors of a bucket that are in two blocks or more, for each of those."""
-            for part, rows in _groups(batches, "part"):
+            for part, rows in groups(batches, "part"):
                 lists = [np.frombuffer(x, np.uint32) for x in rows["data"].to_pylist()]
                 values, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                 order = np.argsort(values, kind="stable")
@@ -493,7 +475,7 @@ class _Search:
         def heads(batches):
             """Writes a block's suffixes that may lie below a deep node, and counts them by their first words."""
             sizes = np.zeros(len(prefixes.fan), np.int64)
-            for name, rows in _groups(batches, "block"):
+            for name, rows in groups(batches, "block"):
                 block = Block.from_bytes(get(f"{uri}/{name:020d}.words"))
                 elsewhere = [(_U(r["part"]) << shift, np.frombuffer(r["data"], np.uint32)) for r in rows.select(["kind", "part", "data"]).to_pylist() if r["kind"] == _ANCHORS]
                 hashes = block.anchor_hashes()
@@ -525,7 +507,7 @@ class _Search:
             sizes = total(self._names().mapInArrow(count, "node long, n long"))
         self.depth = int(prefixes.depth.max())
         group = prefixes.groups(sizes, limit)
-        groups = int(group.max()) + 1 if len(group) else 1
+        n_groups = int(group.max()) + 1
 
         def suffixes(batches):
             """The suffixes of each block by prefix group, with their words."""
@@ -553,7 +535,7 @@ class _Search:
         def trees(batches):
             """The windows of a group's suffixes that start earlier, by block."""
             rows_of, types = window + places(window) - 1, [np.int64, np.int64, *[np.int64] * sources, np.uint16]
-            for part, rows in _groups(batches, "part"):
+            for part, rows in groups(batches, "part"):
                 numbers, blocks = _Numbers(), np.array(rows["block"].to_pylist())
                 contexts = np.concatenate([_read_spelt(x.as_py(), rows_of, numbers) for x in rows["data"]], axis=1)
                 columns = [np.concatenate(c) for c in zip(*(_unpacked(x.as_py(), *types) for x in rows["more"]), strict=True)]
@@ -572,7 +554,7 @@ class _Search:
                 if found:
                     yield _batch(found)
 
-        width = min(groups, max(shuffles, -(-groups // 8)))
+        width = min(n_groups, max(shuffles, -(-n_groups // 8)))
         sent = self._names().mapInArrow(suffixes, _ROWS)
         self.found = sent.repartitionById(width, (F.col("part") % width).cast("int")).sortWithinPartitions("part", "block").mapInArrow(trees, _ROWS)
 
@@ -627,7 +609,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words_name, removed_name = free(docs.columns, "n_words", "n_removed")
 
     def clean(batches):
-        for name, rows in _groups(batches, "block"):
+        for name, rows in groups(batches, "block"):
             with pa.ipc.open_file(pa.BufferReader(get(f"{uri}/{name:020d}.arrow"))) as file:
                 table = file.read_all()
             block, _, _, own, _ = _heads(uri, name)
@@ -667,7 +649,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     uri = search.uri
 
     def join(batches):
-        for name, rows in _groups(batches, "block"):
+        for name, rows in groups(batches, "block"):
             block, _, _, own, earlier = _heads(uri, name)
             begins = block.ends - block.lengths
             doc = np.searchsorted(block.ends, earlier, side="right")
