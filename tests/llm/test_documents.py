@@ -266,6 +266,32 @@ def test_url_lists_by_date(spark):
     assert url_lists.judge(captures, entries.limit(0)).filter("blocked").count() == 0 and url_lists.judge(captures.limit(0), entries).collect() == []
 
 
+def test_url_lists_of_addresses(spark):
+    days = lambda *rows: spark.createDataFrame(rows, "pattern string, list string, action string, since string").withColumn("since", F.to_date("since"))
+    entries = days(("[2001:db8::1]", "six", "add", "2024-01-01"), ("10.0.0.1", "four", "add", "2024-01-01"), ("0.1", "wrong", "add", "2024-01-01"), ("1", "wrong", "add", "2024-01-01"), ("0.1.example", "names", "add", "2024-01-01"))
+    urls = ["http://[2001:DB8::1]/", "http://u:p@[2001:db8::1]:8080/x", "http://[2001:db8::2]/", "http://10.0.0.1:80/", "http://10.0.0.2/", "http://10.0.0.1.example/", "http://[2001:db8::1", "http://10.0.0.0.1/"]
+    captures = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string").withColumn("fetched_on", F.to_date(F.lit("2024-02-01")))
+    got = {r["i"]: (r["host"], r["lists"]) for r in url_lists.judge(captures, entries).collect()}
+    assert got == {0: ("[2001:db8::1]", ["six"]), 1: ("[2001:db8::1]", ["six"]), 2: ("[2001:db8::2]", []), 3: ("10.0.0.1", ["four"]), 4: ("10.0.0.2", []), 5: ("10.0.0.1.example", ["names"]), 6: (None, []), 7: ("10.0.0.0.1", ["wrong"])}
+
+
+def test_url_lists_by_the_second_and_a_long_url(spark):
+    draw = random.Random(8)
+    changes = [("hot.com" if draw.random() < 0.5 else f"h{draw.randrange(4)}.com", draw.choice("ab"), draw.choice(["add", "remove"]), draw.randrange(100)) for _ in range(150)]
+    asked = [(i, f"http://{draw.choice(['x.hot.com', 'hot.com', 'h1.com', 'other.org'])}/{'long' * (5000 if i == 3 else 1)}", draw.randrange(100)) for i in range(300)]
+    entries = spark.createDataFrame(changes, "pattern string, list string, action string, t int").withColumn("since", F.timestamp_seconds("t"))
+    captures = spark.createDataFrame(asked, "i int, url string, t int").withColumn("fetched_on", F.timestamp_seconds("t"))
+    got = {r["i"]: r["lists"] for r in url_lists.judge(captures, entries).collect()}
+    for i, url, t in asked:
+        host = url.split("/")[2]
+        held = set()
+        for name in "ab":
+            for pattern in {p for p, *_ in changes if host == p or host.endswith("." + p)}:
+                last = max(((s, a == "add") for p, n, a, s in changes if (p, n) == (pattern, name) and s <= t), default=(0, False))
+                held |= {name} if last[1] else set()
+        assert got[i] == sorted(held), (i, url, t)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_have_their_sql(spark, data, name):
     import os

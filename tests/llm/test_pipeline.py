@@ -41,7 +41,7 @@ def test_stages_hand_on(spark, data):
     mixed = corpus_pipeline.mixing_sources(spark, cleaned, data)
     assert mixed.columns == names and {r["doc_id"] for r in mixed.collect()} <= set(left)
     packed = corpus_pipeline.pack(spark, mixed, data).collect()
-    check_packed(packed, [(r["doc_id"], r["text"]) for r in mixed.collect()], 1024, 64)
+    check_packed(packed, [(r["doc_id"], r["text"]) for r in mixed.collect()], 1024, 6, 976)
 
 
 def test_run_is_its_stages(spark, data):
@@ -60,7 +60,8 @@ def test_odd_rows_pass_every_stage(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, "").columns == docs.columns
-        corpus_pipeline.pack(spark, docs, "").collect()
+        packed = corpus_pipeline.pack(spark, docs, "").collect()
+        check_packed(packed, [(r["doc_id"], r["text"]) for r in docs.collect()], 1024, 6, 976)
     ids = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, odd_docs, "").collect()]
     assert ids.count(5) == 1 and ids.count(None) == 2 and 9 not in ids and 12 not in ids
     assert staged(spark, no_docs, 5).collect() == []

@@ -84,13 +84,55 @@ def test_op6_odd_rows(odd_docs, no_docs):
 
 
 def test_perfect_hash_is_minimal():
-    hashes = np.random.default_rng(3).integers(0, 2**63, 50_000).astype(np.uint64)
+    hashes = np.unique(np.random.default_rng(3).integers(0, 2**63, 50_000).astype(np.uint64))
     perfect = token_files.PerfectHash.build(hashes)
-    assert np.array_equal(np.sort(perfect(np.unique(hashes))), np.arange(len(np.unique(hashes))))
-    index = token_files.IndexFile.build(*(np.unique(hashes), *(np.arange(len(np.unique(hashes))) for _ in range(3))))
+    assert np.array_equal(np.sort(perfect(hashes)), np.arange(len(hashes)))
+    more = hashes[::-1].copy()
+    index = token_files.IndexFile.build(hashes, more, *(np.arange(len(hashes)) for _ in range(3)))
     again = token_files.IndexFile.from_bytes(index.to_bytes())
-    inside, held = again.look_up(np.array([hashes[7], 12345], np.uint64))
-    assert inside.tolist() == [True, False] and np.unique(hashes)[held["ordinal"][0]] == hashes[7]
+    inside, held = again.look_up(np.array([hashes[7], hashes[7], 12345], np.uint64), np.array([more[7], 5, 6], np.uint64))
+    assert inside.tolist() == [True, False, False] and held["ordinal"].tolist() == [7]
+
+
+def test_keys_with_one_64_bit_hash_are_told_apart(monkeypatch):
+    draw = np.random.default_rng(4)
+    hashes, more = draw.integers(0, 50, 3000).astype(np.uint64), np.arange(3000).astype(np.uint64) % np.uint64(977) + draw.integers(0, 2**62, 3000).astype(np.uint64)
+    index = token_files.IndexFile.build(hashes, more, *(np.arange(3000) for _ in range(3)))
+    inside, held = token_files.IndexFile.from_bytes(index.to_bytes()).look_up(hashes, more)
+    assert inside.all() and held["ordinal"].tolist() == list(range(3000))
+    with pytest.raises(ValueError, match="128"):
+        token_files.IndexFile.build(hashes[[1, 1]], more[[1, 1]], *(np.arange(2) for _ in range(3)))
+    # a first seed that makes keys one: another is taken
+    together = token_files._together
+    monkeypatch.setattr(token_files, "_together", lambda h, m, seed: together(h, m, seed) if seed > 1 else h)
+    index = token_files.IndexFile.build(hashes, more, *(np.arange(3000) for _ in range(3)))
+    assert index.seed == 2 and index.look_up(hashes, more)[1]["ordinal"].tolist() == list(range(3000))
+
+
+def test_null_is_no_string_key(spark):
+    docs = spark.createDataFrame([(None, "none"), ("null", "word"), ("\0null", "old mark"), ("", "empty"), ("a", "x y"), ("cd", "z")], "doc_id string, text string")
+    files = token_files.write_token_files(docs)
+    for r in docs.collect():
+        assert [x.tolist() for x in files.get(r["doc_id"])] == [[*ids_of(r["text"]), 0]]
+    assert files.read(docs, "doc_id", with_ids=False).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert files.read(docs, "doc_id").count() == 6 and files.read(docs.filter("doc_id IN ('a', '')"), "doc_id").count() == 2
+
+
+def test_places_near_each_other_are_one_read(monkeypatch):
+    places = list(token_files._near_places(np.array([0, 0, 0, 1, 1]), np.array([0, 2, 40, 0, 1]), np.array([2, 1, 1, 1, 1])))
+    assert places == [(0, 2), (2, 3), (3, 5)]
+    monkeypatch.setattr(token_files, "READ_IDS", 10)
+    assert list(token_files._reads(np.array([0, 4, 9, 30]), np.array([4, 9, 30, 31]))) == [(0, 3), (3, 4)]
+
+
+def test_a_failed_task_leaves_no_part_files(spark, tmp_path):
+    import os
+
+    bad = spark.createDataFrame([(1, "fine"), (2, "bad")], "doc_id long, text string").coalesce(1)
+    broken = bad.withColumn("text", F.when(F.col("doc_id") == 2, F.raise_error(F.lit("broken"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="broken"):
+        token_files.write_token_files(broken, folder=str(tmp_path))
+    assert not [f for _, _, files in os.walk(tmp_path) for f in files if f.endswith(".part")]
 
 
 def test_broken_shards_are_refused(tmp_path):
@@ -133,7 +175,47 @@ def check_packed(rows, docs, length, segments=64, loss=None):
 
 def test_op1_packs_everything(spark, data):
     rows = queries.op1_packing(spark, data).collect()
-    assert check_packed(rows, texts_of(data), 1024, 64) == 0
+    assert check_packed(rows, texts_of(data), 1024, 6, 976) == 0
+    # all three limits are met by some sequence, and each holds on its own
+    sequences = {}
+    for r in rows:
+        tokens, segments, loss = sequences.get(r["sequence_id"], (0, 0, 0))
+        sequences[r["sequence_id"]] = tokens + r["length"], segments + 1, loss + r["loss_tokens"]
+    assert max(t for t, _, _ in sequences.values()) == 1024 and max(s for _, s, _ in sequences.values()) == 6 and max(x for *_, x in sequences.values()) == 976
+    assert len(sequences) <= 1.1 * sum(r["length"] for r in rows) / 1024 + 40
+
+
+def test_first_lines_bear_no_loss(spark, data):
+    sizes = np.array([len(b) for b in vocab.encoder().token_bytes])
+    texts = {i: t or "" for i, t in texts_of(data)}
+    loss = {}
+    for r in queries.op1_packing(spark, data).collect():
+        loss[r["doc_id"]] = loss.get(r["doc_id"], 0) + r["loss_tokens"]
+    for i, text in texts.items():
+        ids, first = ids_of(text), len((text[: text.find("\n") + 1]).encode())
+        bare = sum(end <= first for end in np.cumsum(sizes[ids]).tolist()) if ids else 0
+        assert loss[i] == len(ids) + 1 - bare
+
+
+def test_the_greatest_dot_product_is_taken():
+    draw = np.random.default_rng(12)
+    limits = np.array([100, 5, 60])
+    for _ in range(40):
+        packer = packing.Packer(*limits.tolist(), pool=1000)
+        pieces = [packing.Piece((k, 0), np.zeros(n, np.uint16), 0, int(draw.integers(0, n + 1))) for k, n in enumerate(draw.integers(1, 40, 60).tolist())]
+        for p in pieces:
+            assert not list(packer.add(p))
+        open_ = list(packer.pieces)
+        left = limits.astype(float)
+        for chosen in packer._sequence():
+            if chosen not in open_:
+                break  # from here on pieces are cut
+            demand = {id(p): np.array([len(p.ids), 1, p.loss]) for p in open_}
+            fit = [p for p in open_ if (demand[id(p)] <= left).all() and (left[1] > 1 or len(p.ids) == left[0])]
+            score = lambda p: float((demand[id(p)] / limits) @ (left / limits))  # noqa: B023, E731
+            assert score(chosen) == pytest.approx(max(map(score, fit)))
+            open_.remove(chosen)
+            left -= demand[id(chosen)]
 
 
 def test_op1_odd_rows_and_limits(odd_docs, no_docs):

@@ -72,3 +72,66 @@ def test_records_are_checked(old, new, message):
     assert warc.parse(record).block == b"the body" and old in record
     with pytest.raises(warc.BadArchive, match=message):
         warc.parse(record.replace(old, new))
+
+
+DATE = ("WARC-Date", "2024-01-01T00:00:00Z")
+
+
+def real(tmp_path):
+    """What crawls hold besides pages: DNS answers, requests, metadata, records without a type of content, and faults."""
+    writer = warc.ArchiveWriter(str(tmp_path / "r.warc.zst"))
+    add = lambda kind, k, block, *more: writer.add(warc._record([("WARC-Type", kind), ("WARC-Record-ID", f"<urn:{k}>"), DATE, *more], block))
+    add("response", 1, b"20240101000000\nexample.org.\t300\tIN\tA\t192.0.2.1\n", ("Content-Type", "text/dns"), ("WARC-Target-URI", "dns:example.org"), ("WARC-Payload-Digest", f"sha1:{warc.digest(b'20240101000000' + chr(10).encode() + b'example.org.' + chr(9).encode() + b'300' + chr(9).encode() + b'IN' + chr(9).encode() + b'A' + chr(9).encode() + b'192.0.2.1' + chr(10).encode())}"))
+    add("request", 2, b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", ("Content-Type", "Application/HTTP; msgtype=request"))
+    add("response", 3, b"HTTP/1.1 200 OK\r\n\r\nbody")
+    add("response", 4, b"no head at all", ("Content-Type", "application/http"))
+    add("metadata", 5, b"a: b\r\n\r\n", ("Content-Type", "application/warc-fields"))
+    add("revisit", 6, b"", ("Content-Type", "application/http; msgtype=response"))
+    add("response", 7, b"HTTP/1.1 200 OK\r\n\r\nx", ("Content-Type", "application/http"), ("WARC-Payload-Digest", "sha1:AAAA"))
+    add("resource", 8, b"\x00\x01", ("Content-Type", "image/png"))
+    writer.close()
+    return str(tmp_path / "r.warc.zst")
+
+
+def test_records_of_real_crawls(spark, tmp_path):
+    name = real(tmp_path)
+    with pytest.raises(Exception, match="no end of the HTTP headers|payload digest"):
+        warc.read_archives(spark, [name]).collect()
+    rows = warc.read_archives(spark, [name], faults=True).collect()
+    good = {r["record_id"]: r for r in rows if r["fault"] is None}
+    assert sorted(good) == [f"<urn:{k}>" for k in (1, 2, 3, 5, 6, 8)]
+    assert good["<urn:1>"]["http_head"] is None and bytes(good["<urn:1>"]["payload"]).startswith(b"2024") and good["<urn:1>"]["url"] == "dns:example.org"
+    assert bytes(good["<urn:3>"]["payload"]) == b"body" and bytes(good["<urn:2>"]["http_head"]).startswith(b"GET /") and good["<urn:6>"]["payload"] is None
+    assert bytes(good["<urn:5>"]["payload"]) == b"a: b\r\n\r\n" and good["<urn:8>"]["payload_bytes"] == 2
+    faults = [r["fault"] for r in rows if r["fault"]]
+    assert len(faults) == 2 and any("no end" in f for f in faults) and any("digest" in f for f in faults)
+
+
+def test_a_torn_archive_is_a_row_of_its_own(spark, tmp_path):
+    whole = archive(tmp_path)
+    (tmp_path / "torn.warc.zst").write_bytes(whole[:-20])
+    rows = warc.read_archives(spark, [str(tmp_path / "torn.warc.zst"), str(tmp_path / "a.warc.zst")], faults=True).collect()
+    assert sum(r["fault"] is None for r in rows) == 39 and [r["archive"] for r in rows if r["fault"]] == [str(tmp_path / "torn.warc.zst")]
+
+
+def test_a_long_record_between_short_ones(tmp_path):
+    import os
+
+    writer = warc.ArchiveWriter(str(tmp_path / "l.warc.zst"))
+    blocks = [b"short", os.urandom(3_000_000), b"", b"last" * 10]
+    for k, block in enumerate(blocks):
+        writer.add(warc._record([("WARC-Type", "resource"), ("WARC-Record-ID", f"<urn:{k}>"), DATE], block))
+    writer.close()
+    assert [r.block for r in warc.records(io.BytesIO((tmp_path / "l.warc.zst").read_bytes()))] == blocks
+
+
+def test_a_failed_writer_leaves_no_part_files(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(k, "u", "x" * k) for k in range(50)], "page_id long, url string, html string").coalesce(1)
+    broken = pages.withColumn("html", F.when(F.col("page_id") == 40, F.raise_error(F.lit("broken"))).otherwise(F.col("html")))
+    with pytest.raises(Exception, match="broken"):
+        warc.write_archives(broken, folder=str(tmp_path))
+    assert not [f for _, _, files in os.walk(tmp_path) for f in files if f.endswith(".part")]

@@ -93,7 +93,7 @@ class Packer:
         if self.tokens < self.length:
             left[0] = 1 << (self.tokens.bit_length() - 1)
         chosen: list[Piece] = []
-        while left[0] and left[1] and left[2] and self.pieces:
+        while left[0] and left[1] and self.pieces:
             demand = self.demand[: len(self.pieces)]
             fit = (demand[:, 0] <= left[0]) & (demand[:, 2] <= left[2])
             if left[1] == 1:
@@ -102,7 +102,10 @@ class Packer:
                 piece = self._take(int(np.argmax(np.where(fit, demand @ (left / self.limits**2), -1))))
             else:
                 # the longest by what of it could go in
-                k = int(np.argmax(np.minimum(np.minimum(demand[:, 0], left[0]), demand[:, 0] - demand[:, 2] + left[2])))
+                goes = np.minimum(np.minimum(demand[:, 0], left[0]), demand[:, 0] - demand[:, 2] + left[2])
+                k = int(np.argmax(goes))
+                if not goes[k]:
+                    break
                 piece = self._take(k)
                 n = int(min(len(piece.ids), left[0], piece.bare + left[2]))
                 if n < len(piece.ids):
@@ -124,14 +127,25 @@ class Packer:
         return chosen
 
 
+def _prompt_ids(text: str, ids: np.ndarray, mark: str, sizes: np.ndarray) -> int:
+    """How many ids at the front end within the text up to and with its first ``mark``; 0 without one."""
+    end = text.find(mark)
+    if end < 0:
+        return 0
+    end = len(text[: end + len(mark)].encode())
+    return int(np.searchsorted(np.cumsum(sizes[ids[:end]]), end, side="right"))
+
+
 def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prompt_col: str | None = None, vocabulary: str = vocab.DEFAULT_VOCABULARY, end_id: int = 0,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prompt_col: str | None = None, prompt_mark: str | None = None, vocabulary: str = vocab.DEFAULT_VOCABULARY, end_id: int = 0,
     length: int = 1024, max_segments: int = 64, max_loss: int = 1024, pool: int = POOL, with_ids: bool = True,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens and, if asked for, ids.
 
     An example is the ids of its prompt, which bear no loss, then those of its text and
-    ``end_id``, which do.  Null texts and prompts are empty, so that the least example
+    ``end_id``, which do.  With ``prompt_mark`` those ids of the text bear none either that
+    end before or with its first mark: with a line break the first line asks and the rest
+    answers.  Null texts and prompts are empty, so that the least example
     is ``end_id`` alone.  A null id stays null; rows that repeat an id are packed one by one, and other columns are ignored, whatever their names; a result named like the
     id has an underscore after it.  An empty table gives no row.  ``ids`` are little-endian unsigned 32-bit.
 
@@ -149,7 +163,7 @@ def pack(
     def run(batches):
         encoder = vocab.encoder(vocabulary)
         packer, number = Packer(length, max_segments, max_loss, pool), TaskContext.get().partitionId() << 40
-        end = np.array([end_id], encoder.dtype)
+        end, sizes = np.array([end_id], encoder.dtype), np.array([len(b) for b in encoder.token_bytes])
         id_type, out = None, []
 
         def emit(sequence):
@@ -170,9 +184,10 @@ def pack(
         for batch in batches:
             id_type = batch.schema.field("id").type
             for i, before, text in vocab.rows(batch, "id", "prompt", "text"):
-                bare = encoder.ids(before or "")
-                ids = np.concatenate([bare, encoder.ids(text or ""), end])
-                for sequence in packer.add(Piece((i, len(ids)), ids, 0, len(bare))):
+                asked, own = encoder.ids(before or ""), encoder.ids(text or "")
+                bare = len(asked) + (_prompt_ids(text or "", own, prompt_mark, sizes) if prompt_mark else 0)
+                ids = np.concatenate([asked, own, end])
+                for sequence in packer.add(Piece((i, len(ids)), ids, 0, bare)):
                     emit(sequence)
                     if len(out) >= 4096:
                         yield full()

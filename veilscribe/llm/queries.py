@@ -16,11 +16,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), length=1024, max_segments=64, max_loss=1024, with_ids=False)
+    """The pieces of all documents as examples that a first line asks for: at most 1024 tokens, 6 segments and 976 tokens after the first line in a sequence."""
+    return packing.pack(_table(spark, sf_dir, "documents"), prompt_mark="\n", length=1024, max_segments=6, max_loss=976, with_ids=False)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, cover=simhash.Cover.exact(3))
+    """Every document with its fingerprint of three-word shingles and the component of fingerprints that differ in at most three bits."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3)
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
@@ -31,18 +33,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links at a cosine of 0.95 and the component that they make."""
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.95)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record is read back from the archives."""
     archives = warc.write_archives(_table(spark, sf_dir, "pages"), min_revisit_bytes=0)
     read = warc.read_archives(spark, archives, with_payload=False).filter(F.col("record_type").isin("response", "revisit"))
     return read.select(F.expr("try_cast(headers['X-Page-Id'] AS bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("headers")["X-Refers-To-Page-Id"].cast("long").alias("refers_to"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as its ids are read back, by key, from the shards."""
     docs = _table(spark, sf_dir, "documents")
-    return token_files.write_token_files(docs).read(docs, "doc_id").drop("ids")
+    return token_files.write_token_files(docs).read(docs, "doc_id", with_ids=False)
 
 
 #: The lists of the URL query: each host enters one list on a day, leaves it and comes back, by the digits of its MD5;
@@ -64,14 +69,18 @@ def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), limit=512)
 
 
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.assess(_table(spark, sf_dir, "documents"))
+    """The verdict on every document, with what it rests on; judged by language where there is a column of it."""
+    docs = _table(spark, sf_dir, "documents")
+    return fertility.assess(docs, lang_col="lang" if "lang" in docs.columns else None)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words it has, those that an earlier passage has, and a digest of the rest."""
     cleaned = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))

@@ -7,9 +7,10 @@ another, each closed by an end id::
     documents, 8 bytes each, and the end | b"VSIDS01\\0" bytes-per-id, documents, ids
 
 The index is a minimal perfect hash over the distinct document keys, split by key hash
-into files of bounded size.  A key's slot holds a stored fingerprint, the shard, the
-document's place in it and how many rows have the key.  A lookup reads one index file,
-two starts and the ids: constant time, whatever the number of documents.
+into files of bounded size.  Keys are told apart by 128 bits.  A key's slot holds a
+stored fingerprint, the shard, the document's place in it and how many rows have the
+key.  A lookup reads one index file, two starts and the ids: constant time, whatever
+the number of documents.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import io
 import struct
 import zlib
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ _TRAILER = struct.Struct("<8sQQQ")
 SHARD_IDS = 1 << 26
 #: Keys in an index file, about; and index files at least.
 INDEX_KEYS, INDEX_FILES = 1 << 16, 128
-_ABSENT = "\0null"
+#: Documents between two that are asked for, and ids, that are read along with them.
+GAP_DOCS, READ_IDS = 8, 1 << 20
 
 
 # ---------------------------------------------------------------- minimal perfect hash
@@ -49,9 +52,17 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def key_hash(key) -> int:
-    """The 64-bit hash of a key; Spark's xxhash64 of the key as a string gives the same, as a signed number."""
-    return xxhash.xxh64_intdigest(_ABSENT if key is None else str(key), 42)
+def key_hashes(key) -> tuple[int, int]:
+    """The two 64-bit hashes of a key; Spark's xxhash64 of the marked key as a string gives the same, as signed numbers.  A null key is no string."""
+    return tuple(xxhash.xxh64_intdigest(mark if key is None else mark + str(key), 42) for mark in (_NULL if key is None else _TEXT))
+
+
+_TEXT, _NULL = ("a", "b"), ("c", "d")
+
+
+def _together(hashes: np.ndarray, more: np.ndarray, seed: int) -> np.ndarray:
+    """One 64-bit hash of two, another for each seed."""
+    return _mix(hashes ^ _mix(more, 2 * seed + 1), 2 * seed + 2)
 
 
 class PerfectHash:
@@ -97,40 +108,40 @@ class PerfectHash:
         return out
 
 
-def _fingerprint(hashes: np.ndarray) -> np.ndarray:
-    return (_mix(hashes, 0x51D) >> np.uint64(32)).astype(np.uint32)
-
-
 class IndexFile:
     """One file of the index: a perfect hash and, by its numbers, what it says of each key."""
 
     FIELDS = ("fingerprint", "shard", "ordinal", "copies")
 
-    def __init__(self, perfect: PerfectHash, columns: dict[str, np.ndarray]):
-        self.perfect, self.columns = perfect, columns
+    def __init__(self, perfect: PerfectHash, seed: int, columns: dict[str, np.ndarray]):
+        self.perfect, self.seed, self.columns = perfect, seed, columns
 
     @classmethod
-    def build(cls, hashes: np.ndarray, shard: np.ndarray, ordinal: np.ndarray, copies: np.ndarray) -> IndexFile:
-        if len(np.unique(hashes)) != len(hashes):
-            raise ValueError("two document keys have the same 64-bit hash")
-        perfect = PerfectHash.build(hashes)
-        order = np.argsort(perfect(hashes))
-        return cls(perfect, {"fingerprint": _fingerprint(hashes)[order], "shard": shard[order].astype(np.uint32), "ordinal": ordinal[order].astype(np.uint64), "copies": copies[order].astype(np.uint64)})
+    def build(cls, hashes: np.ndarray, more: np.ndarray, shard: np.ndarray, ordinal: np.ndarray, copies: np.ndarray) -> IndexFile:
+        """Of keys with their two hashes.  Keys that the seed does not tell apart get another one; only equal 128 bits raise."""
+        order = np.lexsort((more, hashes))
+        if ((hashes[order][1:] == hashes[order][:-1]) & (more[order][1:] == more[order][:-1])).any():
+            raise ValueError("two document keys have the same 128-bit hash")
+        seed = next(k for k in count() if len(np.unique(_together(hashes, more, k))) == len(hashes))
+        one = _together(hashes, more, seed)
+        perfect = PerfectHash.build(one)
+        order = np.argsort(perfect(one))
+        return cls(perfect, seed, {"fingerprint": more[order], "shard": shard[order].astype(np.uint32), "ordinal": ordinal[order].astype(np.uint64), "copies": copies[order].astype(np.uint64)})
 
     def to_bytes(self) -> bytes:
-        np.savez(out := io.BytesIO(), bits=self.perfect.bits, sizes=self.perfect.sizes, **self.columns)
+        np.savez(out := io.BytesIO(), bits=self.perfect.bits, sizes=self.perfect.sizes, seed=self.seed, **self.columns)
         return out.getvalue()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> IndexFile:
         held = np.load(io.BytesIO(data))
-        return cls(PerfectHash(held["bits"], held["sizes"]), {k: held[k] for k in cls.FIELDS})
+        return cls(PerfectHash(held["bits"], held["sizes"]), int(held["seed"]), {k: held[k] for k in cls.FIELDS})
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """Which hashes are in, by their fingerprints, and the columns for those."""
-        at = self.perfect(hashes)
+    def look_up(self, hashes: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Which keys are in, by their fingerprints, and the columns for those."""
+        at = self.perfect(_together(hashes, more, self.seed))
         inside = at >= 0
-        inside[inside] = self.columns["fingerprint"][at[inside]] == _fingerprint(hashes[inside])
+        inside[inside] = self.columns["fingerprint"][at[inside]] == more[inside]
         return inside, {k: v[at[inside]] for k, v in self.columns.items()}
 
 
@@ -191,8 +202,8 @@ class TokenFiles:
 
     def get(self, key) -> list[np.ndarray]:
         """Ids of each row with the key, in order; an empty list if there is none."""
-        hashes = np.array([key_hash(key)], np.uint64)
-        inside, held = _index_file(self.uri, int(hashes[0] % np.uint64(self.index_files))).look_up(hashes)
+        hashes, more = (np.array([h], np.uint64) for h in key_hashes(key))
+        inside, held = _index_file(self.uri, int(hashes[0] % np.uint64(self.index_files))).look_up(hashes, more)
         if not inside[0]:
             return []
         shard = Shard(f"{self.uri}/shards/{self.shards[int(held['shard'][0])]}")
@@ -201,44 +212,66 @@ class TokenFiles:
         shard.close()
         return found
 
-    def read(self, keys: DataFrame, key_col: str) -> DataFrame:
-        """Every row written for the distinct keys: key, start (ids of all documents before), n_tokens, ids_crc32, ids.
+    def read(self, keys: DataFrame, key_col: str, *, with_ids: bool = True) -> DataFrame:
+        """Every row written for the distinct keys: key, start (ids of all documents before), n_tokens, ids_crc32 and, if asked for, ids.
 
-        Keys that were never written give no row; a result named like the key has an underscore after it.  Two shuffles of narrow rows: to the
-        index files, then to the shards.
+        Keys that were never written give no row; a result named like the key has an
+        underscore after it.  Two shuffles of narrow rows: to the index files, then to the
+        shards, where documents that lie near each other are one read.
         """
         uri, shards, bases, files, kind = self.uri, self.shards, self.bases, self.index_files, self.key_type
         place = "key {0}, shard int, ordinal long, copies long".format(kind)
 
         def find(batches):
             for batch in batches:
-                hashes = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                hashes, more = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (1, 2))
                 file_of = (hashes % np.uint64(files)).astype(np.int64)
                 for f in np.unique(file_of):
                     mine = np.flatnonzero(file_of == f)
-                    inside, held = _index_file(uri, int(f)).look_up(hashes[mine])
+                    inside, held = _index_file(uri, int(f)).look_up(hashes[mine], more[mine])
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(mine[inside])), pa.array(held["shard"].astype(np.int32)), pa.array(held["ordinal"].astype(np.int64)), pa.array(held["copies"].astype(np.int64))], ["key", "shard", "ordinal", "copies"])
 
         def fetch(batches):
             number, shard = -1, None
             for batch in batches:
-                for block in vocab.chunks(vocab.rows(batch, "key", "shard", "ordinal", "copies"), 512):
-                    out = []
-                    for key, n, ordinal, copies in block:
-                        if n != number:
-                            if shard:
-                                shard.close()
-                            number, shard = n, Shard(f"{uri}/shards/{shards[n]}")
-                        starts = shard.starts(ordinal, copies)
-                        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                            ids = shard.ids(a, b)
-                            out.append((key, int(bases[n]) + a, b - a, zlib.crc32(ids.astype("<u4").tobytes()), ids.astype("<u4").tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((batch.schema.field("key").type, pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "start", "n_tokens", "ids_crc32", "ids"])
-
-        hashed = keys.select(F.col(key_col).alias("key")).distinct().select("key", _spark_hash("key").alias("hash"))
+                of, ordinal, copies = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3))
+                for a, b in _near_places(of, ordinal, copies):
+                    if of[a] != number:
+                        if shard:
+                            shard.close()
+                        number, shard = int(of[a]), Shard(f"{uri}/shards/{shards[of[a]]}")
+                    first = int(ordinal[a])
+                    starts = shard.starts(first, int(ordinal[b - 1] + copies[b - 1]) - first)
+                    rows = np.repeat(np.arange(a, b), copies[a:b])
+                    docs = ordinal[rows] - first + np.arange(len(rows)) - np.repeat(np.cumsum(copies[a:b]) - copies[a:b], copies[a:b])
+                    begin, end = starts[docs], starts[docs + 1]
+                    found = []
+                    for x, y in _reads(begin, end):
+                        ids = shard.ids(int(begin[x]), int(end[y - 1])).astype("<u4")
+                        found += [ids[p:q].tobytes() for p, q in zip((begin[x:y] - begin[x]).tolist(), (end[x:y] - begin[x]).tolist(), strict=True)]
+                    columns = [batch.column(0).take(pa.array(rows)), pa.array(bases[number] + begin), pa.array(end - begin), pa.array(list(map(zlib.crc32, found)), pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*columns, *[pa.array(found, pa.binary())] * with_ids], ["key", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
+
+        hashed = keys.select(F.col(key_col).alias("key")).distinct().select("key", *_spark_hashes("key"))
         sent = hashed.repartitionById(files, _bucket("hash", files)).mapInArrow(find, place)
         sent = sent.repartitionById(max(1, len(shards)), F.col("shard")).sortWithinPartitions("shard", "ordinal")
-        return sent.mapInArrow(fetch, f"key {kind}, start long, n_tokens long, ids_crc32 long, ids binary").toDF(key_col, *free([key_col], "start", "n_tokens", "ids_crc32", "ids"))
+        return sent.mapInArrow(fetch, f"key {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids).toDF(key_col, *free([key_col], "start", "n_tokens", "ids_crc32", *["ids"] * with_ids))
+
+
+def _near_places(shard: np.ndarray, ordinal: np.ndarray, copies: np.ndarray, rows: int = 512):
+    """Runs of up to ``rows`` rows whose documents lie near each other in one shard."""
+    if len(shard):
+        apart = (shard[1:] != shard[:-1]) | (ordinal[1:] - ordinal[:-1] - copies[:-1] > GAP_DOCS)
+        edges = np.flatnonzero(np.concatenate([[True], apart, [True]])).tolist()
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield from ((k, min(b, k + rows)) for k in range(a, b, rows))
+
+
+def _reads(begin: np.ndarray, end: np.ndarray):
+    """Runs of documents that are one read: up to about ``READ_IDS`` ids, or one document."""
+    part = (begin - begin[0]) // READ_IDS
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
+    return zip(edges, edges[1:], strict=False)
 
 
 @lru_cache(maxsize=8)
@@ -246,8 +279,9 @@ def _index_file(uri: str, number: int) -> IndexFile:
     return IndexFile.from_bytes(get(f"{uri}/index/{number:06d}.idx"))
 
 
-def _spark_hash(key: str):
-    return F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(_ABSENT)))
+def _spark_hashes(key: str) -> list:
+    text = F.col(key).cast("string")
+    return [F.xxhash64(F.coalesce(F.concat(F.lit(t), text), F.lit(n))).alias(name) for t, n, name in zip(_TEXT, _NULL, ("hash", "more"), strict=True)]
 
 
 def _bucket(hash_col: str, files: int):
@@ -278,22 +312,27 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def write(batches):
         encoder, task = vocab.encoder(vocabulary), TaskContext.get().partitionId()
         end, shard, name, number = np.array([end_id], encoder.dtype).tobytes(), None, "", 0
-        for batch in batches:
-            names, places, lengths = [], [], []
-            for (text,) in vocab.rows(batch, "text"):
-                packed = encoder.packed(text or "") + end
-                if shard is None:
-                    name = f"ids-{task:07d}-{number:05d}.bin"
-                    shard, number = ShardWriter(f"{uri}/shards/{name}", encoder.dtype), number + 1
-                names.append(name)
-                places.append(len(shard.starts) - 1)
-                lengths.append(shard.add(packed))
-                if shard.starts[-1] >= shard_ids:
-                    shard.close()
-                    shard = None
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(places, pa.int64()), pa.array(lengths, pa.int64())], ["id", "name", "ordinal", "n"])
-        if shard is not None:
-            shard.close()
+        try:
+            for batch in batches:
+                names, places, lengths = [], [], []
+                for (text,) in vocab.rows(batch, "text"):
+                    packed = encoder.packed(text or "") + end
+                    if shard is None:
+                        name = f"ids-{task:07d}-{number:05d}.bin"
+                        shard, number = ShardWriter(f"{uri}/shards/{name}", encoder.dtype), number + 1
+                    names.append(name)
+                    places.append(len(shard.starts) - 1)
+                    lengths.append(shard.add(packed))
+                    if shard.starts[-1] >= shard_ids:
+                        shard.close()
+                        shard = None
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(places, pa.int64()), pa.array(lengths, pa.int64())], ["id", "name", "ordinal", "n"])
+            if shard is not None:
+                shard.close()
+                shard = None
+        finally:
+            if shard is not None:
+                shard.out.abort()
 
     ordered = source.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
     places = space.table(ordered.mapInArrow(write, f"id {kind}, name string, ordinal long, n long"), "places")
@@ -312,16 +351,17 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         file_of = (hashes % np.uint64(files)).astype(np.int64)
         for f in np.unique(file_of):
             at = np.flatnonzero(file_of == f)
-            held = IndexFile.build(hashes[at], *(whole[c].to_numpy()[at] for c in ("shard", "ordinal", "copies")))
+            more = whole["more"].to_numpy().astype(np.int64).view(np.uint64)
+            held = IndexFile.build(hashes[at], more[at], *(whole[c].to_numpy()[at] for c in ("shard", "ordinal", "copies")))
             put(f"{uri}/index/{int(f):06d}.idx", held.to_bytes())
             yield pa.RecordBatch.from_pydict({"file": pa.array([f], pa.int32()), "keys": pa.array([len(at)], pa.int64())})
 
     # rows that repeat an id are neighbours, so each key is a run; shards are listed in order
     first = F.min(F.struct("shard", "ordinal"))
-    keys = places.join(F.broadcast(numbers) if len(shards) < 100_000 else numbers, "name").groupBy("id").agg(first.alias("first"), F.count("*").alias("copies"))
-    keys = keys.select(_spark_hash("id").alias("hash"), F.col("first.shard").alias("shard"), F.col("first.ordinal").alias("ordinal"), "copies")
+    keys = places.join(numbers, "name").groupBy("id").agg(first.alias("first"), F.count("*").alias("copies"))
+    keys = keys.select(*_spark_hashes("id"), F.col("first.shard").alias("shard"), F.col("first.ordinal").alias("ordinal"), "copies")
     built = {r["file"] for r in keys.repartitionById(files, _bucket("hash", files)).mapInArrow(build, "file int, keys long").collect()}
-    empty = IndexFile.build(*(np.array([], t) for t in (np.uint64, np.int64, np.int64, np.int64))).to_bytes()
+    empty = IndexFile.build(*(np.array([], t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))).to_bytes()
     for f in set(range(files)) - built:
         put(f"{uri}/index/{f:06d}.idx", empty)
     space.drop("places")

@@ -49,13 +49,22 @@ class Record:
     def __getitem__(self, name: str) -> str | None:
         return self.names.get(name.lower())
 
-    def http(self) -> tuple[bytes, bytes]:
-        """The HTTP head and the payload after it."""
+    def parts(self) -> tuple[bytes | None, bytes]:
+        """The HTTP head, if the block is an HTTP message, and the payload."""
+        if not self.http():
+            return None, self.block
         head, mark, payload = self.block.partition(b"\r\n\r\n")
-        if not mark:
+        if not mark and self["WARC-Type"] != "revisit":
             raise BadArchive(f"record at {self.offset}: no end of the HTTP headers")
         return head, payload
 
+    def http(self) -> bool:
+        """By its Content-Type; without one, by how the block starts."""
+        if self["WARC-Type"] not in ("response", "request", "revisit"):
+            return False
+        kind = self["Content-Type"]
+        return kind.partition(";")[0].strip().lower() == "application/http" if kind else self.block.startswith(b"HTTP/")
+
 
 def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -113,15 +122,36 @@ class ArchiveWriter:
         self.out.commit()
 
 
-def records(stream, chunk: int = 1 << 20):
-    """Each record of an archive, in order.  ``stream`` has read(); raises BadArchive at the first fault.
+def records(stream, chunk: int = 1 << 20, faults: bool = False):
+    """Each record of an archive, in order.  ``stream`` has read().  Raises BadArchive at the first fault, or gives it with ``faults``.
+
+    After a fault within a record the next one follows; a broken frame ends the archive.
 
     Looks at: frames and their checksums, the version line, header syntax, that type, id,
     date and length are there, that the length is the block's, the closing line ends,
     and sha1 digests of block and payload.
     """
-    data, at = stream.read(chunk), 0
-    base = 0
+    try:
+        for frame, here in _frames(stream, chunk):
+            try:
+                yield parse(frame, here)
+            except BadArchive as e:
+                if not faults:
+                    raise
+                yield e
+    except BadArchive as e:
+        if not faults:
+            raise
+        yield e
+
+
+#: Compressed bytes that are given to the decoder at once; what lies behind a frame's end is copied.
+_STEP = 1 << 13
+
+
+def _frames(stream, chunk: int):
+    """The contents of each frame, decoded with the dictionary, and where it starts."""
+    data, at, base = stream.read(chunk), 0, 0
 
     def need(n: int) -> bool:
         nonlocal data, at, base
@@ -161,11 +191,12 @@ def records(stream, chunk: int = 1 << 20):
             while not frame.eof:
                 if not need(1):
                     raise BadArchive(f"torn frame at {here}")
-                parts.append(frame.decompress(data[at:]))
-                base, data, at = base + len(data) - len(frame.unused_data or b""), frame.unused_data or b"", 0
+                piece = data[at : at + _STEP]
+                parts.append(frame.decompress(piece))
+                at += len(piece) - len(frame.unused_data or b"")
         except zstandard.ZstdError as e:
             raise BadArchive(f"frame at {here}: {e}") from e
-        yield parse(b"".join(parts), here)
+        yield b"".join(parts), here
 
 
 def parse(data: bytes, offset: int = 0) -> Record:
@@ -190,7 +221,7 @@ def parse(data: bytes, offset: int = 0) -> Record:
     if given and given.startswith("sha1:") and given[5:] != digest(record.block):
         raise BadArchive(f"record at {offset}: wrong block digest")
     given = record["WARC-Payload-Digest"]
-    if record["WARC-Type"] == "response" and given and given.startswith("sha1:") and given[5:] != digest(record.http()[1]):
+    if record["WARC-Type"] == "response" and given and given.startswith("sha1:") and given[5:] != digest(record.parts()[1]):
         raise BadArchive(f"record at {offset}: wrong payload digest")
     return record
 
@@ -221,15 +252,13 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     ready = source.join(often, source["sha1"] == often["again"], "left").select("id", "url", "payload", F.when(F.col("id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first")).alias("refers_to"))
 
     def write(batches):
-        task, number, archive, name, count = TaskContext.get().partitionId(), 0, None, "", 0
-        done = []
-        for batch in batches:
-            for i, url, payload, refers in vocab.rows(batch, "id", "url", "payload", "refers_to"):
+        task, number, archive, name, done = TaskContext.get().partitionId(), 0, None, "", []
+        try:
+            for count, (i, url, payload, refers) in enumerate(row for batch in batches for row in vocab.rows(batch, "id", "url", "payload", "refers_to")):
                 if archive is None:
                     name = f"{uri}/pages-{task:07d}-{number:05d}.warc.zst"
                     archive, number = ArchiveWriter(name), number + 1
                     archive.add(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id(f"info {task} {number}")), ("WARC-Date", date), ("WARC-Filename", name.rpartition("/")[2]), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
-                count += 1
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                 shared = [("WARC-Date", date), ("WARC-Target-URI", _clean(url) if url else "urn:x-unknown"), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("Content-Type", "application/http; msgtype=response"), ("X-Page-Id", "null" if i is None else str(i))]
                 if refers is None:
@@ -240,9 +269,13 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                     archive.close()
                     archive = None
                     done.append(name)
-        if archive is not None:
-            archive.close()
-            done.append(name)
+            if archive is not None:
+                archive.close()
+                archive = None
+                done.append(name)
+        finally:
+            if archive is not None:
+                archive.out.abort()
         yield pa.RecordBatch.from_pydict({"archive": pa.array(done, pa.string())})
 
     # a name for each archive, as bounded as the files themselves
@@ -252,34 +285,42 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 READ = "archive string, offset long, record_id string, record_type string, date string, url string, headers map<string,string>, http_head binary, payload binary, payload_bytes long, payload_digest string"
 
 
-def read_archives(spark, archives: list[str], *, with_payload: bool = True) -> DataFrame:
+def read_archives(spark, archives: list[str], *, with_payload: bool = True, faults: bool = False) -> DataFrame:
     """One row per record: archive, offset, record_id, record_type, date, url, headers, http_head, payload, payload_bytes, payload_digest.
 
-    Of HTTP records the head and payload are apart; other records have their block as
-    payload.  Revisits have no payload; their payload_bytes and payload_digest are those
-    of the full payload, from their headers.  Without ``with_payload`` the payload is
-    checked and left out.  No archives give no rows; a fault in one raises BadArchive.
-    A task reads an archive at a time, a record at a time.
+    Of HTTP messages, by their Content-Type, the head and payload are apart; other records,
+    such as ``dns:`` responses, have their block as payload.  Revisits have no payload;
+    their payload_bytes and payload_digest are those of the full payload, from their
+    headers.  Without ``with_payload`` the payload is checked and left out.  No archives
+    give no rows.  A fault in one raises BadArchive; with ``faults`` it is a row instead,
+    with its message in a column ``fault`` that is null otherwise and all but ``archive``
+    null.  Then the next record follows, if the frame was whole.  A task reads an archive
+    at a time, a record at a time.
     """
     names = spark.createDataFrame(list(enumerate(archives)), "n int, archive string").repartitionById(max(1, len(archives)), F.col("n"))
-    schema = pa.schema([(f, pa.string()) for f in ("archive",)] + [("offset", pa.int64())] + [(f, pa.string()) for f in ("record_id", "record_type", "date", "url")] + [("headers", pa.map_(pa.string(), pa.string())), ("http_head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+    schema = pa.schema([(f, pa.string()) for f in ("archive",)] + [("offset", pa.int64())] + [(f, pa.string()) for f in ("record_id", "record_type", "date", "url")] + [("headers", pa.map_(pa.string(), pa.string())), ("http_head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())] + [("fault", pa.string())] * faults)
 
-    def row(archive: str, r: Record):
-        kind, head, payload = r["WARC-Type"], None, r.block
-        if kind in ("response", "request", "revisit"):
-            head, payload = r.http()
-        size, payload_digest = len(payload), digest(payload)
+    def row(archive: str, r: Record | BadArchive):
+        if isinstance(r, BadArchive):
+            return archive, *[None] * 10, str(r)
+        try:
+            head, payload = r.parts()
+        except BadArchive as e:
+            if not faults:
+                raise
+            return archive, *[None] * 10, str(e)
+        kind, size, payload_digest = r["WARC-Type"], len(payload), digest(payload)
         if kind == "revisit":
-            found = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", head)
+            found = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", head or b"")
             size, payload, payload_digest = int(found[1]) if found else None, None, (r["WARC-Payload-Digest"] or "").removeprefix("sha1:") or None
-        return archive, r.offset, r["WARC-Record-ID"], kind, r["WARC-Date"], r["WARC-Target-URI"], list(r.headers.items()), head, payload if with_payload else None, size, payload_digest
+        return archive, r.offset, r["WARC-Record-ID"], kind, r["WARC-Date"], r["WARC-Target-URI"], list(r.headers.items()), head, payload if with_payload else None, size, payload_digest, *[None] * faults
 
     def read(batches):
         for batch in batches:
             for archive in batch.column(batch.schema.get_field_index("archive")).to_pylist():
                 filesystem, path = opened(archive)
                 with filesystem.open_input_stream(path, compression=None) as stream:
-                    for block in vocab.chunks((row(archive, r) for r in records(stream)), 256):
+                    for block in vocab.chunks((row(archive, r) for r in records(stream, faults=faults)), 256):
                         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in block], t) for i, t in enumerate(schema.types)], schema=schema)
 
-    return names.select("archive").mapInArrow(read, READ)
+    return names.select("archive").mapInArrow(read, READ + ", fault string" * faults)
