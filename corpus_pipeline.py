@@ -15,7 +15,9 @@ from veilscribe.llm.store import Workspace
 
 #: Near-duplicates: 256 bits over shingles of five words; at most 52 differ, which is a cosine of 0.8 or more between the
 #: shingle counts.  Two fingerprints that differ in 52 bits meet with a probability of 0.99
-#: at any size of the corpus, nearer ones more often.
+#: at any size of the corpus, nearer ones more often.  Segments are of one bit: with counts of longer ones, a cell for
+#: each neighbour and the same recall, a fingerprint would lie in 302 cells instead of 35 at 222,000 fingerprints, and in
+#: 3,243 instead of 153 at 10 million.
 NEAR = simhash.Sampling(52, words=4, recall=0.99)
 
 
@@ -35,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 20 words or more that an earlier one has; n_chars, if there, is that of the new text."""
+    """All documents, without passages of 20 words or more that an earlier one has; n_chars, if there, is that of the new text.  A null text stays null, and its n_chars is null; of equal rows one keeps its text."""
     cleaned = substrings.remove_repeats(docs)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -43,13 +45,21 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as drawn, in a new order, with sources weighted by the square roots of their sizes."""
+    """Documents as often as drawn, in a new order, with sources weighted by the square roots of their sizes.
+
+    A null source is a source of its own; one whose texts are all null or empty has no
+    size and gives nothing.  Null and empty texts of other sources are drawn like any
+    other, and rows that repeat an id are drawn alike, as the draw rests on the id.
+    """
     return mixing.mix(docs, mixing.tempered(docs, power=0.5), seed=17).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 1024 tokens; a document drawn twice is packed twice."""
-    return packing.pack(docs, length=1024, max_segments=64, max_loss=1024, with_ids=False)
+    """The pieces of sequences of 1024 tokens, 6 segments and 976 tokens after first lines; a document drawn twice is packed twice.
+
+    A null or empty text is its end id alone; null ids stay null, and each row is packed by itself.
+    """
+    return packing.pack(docs, prompt_mark="\n", length=1024, max_segments=6, max_loss=976, with_ids=False)
 
 
 STAGES = [("quality rules", quality), ("SimHash near-dedup", near_dedup), ("substring dedup", substring_dedup), ("mixing sources", mixing_sources), ("packing", pack)]
