@@ -57,6 +57,63 @@ def test_verdicts(spark, text, kept):
     assert fertility.assess(docs).first()["kept"] is kept
 
 
+def test_op9_measures_are_brute_force(spark, data):
+    """Tokens of the libraries themselves, and every measure and verdict from them."""
+    import base64
+    import math
+
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    english = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file)}
+    multi = tiktoken.Encoding("m", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    spelling = {chr(b): b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    spelling |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in spelling.values())}
+
+    def whole(raw):
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            return False
+        return True
+
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    seen = set()
+    for r in queries.op9_fertility(spark, data).collect():
+        text, lang = docs[r["doc_id"]]["text"] or "", docs[r["doc_id"]]["lang"]
+        name = lang if lang in fertility.BANDS else fertility.script_of(text)
+        band = fertility.BANDS[name]
+        if band.vocabulary == "english":
+            ids = english.encode(text, add_special_tokens=False).ids
+            fragment = lambda i: not whole(bytes(spelling[c] for c in english.id_to_token(i)))
+        else:
+            ids = multi.encode_ordinary(text)
+            fragment = lambda i: not whole(multi.decode_single_token_bytes(i))
+        n = len(ids)
+        assert (r["n_tokens"], r["band"]) == (n, name)
+        reason = None
+        if r["n_words"] < 50:
+            reason = "words"
+        elif 100 * r["n_repeat_words"] > 50 * r["n_words"]:
+            reason = "repetition"
+        if n:
+            chars, share = len(text) / n, sum(map(fragment, ids)) / n
+            entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
+            assert (r["chars_per_token"], r["byte_fallback"], r["entropy"]) == pytest.approx((chars, share, entropy), abs=1e-9)
+            if not reason and not band.least_chars <= chars <= band.most_chars:
+                reason = "chars_per_token"
+            if not reason and share > band.most_fragments:
+                reason = "byte_fallback"
+            if not reason and n > 1 and entropy < min(band.least_entropy * math.log2(n), fertility.ENOUGH_ENTROPY):
+                reason = "entropy"
+        assert (r["reason"], r["kept"]) == (reason, reason is None)
+        seen.add(reason)
+    assert {None, "words", "repetition"} <= seen and len(seen) > 3
+
+
 def test_scripts_have_their_bands(spark):
     cases = {"han": "我们今天去公园玩了很久然后回家吃饭睡觉", "kana": "わたしは今日こうえんに行きました", "cyrillic": "Сегодня мы ходили гулять в парк", "arabic": "ذهبنا اليوم إلى الحديقة", "latin": "naïve façade", "other": "123 !?", "hangul": "오늘 우리는 공원에 갔다", "greek": "σήμερα πήγαμε", "thai": "วันนี้เราไป", "hebrew": "היום הלכנו", "indic": "आज हम पार्क गए"}
     assert {k: fertility.script_of(v) for k, v in cases.items()} == {k: k for k in cases}

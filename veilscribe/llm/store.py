@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import atexit
 import posixpath
-import tempfile
 import uuid
 
 import numpy as np
@@ -16,17 +15,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """Where intermediate tables go; a URI or an absolute path."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="veilscribe-")
-        atexit.register(_remove, folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from veilscribe.shared import checkpoint_folder
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -120,7 +109,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str, folder: str | None = None):
         self.spark = spark
-        self.uri = f"{(folder or shared_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.uri = f"{(folder or checkpoint_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         filesystem, path = opened(self.uri)
         filesystem.create_dir(path, recursive=True)
         if folder is None:
