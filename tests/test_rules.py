@@ -79,3 +79,18 @@ def test_llm_answers(spark):
     got = [[(s["start"], s["end"], s["type"]) for s in r[0]] for r in frame.orderBy("i").select(llm_spans(F.col("t"), F.col("a"))).collect()]
     both = [(0, 3, "NAME"), (8, 11, "NAME"), (0, 3, "NAME")]
     assert got == [both, both, [], [], [], [], []]
+
+
+def test_a_language_model_is_asked(spark):
+    def make():
+        def ask(instructions, text):
+            if "broken" in text:
+                raise OSError("no connection")
+            assert "JSON" in instructions
+            return f'[{{"pii_type": "NAME", "text": "{text.split()[0]}"}}]'
+
+        return ask
+
+    rows = spark.createDataFrame([("a", "Ann met Ann"), ("b", "broken line a@b.co"), ("c", "  "), ("d", None), ("e", "Bo")], "id string, text string")
+    found = {r["id"]: [(s["start"], s["end"], s["type"], s["source"]) for s in r["spans"]] for r in detect(rows, llm=make, merge_gap=0, min_chars=1).collect()}
+    assert found == {"a": [(0, 3, "NAME", "llm")], "b": [(12, 18, "EMAIL", "rule")], "c": [], "d": [], "e": [(0, 2, "NAME", "llm")]}

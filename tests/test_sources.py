@@ -118,3 +118,24 @@ def test_artifacts(tmp_path):
     assert files.read_json(str(tmp_path / "bad.json")) == {}
     about = sinks.bundle(str(tmp_path / "z.zip"), [str(tmp_path / "x.json"), str(tmp_path / "gone")], root=str(tmp_path))
     assert (about["files"], about["missing"]) == (["x.json"], ["gone"])
+
+
+def test_splits_of_an_exported_dataset(spark, tmp_path):
+    from veilscribe.sources import files
+
+    rows = spark.createDataFrame([(1, "a")], "k int, v string")
+    for config, split, k in (("long_wav", "train", 1), ("long_wav", "dev", 2), ("short", "train", 3), ("data", "test", 4)):
+        (tmp_path / "set" / config).mkdir(parents=True, exist_ok=True)
+        rows.selectExpr(f"{k} AS k", "v").toPandas().to_parquet(tmp_path / "set" / config / f"{split}-00000-of-00001.parquet")
+    (tmp_path / "set" / "README.md").write_text("x")
+    where = str(tmp_path / "set")
+    layout = files.dataset_layout(spark, where)
+    assert {c: list(x) for c, x in layout.items()} == {"default": ["test"], "long_wav": ["dev", "train"], "short": ["train"]}
+    read = lambda **of: [r["k"] for r in files.read_exported(spark, where, **of).collect()]
+    assert read(split="train", subset="long_wav") == [1] and read(split="dev", subset="long_wav", config="short") == [2]
+    assert read(split="train", subset="none", config="short") == [3] and read(split="test") == [4]
+    with pytest.raises(ValueError, match="no split"):
+        files.read_exported(spark, where, split="eval", config="short")
+    assert files.dataset_layout(spark, str(tmp_path / "gone")) == {}
+    (tmp_path / "lines.jsonl").write_text('{"k": 7}\n')
+    assert files.read_exported(spark, str(tmp_path / "lines.jsonl")).first()["k"] == 7

@@ -66,9 +66,12 @@ def test_evaluations(spark, tmp_path):
     manifest = write_lines(tmp_path / "m.jsonl", [{"item_id": "a", "transcript": "one two three"}, {"item_id": "b", "transcript": "你好"}])
     (tmp_path / "asr").mkdir()
     write_lines(tmp_path / "asr" / "segments.jsonl", [{"segment_id": "s1", "source_item_id": "a", "text": "one two", "start": 0.0}, {"segment_id": "s1", "source_item_id": "a", "text": "again", "start": 1.0}])
-    out = stages.run_asr_eval(spark, {"run": {"run_id": "e"}, "protocol": {"corpus_mode": "concat"}, "inputs": {"evaluations": [{"name": "t", "asr_dir": str(tmp_path / "asr"), "manifest_path": manifest}]}}, str(tmp_path))
+    out = stages.run_asr_eval(spark, {"run": {"run_id": "e"}, "inputs": {"evaluations": [{"name": "t", "asr_dir": str(tmp_path / "asr"), "manifest_path": manifest}]}}, str(tmp_path))
     split = json.loads(open(f"{out}/summary.json").read())["splits"][0]
-    assert split["wer"] == pytest.approx(3 / 5) and split["duplicate_segment_rows_removed"] == 1 and {c["lang_bucket"]: c["wer"] for c in split["concatenated"]}["ALL"] == pytest.approx(3 / 5)
+    assert split["wer"] == pytest.approx(3 / 5) and split["duplicate_segment_rows_removed"] == 1
+    assert json.loads(open(f"{out}/protocol.json").read())["corpus_rate"] == "one_alignment"
+    out = stages.run_asr_eval(spark, {"run": {"run_id": "s"}, "protocol": {"corpus_mode": "sum_edits"}, "inputs": {"evaluations": [{"name": "t", "asr_dir": str(tmp_path / "asr"), "manifest_path": manifest}]}}, str(tmp_path))
+    assert json.loads(open(f"{out}/summary.json").read())["splits"][0]["wer"] == pytest.approx(3 / 5)
     data = write_lines(tmp_path / "bio.jsonl", [{"item_id": "x", "lang": "en", "tokens": ["Ann", "Lee", "ran"], "gold_tag_names": ["B-PER", "I-PER", "O"]}])
     config = {"run": {"run_id": "p"}, "protocol": {"beta": 2.0, "label_aliases": {"PERSON": "PER"}}, "inputs": {"evaluations": [{"name": "en", "data_path": data}]}}
     out = stages.run_pii_eval(spark, config, str(tmp_path), gazetteer({"Ann Lee": "PERSON", "ran": "LOC"}))
@@ -120,3 +123,33 @@ def test_mask_sessions(spark, tmp_path):
     query = incremental.mask_sessions(rows, by="source").writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r["source"], r["n"]) for r in spark.table("sessions").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+@pytest.mark.parametrize("channels", [1, 2])
+def test_24_bit_audio_is_masked(channels):
+    import wave
+
+    import numpy as np
+
+    from veilscribe.operators import masking
+    from veilscribe.sources import audio
+
+    samples = np.repeat(np.array([-(2**23), -1, 0, 1, 5, 2**23 - 1] * 100, np.int32)[:, None], channels, axis=1)
+    data = masking.write_wave(samples, wave._wave_params(channels, 3, 100, len(samples), "NONE", ""))
+    back, params = masking.read_wave(data)
+    assert (back == samples).all() and params.sampwidth == 3
+    for mode in ("silence", "beep"):
+        masked, after = masking.read_wave(masking.mask_wave(data, [(1.0, 2.0)], masking.MaskOptions(mode=mode)))
+        assert after == params and (masked[:100] == samples[:100]).all() and (masked[200:] == samples[200:]).all() and (masked[100:200] != samples[100:200]).any()
+    assert abs(audio.decode(data)[0]).max() <= 1.0
+
+
+def test_unmasked_audio_may_be_refused(spark, tmp_path):
+    from veilscribe.operators import masking
+
+    (tmp_path / "a.wav").write_bytes(b"no wave at all")
+    audit = spark.createDataFrame([(str(tmp_path / "a.wav"), [(0.0, 1.0)])], "source_audio string, all_intervals array<struct<start: double, end: double>>")
+    for how, method in (("copy", "fallback_copy_after_mask_error"), ("refuse", "refused_after_mask_error")):
+        out = tmp_path / how
+        done = masking.mask_files(audit, str(out), masking.MaskOptions.of({"on_error": how}), root=str(tmp_path)).first()
+        assert done["method"] == method and (done["masked_audio"] is None) == (how == "refuse") and (out / "a.wav").exists() == (how == "copy")

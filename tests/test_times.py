@@ -111,3 +111,24 @@ def test_masked_samples():
 def test_masked_names():
     assert masked_name("/r/a/b.wav", "/r") == ("a/b.masked.wav", "a/b.wav")
     assert masked_name("/x/b.c.wav", "/r") == ("b.c.masked.wav", "b.c.wav")
+
+
+def test_intervals_carry_over_buckets(spark):
+    import random
+
+    from veilscribe.operators.masking import merge_intervals
+
+    draw = random.Random(5)
+    rows = [(draw.choice(["a", "b", None]), s := draw.random() * 300, s + draw.choice([0.1, 1, 5, 90, -1])) for _ in range(400)]
+    got = merge_intervals(spark.createDataFrame(rows, "k string, start double, end double").repartition(3), ["k"], gap=0.5, bucket_sec=7.0)
+    expected = []
+    for key in ("a", "b", None):
+        merged = []
+        for s, e in sorted((s, e) for k, s, e in rows if k == key and e > s):
+            if merged and s <= merged[-1][1] + 0.5:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        expected += [(key, *m) for m in merged]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+    assert sorted(map(repr, map(tuple, merge_intervals(spark.createDataFrame(rows, "k string, start double, end double"), ["k"], gap=0.5, bucket_sec=None).collect()))) == sorted(map(repr, expected))

@@ -52,16 +52,18 @@ def chunk_ranges(total: Column, chunk: float, overlap: float, shortest: float) -
 
 def proportional_slices(text: Column, n: Column) -> Column:
     """``n`` slices of the stripped text of about equal length; an empty one is widened by five characters to both sides."""
-    text = strip(F.coalesce(text, F.lit("")))
-    total = F.length(text)
 
-    def piece(i):
-        a, b = F.bround(i * total / n).cast("int"), F.bround((i + 1) * total / n).cast("int")
-        exact = strip(F.substr(text, a + 1, b - a))
-        low, high = F.greatest(F.lit(0), F.floor(i * total / n).cast("int") - 5), F.floor((i + 1) * total / n).cast("int") + 5
-        return F.when(exact != "", exact).otherwise(strip(F.substr(text, low + 1, high - low)))
+    def cut(x):
+        text, total = x["text"], x["total"]
 
-    return F.when(n <= 1, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), piece))
+        def piece(i):
+            a, b = F.bround(i * total / n).cast("int"), F.bround((i + 1) * total / n).cast("int")
+            low, high = F.greatest(F.lit(0), F.floor(i * total / n).cast("int") - 5), F.floor((i + 1) * total / n).cast("int") + 5
+            return let(strip(F.substr(text, a + 1, b - a)), lambda exact: F.when(exact != "", exact).otherwise(strip(F.substr(text, low + 1, high - low))))
+
+        return F.when(n <= 1, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), piece))
+
+    return let(let(strip(F.coalesce(text, F.lit(""))), lambda t: F.struct(t.alias("text"), F.length(t).alias("total"))), cut)
 
 
 def fixed_chunks(duration: Column, text: Column, chunk: float = 28.0, shortest: float = 2.0) -> Column:
@@ -224,7 +226,9 @@ def without_overlap(before: Column, text: Column, most: int = 20, least: int = 4
 
     def shared(x):
         a, b = x["a"], x["b"]
-        k = F.try_element_at(F.filter(sizes, lambda k: (k <= F.size(a)) & (k <= F.size(b)) & (F.slice(a, F.greatest(F.size(a) - k, F.lit(0)) + 1, k) == F.slice(b, 1, k))), F.lit(1))
+        # runs are only compared where their first tokens are the same
+        begins = lambda k: F.coalesce(F.get(a, F.size(a) - k) == F.get(b, F.lit(0)), F.lit(False))
+        k = F.try_element_at(F.filter(sizes, lambda k: (k <= F.size(a)) & (k <= F.size(b)) & begins(k) & (F.slice(a, F.greatest(F.size(a) - k, F.lit(0)) + 1, k) == F.slice(b, 1, k))), F.lit(1))
         space = F.when(text.rlike(f"[{CJK}]") | before.rlike(f"[{CJK}]"), "").otherwise(" ")
         return let(k, lambda k: F.when(k.isNotNull(), F.call_function("array_join", F.slice(b, 1, k), space)))
 

@@ -56,6 +56,40 @@ def model_output(make: Callable[[], Model]):
     return run
 
 
+#: What a language model is asked for when nothing else is said.
+INSTRUCTIONS = (
+    "Find the personal data in the text that follows. Answer with a JSON array and nothing else. Each element is an object with two strings: "
+    f"pii_type, which is one of {', '.join(LLM_TYPES)}, and text, copied letter by letter from the text. Answer [] if there is none."
+)
+#: Gives a language model's answer to instructions and a text.
+Ask = Callable[[str, str], str]
+
+
+def llm_output(make: Callable[[], Ask], instructions: str = INSTRUCTIONS):
+    """A pandas UDF of texts that gives a language model's answers.
+
+    ``make`` is called once per task and may open a connection.  Blank texts are not sent.
+    A call that fails costs its own answer, which is then null, and not the task.
+    """
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ask = make()
+
+        def answer(text):
+            if not text or not text.strip():
+                return None
+            try:
+                return ask(instructions, text)
+            except Exception:  # noqa: BLE001  whatever a caller's client raises
+                return None
+
+        for texts in batches:
+            yield texts.map(answer, na_action=None).astype(object)
+
+    return run
+
+
 def model_spans(raw: Column, text: Column, *, aliases: dict[str, str] | None = None, allowed: list[str] | None = None, threshold: float | None = None) -> Column:
     """Spans of a model's raw entities: labels mapped, those not allowed, without a length or below the threshold left out; a null score passes."""
     mapped = F.transform(raw, lambda e: make_span(e["start"], e["end"], remapped_label(e["label"], aliases or {}), F.substr(text, e["start"] + 1, e["end"] - e["start"]), F.lit("ner"), e["score"]))
@@ -90,11 +124,11 @@ def llm_spans(text: Column, response: Column) -> Column:
 
 def detect(
     segments: DataFrame, *, rules: bool = True, toggles: dict[str, bool] | None = None, model: Callable[[], Model] | None = None, aliases: dict[str, str] | None = None, threshold: float | None = None,
-    responses: str | None = None, text_col: str = "text", spans_col: str = "spans", merge_gap: int = 1, min_chars: int = 2,
+    responses: str | None = None, llm: Callable[[], Ask] | None = None, instructions: str = INSTRUCTIONS, text_col: str = "text", spans_col: str = "spans", merge_gap: int = 1, min_chars: int = 2,
 ) -> DataFrame:
-    """``segments`` with their merged spans: of rules, then of a model, then of a language model's ``responses`` column.
+    """``segments`` with their merged spans: of rules, then of a model, then of a language model, by its ``responses`` column or by asking it (``llm``).
 
-    Of equal spans the first source wins.  One narrow stage; Python runs only for a model,
+    Of equal spans the first source wins.  One narrow stage; Python runs only for models,
     in Arrow batches, and not on blank texts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -108,9 +142,12 @@ def detect(
         parts.append(model_spans(F.col(f"{spans_col}__model"), text, aliases=aliases, threshold=threshold))
     if responses:
         parts.append(llm_spans(text, F.col(responses)))
+    if llm:
+        out = out.withColumn(f"{spans_col}__answer", llm_output(llm, instructions)(F.col(text_col)))
+        parts.append(llm_spans(text, F.col(f"{spans_col}__answer")))
     raw = F.concat(*parts) if parts else no_spans()
     out = out.withColumn(f"{spans_col}__raw", raw)
-    return out.withColumn(spans_col, merge_adjacent(text, clean_spans(text, F.col(f"{spans_col}__raw"), min_chars), merge_gap)).drop(f"{spans_col}__raw", f"{spans_col}__model")
+    return out.withColumn(spans_col, merge_adjacent(text, clean_spans(text, F.col(f"{spans_col}__raw"), min_chars), merge_gap)).drop(f"{spans_col}__raw", f"{spans_col}__model", f"{spans_col}__answer")
 
 
 def redacted(spans: DataFrame, *, text_col: str = "text", spans_col: str = "spans", out_col: str = "redacted") -> DataFrame:

@@ -1,7 +1,8 @@
 """Tables of quality diagnostics: weighted means, shares, percentiles, histograms, slices and trends.
 
-Quartiles are exact and found once; a one-row table of them joins the rows as a
-broadcast of known size.
+Percentiles are exact: values are counted, and the counts of smaller ones are summed over
+ranges of them, so that no task holds all values.  A one-row table of quartiles joins
+the rows as a broadcast of known size.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilscribe.operators.selection import running
+
 
 def weighted(value: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(value * weight), F.sum(weight))
@@ -28,10 +31,39 @@ def share_pct(rows: DataFrame, value: str, by: list[str], out: str) -> DataFrame
     return rows.withColumn(out, 100.0 * F.col(value) / F.greatest(F.lit(1.0), total.cast("double")))
 
 
+def percentiles(rows: DataFrame, column: str, points: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """by, __q: the exact percentiles of the values that are there, interpolated between neighbours; nulls where there are none.
+
+    Without ``by`` one row.
+    """
+    groups = [F.col(c).alias(f"__g{k}") for k, c in enumerate(by)]
+    names = [f"__g{k}" for k in range(len(by))]
+    counted = rows.filter(F.col(column).isNotNull()).groupBy(*groups, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    placed = running(counted, [*names, "__v"], "__n", "__before")
+    sizes = placed.groupBy(*(F.col(n).alias(f"{n}s") for n in names)).agg(F.sum("__n").alias("__all"), F.min("__before").alias("__base"))
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}s"))
+    placed = placed.join(sizes, same) if names else placed.crossJoin(F.broadcast(sizes))
+    at = F.col("__before") - F.col("__base")
+    place = lambda p: F.lit(p) * (F.col("__all") - 1)
+    here = lambda k: (k >= at) & (k < at + F.col("__n"))
+    marked = placed.filter(F.coalesce(F.array_max(F.array(*(here(f(place(p))) for p in points for f in (F.floor, F.ceil)))), F.lit(False)))
+    value = lambda k: F.max(F.when(here(k), F.col("__v")))
+    found = marked.groupBy(*names).agg(*(value(f(place(p))).alias(f"__{i}{n}") for i, p in enumerate(points) for n, f in (("a", F.floor), ("b", F.ceil))), F.max("__all").alias("__all"))
+
+    def between(i, p):
+        low, high, k = F.col(f"__{i}a"), F.col(f"__{i}b"), place(p)
+        return F.when(low == high, low).otherwise((F.ceil(k) - k) * low + (k - F.floor(k)) * high)
+
+    return found.select(*(F.col(n).alias(c) for n, c in zip(names, by, strict=True)), F.array(*(between(i, p) for i, p in enumerate(points))).alias("__q"))
+
+
 def distribution(rows: DataFrame, column: str, points: tuple[float, ...] = (0.10, 0.25, 0.75, 0.90)) -> DataFrame:
     """n, mean, median, exact interpolated percentiles, least and greatest of the values that are there."""
     c = F.col(column)
-    return rows.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), *(F.percentile(c, F.lit(p)).alias(f"p{round(100 * p)}") for p in points), F.min(c).alias("min"), F.max(c).alias("max"))
+    one = rows.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max")).crossJoin(F.broadcast(percentiles(rows, column, (0.5, *points))))
+    return one.select("n", "mean", F.col("__q")[0].alias("median"), *(F.col("__q")[k + 1].alias(f"p{round(100 * p)}") for k, p in enumerate(points)), "min", "max")
 
 
 def histogram(rows: DataFrame, column: str, edges: list[float]) -> DataFrame:
@@ -60,7 +92,7 @@ def correlations(rows: DataFrame, features: list[str], targets: list[str]) -> Da
 
 
 def quartiles(rows: DataFrame, column: str) -> DataFrame:
-    return rows.agg(F.percentile(column, F.array(*(F.lit(p) for p in (0.25, 0.5, 0.75)))).alias("__q"))
+    return percentiles(rows, column, (0.25, 0.5, 0.75))
 
 
 def with_quartile(rows: DataFrame, column: str, labels: tuple[str, str, str, str], out: str = "bucket") -> DataFrame:
@@ -73,7 +105,13 @@ def with_quartile(rows: DataFrame, column: str, labels: tuple[str, str, str, str
 
 def by_quartile(rows: DataFrame, column: str, labels: tuple[str, str, str, str], values: list[str]) -> DataFrame:
     """bucket, n, mean_<column>, and mean and median of the values."""
-    return with_quartile(rows, column, labels).groupBy("bucket").agg(F.count("*").alias("n"), F.avg(column).alias(f"mean_{column}"), *(f(v).alias(f"{n}_{v}") for v in values for n, f in (("mean", F.avg), ("median", F.median))))
+    marked = with_quartile(rows, column, labels)
+    out = marked.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(column).alias(f"mean_{column}"), *(F.avg(v).alias(f"mean_{v}") for v in values))
+    for v in values:
+        # at most a row for each bucket
+        middle = percentiles(marked, v, (0.5,), ("bucket",)).select(F.col("bucket").alias("__b"), F.col("__q")[0].alias(f"median_{v}"))
+        out = out.join(F.broadcast(middle), F.col("bucket").eqNullSafe(F.col("__b")), "left").drop("__b")
+    return out.select("bucket", "n", f"mean_{column}", *(f"{k}_{v}" for v in values for k in ("mean", "median")))
 
 
 def top_quarter(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
@@ -114,10 +152,11 @@ def segmentation(scores: DataFrame, segments: DataFrame) -> DataFrame:
 
 def segmentation_summary(stability: DataFrame) -> DataFrame:
     """One row: means over conversations, the 90th percentile, and correlations with the error rate."""
-    return stability.agg(
-        F.avg("segments_per_min").alias("mean_segments_per_min"), F.percentile("segments_per_min", F.lit(0.9)).alias("p90_segments_per_min"), F.avg("avg_segment_sec").alias("mean_avg_segment_sec"), F.avg("seg_audio_coverage_ratio").alias("mean_seg_audio_coverage_ratio"),
+    means = stability.agg(
+        F.avg("segments_per_min").alias("mean_segments_per_min"), F.avg("avg_segment_sec").alias("mean_avg_segment_sec"), F.avg("seg_audio_coverage_ratio").alias("mean_seg_audio_coverage_ratio"),
         correlation("segments_per_min", "wer").alias("corr_segments_per_min_with_wer"), correlation("avg_segment_sec", "wer").alias("corr_avg_segment_sec_with_wer"),
     )
+    return means.crossJoin(F.broadcast(percentiles(stability, "segments_per_min", (0.9,)))).withColumn("p90_segments_per_min", F.col("__q")[0]).drop("__q")
 
 
 def segment_languages(scores: DataFrame, segments: DataFrame) -> DataFrame:

@@ -33,6 +33,8 @@ class MaskOptions:
     beep_hz: int = 1000
     beep_gain_db: float = -6.0
     beep_amplitude: float = 0.20
+    #: What happens to audio that cannot be masked: with ``copy`` it goes out as it is, with ``refuse`` not at all.
+    on_error: str = "copy"
 
     @classmethod
     def of(cls, config: dict) -> MaskOptions:
@@ -41,7 +43,7 @@ class MaskOptions:
         both = positive("pad_sec", 0.0)
         return cls(
             mode if mode in ("silence", "beep") else "silence", positive("lead_sec", both or 0.0), positive("tail_sec", both or 0.12), positive("min_interval_sec", 0.20), positive("merge_gap_sec", 0.05),
-            int(config.get("beep_freq_hz") or 1000), float(config.get("beep_gain_db") or -6.0), float(config.get("beep_amplitude") or 0.20),
+            int(config.get("beep_freq_hz") or 1000), float(config.get("beep_gain_db") or -6.0), float(config.get("beep_amplitude") or 0.20), "refuse" if config.get("on_error") == "refuse" else "copy",
         )
 
 
@@ -51,22 +53,32 @@ class MaskOptions:
 def merge_intervals(rows: DataFrame, keys: list[str], *, gap: float, start: str = "start", end: str = "end", bucket_sec: float | None = BUCKET_SEC) -> DataFrame:
     """keys, start, end: intervals of each key joined where one starts at most ``gap`` after the end of those before.
 
-    Intervals are first joined within buckets of time and then over the key, so that a
-    key with very many rows is sorted in parts.  Null ends and empty intervals are left out.
+    Intervals are joined within buckets of time.  A bucket then has, from the last ends and
+    the last intervals of the buckets before, what goes on from there, so that a key is
+    never one sort of its rows, only of its buckets.  Null ends and empty intervals are
+    left out.
     """
-
-    def islands(frame: DataFrame, by: list) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy(start, end)
-        before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        new = F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0)
-        marked = frame.withColumn("__new", new)
-        numbered = marked.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        return numbered.groupBy(*by, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
-
-    out = rows.select(*keys, F.col(start).cast("double").alias(start), F.col(end).cast("double").alias(end)).filter(F.col(end) > F.col(start))
-    if bucket_sec:
-        out = islands(out.withColumn("__bucket", F.floor(F.col(start) / bucket_sec)), [*keys, "__bucket"]).drop("__bucket")
-    return islands(out, list(keys))
+    from_key = F.lit(True)
+    for k in keys:
+        from_key = from_key & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    other = [F.col(k).alias(f"__{k}") for k in keys]
+    bucket = F.floor(F.col(start) / bucket_sec) if bucket_sec else F.lit(0).cast("long")
+    out = rows.select(*keys, F.col(start).cast("double").alias(start), F.col(end).cast("double").alias(end)).filter(F.col(end) > F.col(start)).withColumn("__bucket", bucket)
+    order = Window.partitionBy(*keys, "__bucket").orderBy(start, end)
+    up_to, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    buckets = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+
+    def beside(frame: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
+        known = known.select(*other, F.col("__bucket").alias("__at"), *columns)
+        return frame.join(known, from_key & (F.col("__bucket") == F.col("__at"))).select(*frame.columns, *columns)
+
+    ends = out.groupBy(*keys, "__bucket").agg(F.max(end).alias("__end")).withColumn("__carried", F.max("__end").over(buckets))
+    before = F.greatest("__carried", F.max(end).over(earlier))
+    marked = beside(out, ends, "__carried").withColumn("__new", F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0))
+    counted = marked.withColumn("__n", F.sum("__new").over(up_to)).groupBy(*keys, "__bucket", "__n").agg(F.min(start).alias(start), F.max(end).alias(end))
+    last = counted.groupBy(*keys, "__bucket").agg(F.max("__n").alias("__n")).withColumn("__open", F.last(F.when(F.col("__n") > 0, F.struct("__bucket", "__n")), ignorenulls=True).over(buckets))
+    island = F.when(F.col("__n") > 0, F.struct("__bucket", "__n")).otherwise(F.col("__open"))
+    return beside(counted, last, "__open").withColumn("__island", island).groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 
 def placed_spans(span_rows: DataFrame, segments: DataFrame, options: MaskOptions = MaskOptions()) -> DataFrame:  # noqa: B008
@@ -138,22 +150,31 @@ def mask_totals(audit: DataFrame) -> DataFrame:
 
 
 def read_wave(data: bytes) -> tuple[np.ndarray, wave._wave_params]:
-    """Samples (frames by channels) of PCM audio of 8, 16 or 32 bits, as they are."""
+    """Samples (frames by channels) of PCM audio of 8, 16, 24 or 32 bits, as they are; those of 24 bits in 32."""
     with wave.open(io.BytesIO(data)) as f:
         params = f.getparams()
         raw = f.readframes(params.nframes)
     kinds = {1: np.uint8, 2: np.dtype("<i2"), 4: np.dtype("<i4")}
-    if params.sampwidth not in kinds:
+    if params.sampwidth == 3:
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8)[: len(wide) * 3].reshape(-1, 3)
+        samples = wide.reshape(-1).view("<i4") >> 8
+    elif params.sampwidth in kinds:
+        samples = np.frombuffer(raw, kinds[params.sampwidth])
+    else:
         raise ValueError(f"samples of {params.sampwidth} bytes are not supported")
-    return np.frombuffer(raw, kinds[params.sampwidth]).reshape(-1, params.nchannels).copy(), params
+    return samples.reshape(-1, params.nchannels).copy(), params
 
 
 def write_wave(samples: np.ndarray, params) -> bytes:
+    raw = np.ascontiguousarray(samples).tobytes()
+    if params.sampwidth == 3:
+        raw = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, 4)[:, :3]).tobytes()
     with wave.open(out := io.BytesIO(), "wb") as f:
         f.setnchannels(params.nchannels)
         f.setsampwidth(params.sampwidth)
         f.setframerate(params.framerate)
-        f.writeframes(np.ascontiguousarray(samples).tobytes())
+        f.writeframes(raw)
     return out.getvalue()
 
 
@@ -180,7 +201,10 @@ def masked_name(source: str, root: str = "") -> tuple[str, str]:
 
 
 def mask_files(audit: DataFrame, out_uri: str, options: MaskOptions = MaskOptions(), *, root: str = "") -> DataFrame:  # noqa: B008
-    """The audit with masked_audio, method, mask_mode, mask_engine and mask_error: every source masked, or copied if it has no intervals or cannot be masked.
+    """The audit with masked_audio, method, mask_mode, mask_engine and mask_error: every source masked, or copied if it has no intervals.
+
+    One that cannot be masked is copied, too, unless ``options.on_error`` is ``refuse``:
+    then nothing of it is written.
 
     A file is read and written in one task, whole under another name first, so that a
     repeated task leaves no torn file.  Sources and ``out_uri`` are paths that executors
@@ -215,6 +239,8 @@ def mask_files(audit: DataFrame, out_uri: str, options: MaskOptions = MaskOption
         try:
             put(masked, mask_wave(data, wanted, options))
         except (wave.Error, ValueError, EOFError) as e:
+            if options.on_error == "refuse":
+                return None, "refused_after_mask_error", None, str(e) or type(e).__name__
             put(plain, data)
             return plain, "fallback_copy_after_mask_error", None, str(e) or type(e).__name__
         return masked, f"time_aligned_{options.mode}_mask", "wave", None

@@ -115,7 +115,7 @@ def bio_items(sentences: DataFrame, allowed: list[str], *, spans_col: str | None
     out = sentences.filter(F.size("tokens") > 0).withColumn("gold_fitted", labels.normal_tags(labels.fitted_tags(F.col("gold_tag_names"), F.col("tokens")), allowed))
     predicted = labels.tags_from_spans(F.col(spans_col), joined["offsets"], allowed) if spans_col else labels.normal_tags(labels.fitted_tags(F.col(tags_col), F.col("tokens")), allowed)
     out = out.withColumn("predicted_tags", predicted)
-    return out.withColumns({"gold_set": F.array_distinct(labels.entities(F.col("gold_fitted"))), "predicted_set": F.array_distinct(labels.entities(F.col("predicted_tags"))), "token_count": F.size("tokens"), "token_correct": labels.agreeing(F.col("gold_fitted"), F.col("predicted_tags"))})
+    return out.withColumns({"gold_set": labels.entities(F.col("gold_fitted")), "predicted_set": labels.entities(F.col("predicted_tags")), "token_count": F.size("tokens"), "token_correct": labels.agreeing(F.col("gold_fitted"), F.col("predicted_tags"))})
 
 
 def bio_scores(items: DataFrame) -> DataFrame:

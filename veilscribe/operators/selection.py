@@ -50,6 +50,19 @@ def numbered(rows: DataFrame, order: list, out: str, *, start: int = 0) -> DataF
     return ranged.join(F.broadcast(firsts), F.col("__part") == F.col("__p")).withColumn(out, (F.col("__first") + F.col("__at") + start).cast("long")).select(*rows.columns, out)
 
 
+def running(rows: DataFrame, order: list, amount: str, out: str) -> DataFrame:
+    """Rows with the sum of ``amount`` over those before in a total order, without bringing them together; as ``numbered`` does it."""
+    spark = rows.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = checkpointed(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy("__part").agg(F.sum(amount).alias("__sum"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sums.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__first"))
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("__inner", F.coalesce(F.sum(amount).over(within), F.lit(0)))
+    return placed.join(F.broadcast(firsts), F.col("__part") == F.col("__p")).withColumn(out, F.col("__first") + F.col("__inner")).select(*rows.columns, out)
+
+
 def folds(rows: DataFrame, k: int, *, key: str, seed: int = 42) -> DataFrame:
     """Rows dealt to k folds in turn, in random order; column fold."""
     hashed = rows.withColumn("__h", shuffled_by(seed, key))

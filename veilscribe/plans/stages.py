@@ -114,10 +114,14 @@ def run_eval(spark: SparkSession, config: dict, root: str) -> str:
 
 
 def run_asr_eval(spark: SparkSession, config: dict, root: str) -> str:
-    """Error rates of each split: by conversation, by language and over all."""
+    """Error rates of each split: by conversation, by language and over all.
+
+    The rates over conversations are those of one alignment of all their tokens in the
+    order of the manifest; ``corpus_mode: sum_edits`` takes the summed edits instead.
+    """
     run, protocol = config.get("run", {}), config.get("protocol", {})
     out = sinks.artifact_dir(root, "asr_eval", run.get("run_id", "asr_eval_v1"))
-    all_scores, summaries = None, []
+    all_scores, corpus, summaries, summed = None, None, [], protocol.get("corpus_mode") == "sum_edits"
     for entry in config.get("inputs", {}).get("evaluations", []):
         manifest = files.read_jsonl(spark, entry["manifest_path"], schemas.MANIFEST, pos="_pos")
         raw = _segments(spark, entry["asr_dir"])
@@ -127,18 +131,20 @@ def run_asr_eval(spark: SparkSession, config: dict, root: str) -> str:
         n_raw, n_used = raw.count(), used.count()
         runtime = files.read_json(posixpath.join(entry["asr_dir"], "summary.json"))
         summaries.append({"split": entry["name"], "segments_rows_raw": n_raw, "segments_rows_used": n_used, "duplicate_segment_rows_removed": n_raw - n_used, "num_hyp_conversations": hypotheses.count(), "asr_runtime": runtime})
-        if protocol.get("corpus_mode") == "concat":
-            summaries[-1]["concatenated"] = [r.asDict() for r in transcripts.concatenated_scores(manifest, hypotheses, numbers=bool(protocol.get("normalize_numbers", False))).collect()]
+        if summed:
+            found = checkpointed(transcripts.summed_scores(scores))
+        else:
+            found = checkpointed(transcripts.corpus_scores(manifest, hypotheses, split=entry["name"], numbers=bool(protocol.get("normalize_numbers", False))))
+        corpus = found if corpus is None else corpus.unionByName(found)
         all_scores = scores if all_scores is None else all_scores.unionByName(scores)
     if all_scores is None:
         raise ValueError("inputs.evaluations is required")
     sinks.write_jsonl(all_scores.select(*schemas.CONVERSATION_SCORES.names), posixpath.join(out, "per_conversation.jsonl"))
-    corpus = transcripts.corpus_scores(all_scores)
     sinks.write_csv(corpus.filter("lang_bucket != 'ALL'"), posixpath.join(out, "per_language.csv"), order=["split", "lang_bucket"])
     sinks.write_csv(all_scores.select(*schemas.CONVERSATION_SCORES.names), posixpath.join(out, "per_conversation.csv"))
     overall = [r.asDict() for r in corpus.filter("lang_bucket = 'ALL'").collect()]  # a row for each split
     sinks.write_csv(corpus.filter("lang_bucket = 'ALL'"), posixpath.join(out, "per_split.csv"), order=["split"])
-    sinks.write_json(posixpath.join(out, "protocol.json"), {"version": protocol.get("version", "asr_eval_v1"), "normalize_numbers": bool(protocol.get("normalize_numbers", False)), "corpus_rate": protocol.get("corpus_mode", "sum_edits")})
+    sinks.write_json(posixpath.join(out, "protocol.json"), {"version": protocol.get("version", "asr_eval_v1"), "normalize_numbers": bool(protocol.get("normalize_numbers", False)), "corpus_rate": "sum_edits" if summed else "one_alignment"})
     sinks.write_json(posixpath.join(out, "summary.json"), {"splits": [{**s, **next(o for o in overall if o["split"] == s["split"])} for s in summaries]})
     _meta(out, "asr_eval", config)
     return out

@@ -25,8 +25,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of orders as scored utterances: the first three lines of an order are three models."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3")
+    """Lines of orders as scored utterances: the lines of an order are up to seven models."""
+    lines = table(spark, sf_dir, "lineitem")
     return lines.groupBy(F.col("l_orderkey").alias("seg_id"), F.concat(F.lit("m"), F.col("l_linenumber")).alias("model")).agg(
         F.min("l_returnflag").alias("session"), F.min("l_linestatus").alias("language"), F.max(F.round(F.col("l_discount") * 500, 2)).alias("wer"), F.max(F.round(F.col("l_tax") * 700, 2)).alias("cer"),
         F.max("l_quantity").alias("audio_dur_sec"), F.max(F.round(F.col("l_extendedprice") / 5000, 2)).alias("inference_sec"), F.max(F.col("l_partkey") % 11).alias("hits"), F.max(F.col("l_suppkey") % 5).alias("substitutions"),
@@ -36,7 +36,7 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 UTTERANCES_SQL = """utterances AS (
   SELECT l_orderkey AS seg_id, 'm' || l_linenumber AS model, min(l_returnflag) AS session, min(l_linestatus) AS language, max(round(l_discount * 500, 2)) AS wer, max(round(l_tax * 700, 2)) AS cer,
     max(l_quantity) AS audio_dur_sec, max(round(l_extendedprice / 5000, 2)) AS inference_sec, max(l_partkey % 11) AS hits, max(l_suppkey % 5) AS substitutions
-  FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber)"""
+  FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 
 
 def conversation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

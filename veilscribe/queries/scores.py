@@ -10,11 +10,11 @@ from veilscribe.functions.text import mixed_chars, mixed_words
 from veilscribe.operators import scoring, transcripts
 from veilscribe.queries._tables import SCORES_SQL, UTTERANCES_SQL, conversation_scores, rounded, table, utterances
 
-_MODELS = ["m1", "m2", "m3"]
+_MODELS = [f"m{k}" for k in range(1, 8)]
 
 
 def _turn_pairs(spark, sf_dir):
-    """User turns with the next turn as their transcript: conv_id, turn, ref, hyp."""
+    """User turns with the next turn as their transcript: conv_id, turn, ref, hyp.  A turn without a next one has no transcript and is no pair."""
     turns = table(spark, sf_dir, "conversations").filter("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.struct("role", F.coalesce("text", F.lit("")).alias("text"))).alias("r"))
     nxt = F.lead("r.text").over(Window.partitionBy("conv_id").orderBy("turn"))
     pairs = turns.select("conv_id", "turn", "r.role", F.col("r.text").alias("ref"), nxt.alias("hyp"))
@@ -22,19 +22,26 @@ def _turn_pairs(spark, sf_dir):
 
 
 def q_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word and character error rates of the first 40 words of user turns against the next turn."""
-
-
-    rows = _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.slice(mixed_words("ref"), 1, 40).alias("rw"), F.slice(mixed_words("hyp"), 1, 40).alias("hw"), F.slice(mixed_chars("ref"), 1, 200).alias("rc"), F.slice(mixed_chars("hyp"), 1, 200).alias("hc"))
+    """Word and character error rates of user turns against the next turn, whole."""
+    rows = _turn_pairs(spark, sf_dir).select("conv_id", "turn", mixed_words("ref").alias("rw"), mixed_words("hyp").alias("hw"), mixed_chars("ref").alias("rc"), mixed_chars("hyp").alias("hc"))
     out = rows.select("conv_id", "turn", distance.error_rate(distance.token_distance(F.col("rw"), F.col("hw")), F.size("rw")).alias("wer"), distance.error_rate(distance.char_distance(F.col("rc"), F.col("hc")), F.size("rc")).alias("cer"))
     return rounded(out)
 
 
-def q_corpus_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error rates of whole user turns by script of the reference, as summed edits; counts only have SQL."""
+def _turns_as_conversations(spark, sf_dir):
+    """A manifest and hypotheses made of the pairs of turns, in their order."""
     pairs = _turn_pairs(spark, sf_dir).withColumn("item_id", F.concat_ws("-", "conv_id", "turn"))
-    scores = transcripts.score_conversations(pairs.select("item_id", F.col("ref").alias("transcript")), pairs.select("item_id", F.col("hyp").alias("hypothesis")), aligned=True)
-    return rounded(transcripts.corpus_scores(scores))
+    return pairs.select("item_id", F.struct("conv_id", "turn").alias("_pos"), F.col("ref").alias("transcript")), pairs.select("item_id", F.col("hyp").alias("hypothesis"))
+
+
+def q_corpus_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rates of all user turns as one text, by script of the reference and over all."""
+    return rounded(transcripts.corpus_scores(*_turns_as_conversations(spark, sf_dir)))
+
+
+def q_summed_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rates of whole user turns by script of the reference, as summed edits."""
+    return rounded(transcripts.summed_scores(transcripts.score_conversations(*_turns_as_conversations(spark, sf_dir))))
 
 
 def q_ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,13 +108,13 @@ def _tagged(spark, sf_dir):
     n = lambda w: F.length(w)
     tag = lambda w: F.when(n(w) % 5 == 0, "B-PER").when(n(w) % 5 == 1, "I-PER").when(n(w) % 5 == 2, "i-LOC").otherwise("O")
     other = lambda w: F.when(n(w) % 5 == 0, "B-PER").when(n(w) % 7 == 1, "I-PER").otherwise("O")
-    tokens = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\n]+"), lambda w: w != ""), 1, 60)
+    tokens = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\n]+"), lambda w: w != "")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", tokens.alias("tokens"))
     return docs.select(F.col("doc_id").alias("item_id"), F.col("lang").alias("split"), "lang", "tokens", F.transform("tokens", tag).alias("gold_tag_names"), F.transform("tokens", other).alias("predicted"))
 
 
 def q_bio_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities of tag sequences made of the first 60 words' lengths."""
+    """Entities of tag sequences made of the words' lengths."""
     rows = _tagged(spark, sf_dir).select("item_id", F.explode(labels.entities(F.col("gold_tag_names"))).alias("e"))
     return rows.select("item_id", "e.type", "e.start", "e.end")
 
@@ -141,7 +148,7 @@ def q_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments that all three models get right, or all get wrong."""
+    """Segments that all seven models get right, or all get wrong."""
     return transcripts.agreement(utterances(spark, sf_dir), _MODELS, good=15.0, bad=25.0)
 
 
@@ -162,7 +169,7 @@ def q_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("source", *(c.alias(n) for n, c in ratios.items())))
 
 
-QUERIES = {f.__name__: f for f in (q_wer, q_corpus_wer, q_ordered_concat, q_alignment, q_substitution_pairs, q_prf_by_scope, q_greedy_match, q_record_scores, q_first_hit_match, q_bio_entities, q_bio_summary, q_bio_types, q_error_profile, q_label_distribution, q_scopes, q_agreement, q_side_by_side, q_extremes, q_runtime)}
+QUERIES = {f.__name__: f for f in (q_wer, q_corpus_wer, q_summed_wer, q_ordered_concat, q_alignment, q_substitution_pairs, q_prf_by_scope, q_greedy_match, q_record_scores, q_first_hit_match, q_bio_entities, q_bio_summary, q_bio_types, q_error_profile, q_label_distribution, q_scopes, q_agreement, q_side_by_side, q_extremes, q_runtime)}
 
 
 def prf_sql(beta: float, digits: int | None) -> str:
@@ -181,7 +188,7 @@ m AS (SELECT l_orderkey, r.f AS g, CASE WHEN r.s % 5 = 0 THEN 'N' ELSE r.f END A
 o AS (SELECT l_orderkey, language, g, k, g = k AND {hit} AS hit FROM m),
 c AS (SELECT l_orderkey, language, g AS type, CASE WHEN hit THEN 1 ELSE 0 END AS tp, 0 AS fp, CASE WHEN hit THEN 0 ELSE 1 END AS fn FROM o UNION ALL SELECT l_orderkey, language, k, 0, 1, 0 FROM o WHERE NOT hit)"""
 _IOU = "d < q AND (q - d) / CAST(q + d AS DOUBLE) >= 0.5"
-_TAGGED = r"""tokens AS (SELECT doc_id, lang, unnest(w) AS w, unnest(range(0, len(w))) AS i FROM (SELECT doc_id, lang, list_filter(string_split_regex(coalesce(text, ''), '[ \n]+'), lambda x: x <> '')[1:60] AS w FROM documents)),
+_TAGGED = r"""tokens AS (SELECT doc_id, lang, unnest(w) AS w, unnest(range(0, len(w))) AS i FROM (SELECT doc_id, lang, list_filter(string_split_regex(coalesce(text, ''), '[ \n]+'), lambda x: x <> '') AS w FROM documents)),
 tags AS (
   SELECT doc_id, lang, i, CASE length(w) % 5 WHEN 0 THEN 'B' WHEN 1 THEN 'I' WHEN 2 THEN 'I' ELSE 'O' END AS gp, CASE length(w) % 5 WHEN 0 THEN 'PER' WHEN 1 THEN 'PER' WHEN 2 THEN 'LOC' ELSE '' END AS gt,
     CASE WHEN length(w) % 5 = 0 THEN 'B' WHEN length(w) % 7 = 1 THEN 'I' ELSE 'O' END AS pp, CASE WHEN length(w) % 5 = 0 OR length(w) % 7 = 1 THEN 'PER' ELSE '' END AS pt FROM tokens)"""
@@ -197,14 +204,51 @@ _DIFF = f"""g AS {_entities('gp', 'gt')}, p AS {_entities('pp', 'pt')},
 d AS (SELECT coalesce(g.lang, p.lang) AS lang, coalesce(g.type, p.type) AS type, CASE WHEN g.doc_id IS NOT NULL AND p.doc_id IS NOT NULL THEN 1 ELSE 0 END AS tp, CASE WHEN g.doc_id IS NULL THEN 1 ELSE 0 END AS fp, CASE WHEN p.doc_id IS NULL THEN 1 ELSE 0 END AS fn
   FROM g FULL JOIN p ON g.doc_id = p.doc_id AND g.type = p.type AND g.start = p.start AND g.stop = p.stop)"""
 
+#: Tokens of pairs w(conv_id, turn, rw, hw) aligned: a cell of the edit table is cost * 2^32 - hits, a row of all tables at a time.
+_EDITS = """r AS (SELECT conv_id, turn, unnest(rw) AS t, unnest(range(1, len(rw) + 1)) AS i FROM w),
+h AS (SELECT conv_id, turn, unnest(hw) AS t, unnest(range(1, len(hw) + 1)) AS j FROM w),
+cells AS (
+  SELECT conv_id, turn, CAST(0 AS BIGINT) AS i, j, j * 4294967296 AS v FROM (SELECT conv_id, turn, unnest(range(0, len(hw) + 1)) AS j FROM w)
+  UNION ALL
+  SELECT conv_id, turn, i, j, min(c - j * 4294967296) OVER (PARTITION BY conv_id, turn ORDER BY j) + j * 4294967296 FROM (
+    SELECT s.conv_id, s.turn, r.i, s.j, least(s.v + 4294967296, coalesce(lag(s.v) OVER (PARTITION BY s.conv_id, s.turn ORDER BY s.j) + CASE WHEN h.t = r.t THEN -1 ELSE 4294967296 END, s.v + 4294967296)) AS c
+    FROM cells s JOIN r ON r.conv_id = s.conv_id AND r.turn = s.turn AND r.i = s.i + 1 LEFT JOIN h ON h.conv_id = s.conv_id AND h.turn = s.turn AND h.j = s.j)),
+edits AS (
+  SELECT conv_id, turn, n, m, cost, cost * 4294967296 - v AS hits, n + m - 2 * (cost * 4294967296 - v) - cost AS substitutions
+  FROM (SELECT c.conv_id, c.turn, c.v, (c.v + 4294967295) // 4294967296 AS cost, len(w.rw) AS n, len(w.hw) AS m FROM cells c JOIN w ON w.conv_id = c.conv_id AND w.turn = c.turn AND c.i = len(w.rw) AND c.j = len(w.hw)))"""
+_MIXED = r"""t AS (SELECT conv_id, turn, lower(regexp_replace(ref, '<[^>]+>', ' ', 'g')) AS a, lower(regexp_replace(hyp, '<[^>]+>', ' ', 'g')) AS b FROM pairs),
+w AS (SELECT conv_id, turn, regexp_extract_all(a, '[a-z0-9]+|[\x{4e00}-\x{9fff}]') AS rw, regexp_extract_all(b, '[a-z0-9]+|[\x{4e00}-\x{9fff}]') AS hw, regexp_extract_all(a, '[a-z0-9\x{4e00}-\x{9fff}]') AS rc, regexp_extract_all(b, '[a-z0-9\x{4e00}-\x{9fff}]') AS hc FROM t)"""
+
+
+def _char_edits(a: str, b: str) -> str:
+    """The edit distance of lists of characters, each spelt as one byte; there are fewer than 94 different ones in a pair."""
+    known = f"list_distinct(list_concat({a}, {b}))"
+    spelt = "array_to_string(list_transform({x}, lambda c: chr(CAST(33 + list_position({known}, c) AS INTEGER))), '')"
+    return f"CASE WHEN len({known}) < 94 THEN levenshtein({spelt.format(x=a, known=known)}, {spelt.format(x=b, known=known)}) END"
+
+
+_WIDE = ", ".join(f"max(wer) FILTER (model = '{m}') AS wer_{m}" for m in _MODELS)
+_NORM = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
+
 SQL = {
     "q_wer": f"""
-WITH {_PAIRS},
-t AS (SELECT conv_id, turn, lower(regexp_replace(ref, '<[^>]+>', ' ', 'g')) AS a, lower(regexp_replace(hyp, '<[^>]+>', ' ', 'g')) AS b FROM pairs),
-w AS (SELECT conv_id, turn, regexp_extract_all(a, '[a-z0-9]+')[1:40] AS rw, regexp_extract_all(b, '[a-z0-9]+')[1:40] AS hw, array_to_string(regexp_extract_all(a, '[a-z0-9]')[1:200], '') AS rc, array_to_string(regexp_extract_all(b, '[a-z0-9]')[1:200], '') AS hc FROM t),
-v AS (SELECT *, list_distinct(list_concat(rw, hw)) AS voc FROM w)
-SELECT conv_id, turn, round(levenshtein(array_to_string(list_transform(rw, lambda x: chr(CAST(33 + list_position(voc, x) AS INTEGER))), ''), array_to_string(list_transform(hw, lambda x: chr(CAST(33 + list_position(voc, x) AS INTEGER))), '')) / nullif(CAST(len(rw) AS DOUBLE), 0), 6) AS wer,
-  round(levenshtein(rc, hc) / nullif(CAST(length(rc) AS DOUBLE), 0), 6) AS cer FROM v""",
+WITH RECURSIVE {_PAIRS}, {_MIXED}, {_EDITS}
+SELECT e.conv_id, e.turn, round(cost / nullif(CAST(n AS DOUBLE), 0), 6) AS wer, round({_char_edits('w.rc', 'w.hc')} / nullif(CAST(len(w.rc) AS DOUBLE), 0), 6) AS cer
+FROM edits e JOIN w ON w.conv_id = e.conv_id AND w.turn = e.turn""",
+    "q_summed_wer": f"""
+WITH RECURSIVE {_PAIRS}, {_MIXED}, {_EDITS},
+b AS (SELECT conv_id, turn, regexp_matches(a, '[一-鿿]') AS zh, regexp_matches(a, '[A-Za-z]') AS en FROM t),
+x AS (SELECT CASE WHEN zh AND en THEN 'mixed' WHEN zh THEN 'zh' WHEN en THEN 'en' ELSE 'unknown' END AS bucket, cost, n, {_char_edits('w.rc', 'w.hc')} AS chars, len(w.rc) AS nc
+  FROM edits e JOIN w ON w.conv_id = e.conv_id AND w.turn = e.turn JOIN b ON b.conv_id = e.conv_id AND b.turn = e.turn)
+SELECT 'all' AS split, lang_bucket, count(*) AS num_conversations, round(sum(cost) / nullif(CAST(sum(n) AS DOUBLE), 0), 6) AS wer, round(sum(chars) / nullif(CAST(sum(nc) AS DOUBLE), 0), 6) AS cer, CAST(sum(n) AS BIGINT) AS ref_word_tokens, CAST(sum(nc) AS BIGINT) AS ref_chars
+FROM (SELECT *, unnest([bucket, 'ALL']) AS lang_bucket FROM x) GROUP BY lang_bucket""",
+    "q_alignment": f"""
+WITH RECURSIVE {_PAIRS}, p AS (SELECT conv_id, turn, {_NORM.format('ref')} AS a, {_NORM.format('hyp')} AS b FROM pairs),
+w AS (SELECT conv_id, turn, list_filter(string_split(a, ' '), lambda x: x <> '') AS rw, list_filter(string_split(b, ' '), lambda x: x <> '') AS hw, list_filter(string_split(a, ''), lambda x: x <> '') AS rc, list_filter(string_split(b, ''), lambda x: x <> '') AS hc FROM p), {_EDITS},
+k AS (SELECT e.conv_id, e.turn, n, m, hits AS h, cost, substitutions AS s, {_char_edits('w.rc', 'w.hc')} AS chars, len(w.rc) AS nc FROM edits e JOIN w ON w.conv_id = e.conv_id AND w.turn = e.turn),
+q AS (SELECT *, CASE WHEN n > 0 AND m > 0 THEN (h / CAST(n AS DOUBLE)) * (h / CAST(m AS DOUBLE)) ELSE 0 END AS wip FROM k)
+SELECT conv_id, turn, round(100 * (cost / nullif(CAST(n AS DOUBLE), 0)), 6) AS wer, round(100 * coalesce(cost / nullif(CAST(h + cost AS DOUBLE), 0), 0), 6) AS mer, round(100 * (1 - wip), 6) AS wil, round(100 * wip, 6) AS wip, round(100 * (chars / nullif(CAST(nc AS DOUBLE), 0)), 6) AS cer,
+  CAST(h AS BIGINT) AS hits, CAST(s AS BIGINT) AS substitutions, CAST(n - h - s AS BIGINT) AS deletions, CAST(m - h - s AS BIGINT) AS insertions FROM q""",
     "q_ordered_concat": r"SELECT CAST(conv_id AS VARCHAR) AS item_id, md5(coalesce(string_agg(CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) END, ' ' ORDER BY turn), '')) AS text_md5 FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id",
     "q_prf_by_scope": f"""
 WITH b AS (SELECT d.lang, d.source, CASE WHEN n_chars % 3 > 0 AND quality = 1 THEN 1 ELSE 0 END AS tp, CASE WHEN n_chars % 3 > 0 AND quality <> 1 THEN 1 ELSE 0 END AS fp, CASE WHEN n_chars % 3 = 0 AND quality = 1 THEN 1 ELSE 0 END AS fn FROM labels l JOIN documents d USING (doc_id)),
@@ -246,12 +290,13 @@ FROM d GROUP BY split""",
     "q_scopes": f"""
 WITH {UTTERANCES_SQL}, x AS (SELECT *, unnest(['ALL', session, 'lang:' || language]) AS scope FROM utterances)
 SELECT model, scope, count(*) AS n_segs, round(sum(inference_sec) / sum(audio_dur_sec), 4) AS rtf, round(avg(wer), 3) AS avg_wer, round(avg(cer), 3) AS avg_cer, CAST(sum(hits) AS BIGINT) AS total_hits, CAST(sum(substitutions) AS BIGINT) AS total_substitutions FROM x GROUP BY model, scope""",
-    "q_agreement": f"WITH {UTTERANCES_SQL} SELECT seg_id, bool_and(wer <= 15.0) AS all_good, bool_and(wer >= 25.0) AS all_bad FROM utterances GROUP BY seg_id HAVING count(DISTINCT model) = 3",
+    "q_agreement": f"WITH {UTTERANCES_SQL} SELECT seg_id, bool_and(wer <= 15.0) AS all_good, bool_and(wer >= 25.0) AS all_bad FROM utterances GROUP BY seg_id HAVING count(DISTINCT model) = 7",
     "q_side_by_side": f"""
-WITH {UTTERANCES_SQL}, w AS (SELECT seg_id, max(wer) FILTER (model = 'm1') AS wer_m1, max(wer) FILTER (model = 'm2') AS wer_m2, max(wer) FILTER (model = 'm3') AS wer_m3, avg(wer) AS a FROM utterances GROUP BY seg_id HAVING count(*) FILTER (model = 'm1') > 0)
-SELECT seg_id, wer_m1, wer_m2, wer_m3, round(a, 6) AS avg_wer FROM w""",
+WITH {UTTERANCES_SQL}, w AS (SELECT seg_id, {_WIDE}, avg(wer) AS a FROM utterances GROUP BY seg_id HAVING count(*) FILTER (model = 'm1') > 0)
+SELECT seg_id, {', '.join(f'wer_{m}' for m in _MODELS)}, round(a, 6) AS avg_wer FROM w""",
     "q_extremes": f"""
-WITH {UTTERANCES_SQL}, w AS (SELECT seg_id, (coalesce(max(wer) FILTER (model = 'm1'), 0) + coalesce(max(wer) FILTER (model = 'm2'), 0) + coalesce(max(wer) FILTER (model = 'm3'), 0)) / count(*) AS a FROM utterances GROUP BY seg_id HAVING count(*) FILTER (model = 'm1') > 0),
+WITH {UTTERANCES_SQL}, u AS (SELECT seg_id, {_WIDE}, count(*) AS n FROM utterances GROUP BY seg_id HAVING count(*) FILTER (model = 'm1') > 0),
+w AS (SELECT seg_id, ({' + '.join(f'coalesce(wer_{m}, 0)' for m in _MODELS)}) / n AS a FROM u),
 r AS (SELECT *, row_number() OVER (ORDER BY a DESC, seg_id) AS hi, row_number() OVER (ORDER BY a, seg_id) AS lo FROM w)
 SELECT seg_id, round(a, 6) AS avg_wer FROM r WHERE hi <= 20 OR lo <= 20""",
     "q_runtime": f"WITH {SCORES_SQL} SELECT source, round(count(*) * 2.5 / sum(duration_sec), 6) AS rtf, round(sum(duration_sec) / (count(*) * 2.5), 6) AS audio_sec_per_wall_sec, round(sum(hyp_word_tokens) / (count(*) * 2.5), 6) AS segments_per_sec FROM scores GROUP BY source",

@@ -85,8 +85,8 @@ def q_rules_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_raw_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many matches each planted text has before cleaning."""
-    keyed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).filter("k % 10 IN (0, 3, 6)")
-    texts = keyed.selectExpr("k", "CASE k % 10 WHEN 0 THEN concat('nric T', lpad(CAST(k AS string), 7, '0'), 'b x') WHEN 3 THEN '九八一零，二三四五' ELSE concat('a', k, '@b.co a', k, '@c.co') END AS text")
+    keyed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    texts = keyed.selectExpr("k", "CASE k % 3 WHEN 0 THEN concat('nric T', lpad(CAST(k AS string), 7, '0'), 'b x') WHEN 1 THEN '九八一零，二三四五' ELSE concat('a', k, '@b.co a', k, '@c.co') END AS text")
     return texts.select("k", F.size(rule_spans(F.col("text"))).alias("n"))
 
 
@@ -184,7 +184,7 @@ def q_segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_subword_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label ids of tokens of five characters from one entity of the middle third of the text, counted."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.least(F.length("text"), F.lit(500)).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
     offsets = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / 5).cast("int")), lambda i: F.struct((i * 5).alias("start"), F.least(i * 5 + 5, F.col("n")).alias("end")))
     entity = F.struct(F.lit("NAME").alias("pii_type"), F.lit("").alias("text"), F.floor(F.col("n") / 3).cast("int").alias("start_char"), F.floor(2 * F.col("n") / 3).cast("int").alias("end_char"))
     ids = {"O": 0, "B-NAME": 1, "I-NAME": 2}
@@ -221,7 +221,7 @@ SELECT type AS pii_type, count(*) AS n_spans FROM b WHERE before IS NULL OR star
 WITH t AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS ks FROM customer),
 p AS (SELECT k, {_planted('type')} AS type, {_planted('before')} AS before, {_planted('found')} AS text FROM t)
 SELECT k, CAST(length(before) AS INTEGER) AS start, CAST(length(before) + length(text) AS INTEGER) AS "end", type, text FROM p""",
-    "q_raw_rule_hits": "SELECT c_custkey AS k, CASE WHEN c_custkey % 10 = 6 THEN 2 ELSE 1 END AS n FROM customer WHERE c_custkey % 10 IN (0, 3, 6)",
+    "q_raw_rule_hits": "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 2 THEN 2 ELSE 1 END AS n FROM customer",
     "q_script_bucket": """
 SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'mixed' WHEN 2 THEN 'zh' ELSE 'en' END AS bucket, CASE c_custkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'mixed' WHEN 2 THEN 'zh' ELSE 'unknown' END AS cleaned_bucket,
   CASE WHEN c_custkey % 4 IN (1, 2) THEN 2 ELSE 0 END AS zh_chars, CAST(CASE c_custkey % 4 WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE length(regexp_replace(c_name, '[^A-Za-z]', '', 'g')) END AS INTEGER) AS en_chars
@@ -262,7 +262,7 @@ SELECT conv_id || '-' || turn AS segment_id, role AS language, CAST(round(turn *
   CASE WHEN contains(text, 'e') THEN substr(text, 1, strpos(text, 'e') - 1) || '[NAME]' || substr(text, strpos(text, 'e') + 1) ELSE text END AS redacted_transcript
 FROM conversations WHERE text IS NOT NULL""",
     "q_subword_labels": """
-WITH d AS (SELECT doc_id, CAST(least(length(text), 500) AS INTEGER) AS n FROM documents),
+WITH d AS (SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents),
 t AS (SELECT doc_id, n, unnest(range(0, n // 5 + 1)) * 5 AS a FROM d),
 o AS (SELECT doc_id, a, least(a + 5, n) AS b, n // 3 AS s, 2 * n // 3 AS e FROM t)
 SELECT doc_id, CASE WHEN a = 0 AND b = 0 THEN -100 WHEN a < e AND b > s THEN CASE WHEN a <= s THEN 1 ELSE 2 END ELSE 0 END AS label, count(*) AS n FROM o GROUP BY 1, 2""",

@@ -50,7 +50,7 @@ def q_fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_align_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second quarter of each document in time, by its share of the text."""
-    docs = table(spark, sf_dir, "documents").filter("length(text) >= 8").select("doc_id", F.length("text").alias("n"), "text", (F.col("n_chars") / 15.0).alias("d"))
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.length("text").alias("n"), "text", (F.col("n_chars") / 15.0).alias("d"))
     span = F.struct(F.floor(F.col("n") / 4).cast("int").alias("start"), F.floor(F.col("n") / 2).cast("int").alias("end"), F.lit("NAME").alias("type"), F.lit("Ann").alias("text"))
     i = times.span_interval(span, F.col("text"), F.lit(0.0), F.col("d"), F.expr(f"cast(array() as {times.WORD_PLACES})"))
     return rounded(docs.select("doc_id", i.alias("i")).select("doc_id", F.col("i.start").alias("start_sec"), F.col("i.end").alias("end_sec"), "i.mode"))
@@ -158,9 +158,11 @@ w AS (SELECT *, unnest(range(0, n)) AS i FROM d),
 s AS (SELECT *, CAST(round_even(CAST(i * len AS DOUBLE) / n, 0) AS BIGINT) AS a, CAST(round_even(CAST((i + 1) * len AS DOUBLE) / n, 0) AS BIGINT) AS b, greatest(0, i * len // n - 5) AS wa, least(len, (i + 1) * len // n + 5) AS wb FROM w)
 SELECT doc_id, doc_id || '_c' || lpad(CAST(i AS VARCHAR), 3, '0') AS chunk_id, CAST(i * 28 AS DOUBLE) AS start_sec, round(least((i + 1) * 28, d), 6) AS end_sec, CAST(CASE WHEN b > a THEN b - a ELSE wb - wa END AS INTEGER) AS n FROM s WHERE least((i + 1) * 28, d) - i * 28 >= 2""",
     "q_align_ratio": """
-WITH d AS (SELECT doc_id, length(text) AS n, n_chars / 15.0 AS d FROM documents WHERE length(text) >= 8),
-a AS (SELECT doc_id, d, CAST(n // 4 AS DOUBLE) / n * d AS s, least(d, CAST(n // 2 AS DOUBLE) / n * d + 0.12) AS e FROM d)
-SELECT doc_id, round(CASE WHEN e - s < 0.2 THEN greatest(0, 0.5 * (s + e) - 0.1) ELSE s END, 6) AS start_sec, round(CASE WHEN e - s < 0.2 THEN least(d, 0.5 * (s + e) + 0.1) ELSE e END, 6) AS end_sec, 'char_ratio' AS mode FROM a""",
+WITH d AS (SELECT doc_id, length(text) AS n, n_chars / 15.0 AS d FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, d, n, CASE WHEN n > 0 THEN least(n // 4, n) ELSE 0 END AS i, CASE WHEN n > 0 THEN greatest(n // 4 + 1, n // 2) ELSE 1 END AS j FROM d),
+a AS (SELECT doc_id, d, CASE WHEN n > 0 THEN CAST(i AS DOUBLE) / n * d ELSE 0 END AS s, least(d, CASE WHEN n > 0 THEN CAST(j AS DOUBLE) / n * d ELSE d END + 0.12) AS e FROM p WHERE d > 0
+  UNION ALL SELECT doc_id, d, NULL, NULL FROM p WHERE NOT d > 0)
+SELECT doc_id, round(CASE WHEN e - s < 0.2 THEN greatest(0, 0.5 * (s + e) - 0.1) ELSE s END, 6) AS start_sec, round(CASE WHEN e - s < 0.2 THEN least(d, 0.5 * (s + e) + 0.1) ELSE e END, 6) AS end_sec, CASE WHEN s IS NOT NULL THEN 'char_ratio' END AS mode FROM a""",
     "q_char_time": f"""
 WITH e AS (SELECT user_id, {SECONDS_SQL} AS a, {SECONDS_SQL} + value AS b, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
 w AS (SELECT *, lag(b) OVER (PARTITION BY user_id ORDER BY i) AS b0 FROM e),

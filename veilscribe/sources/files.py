@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from typing import Any
 
 import yaml
@@ -14,6 +15,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from veilscribe import schemas
 from veilscribe.functions.text import SPACE, rebased, strip
 from veilscribe.operators.selection import numbered
+from veilscribe.shared import checkpointed
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -132,9 +134,43 @@ def read_json_arrays(spark: SparkSession, paths: list[str], schema: StructType)
     return whole.select(F.inline(F.from_json(repaired_json(F.col("value")), f"array<{schema.simpleString()}>", {"mode": "FAILFAST"})))
 
 
-def read_exported(spark: SparkSession, path: str) -> DataFrame:
-    """A dataset exported as Parquet, or as JSON lines."""
-    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.json(path)
+def dataset_layout(spark: SparkSession, path: str) -> dict[str, dict[str, list[str]]]:
+    """Configurations of an exported dataset, each with its splits and their files.
+
+    A configuration is a folder, and ``default`` for files that lie in ``path`` itself or in
+    its folder ``data``; a split is a file's name up to the first dot or ``-00000``-like
+    number.  Other files than Parquet, JSON and JSON lines do not count.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found, out = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), {}
+    if not found.exists(root):
+        return out
+    base, listed = found.getFileStatus(root).getPath().toUri().getPath().rstrip("/"), found.listFiles(root, True)
+    while listed.hasNext():
+        file = listed.next().getPath()
+        *folders, name = file.toUri().getPath().removeprefix(base).strip("/").split("/")
+        match = re.fullmatch(r"([^.]+?)(?:-\d+(?:-of-\d+)?)?\.(parquet|jsonl?|ndjson)", name)
+        if match and not any(f.startswith(("_", ".")) for f in folders):
+            out.setdefault("/".join(folders) if folders not in ([], ["data"]) else "default", {}).setdefault(match[1], []).append(file.toString())
+    return {c: {k: sorted(v) for k, v in sorted(splits.items())} for c, splits in sorted(out.items())}
+
+
+def read_exported(spark: SparkSession, path: str, *, split: str | None = None, config: str | None = None, subset: str | None = None) -> DataFrame:
+    """A dataset exported as Parquet, or as JSON lines: a file or folder, or a split of a configuration.
+
+    With ``split`` the configuration is ``subset`` if there is one of that name, else
+    ``config``, else the first; what is not there raises ValueError, which a caller may
+    answer with another source.
+    """
+    if split is None:
+        return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.json(path)
+    layout = dataset_layout(spark, path)
+    chosen = subset if subset in layout else config if config is not None else next(iter(layout), None)
+    names = layout.get(chosen, {}).get(split)
+    if not names:
+        raise ValueError(f"{path} has no split {split} in {chosen}; there are {({c: list(x) for c, x in layout.items()})}")
+    return spark.read.parquet(*names) if names[0].endswith(".parquet") else spark.read.json(names)
 
 
 # ------------------------------------------------------------------- benchmark references
@@ -175,7 +211,8 @@ def resolve_audio(records: DataFrame, listing: DataFrame) -> DataFrame:
     splits = F.array_compact(F.array(F.col("split"), F.when(F.col("split") == "dev", "eval").when(F.col("split") == "eval", "dev")))
     folder = F.when(F.col("language") == "en", "En").when(F.col("language") == "zh", "Zh").when(F.col("language") == "mixed", "Mix")
     options = F.flatten(F.transform(splits, lambda s, i: F.transform(ids, lambda a, j: F.struct((i * 2 + j).alias("rank"), s.alias("s"), a.alias("a")))))
-    keyed = records.withColumn("__row", F.monotonically_increasing_id())
+    # written out, so that a row has one number however often it is read
+    keyed = checkpointed(records.withColumn("__row", F.monotonically_increasing_id()))
     tried = keyed.select("__row", folder.alias("folder"), F.inline(options))
     best = tried.join(listing, (tried["s"] == listing["split"]) & (tried["folder"] == listing["folder"]) & (tried["a"] == listing["stem"])).groupBy("__row").agg(F.min_by("path", "rank").alias("audio_path"))
     return keyed.join(best, "__row").drop("__row")
