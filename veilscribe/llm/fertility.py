@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscribe.llm import vocab
-from veilscribe.llm.store import free
+from veilscribe.llm.store import free, tidy
 
 MULTI_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -209,4 +209,4 @@ def assess(
                 out.append((*stats, failed, reason is None, *measures, name, reason))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], [*kept, *results])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscribe.llm import vocab
-from veilscribe.llm.store import free
+from veilscribe.llm.store import free, tidy
 
 #: Examples that a task holds open to choose from.
 POOL = 1024
@@ -198,4 +198,4 @@ def pack(
         if out:
             yield full()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from veilscribe.llm import vocab
 from veilscribe.llm.graph import components, with_least
-from veilscribe.llm.store import Workspace, free
+from veilscribe.llm.store import Workspace, free, tidy
 
 _U = np.uint64
 _LANES, _ODD = _U(0x0101010101010101), _U(0x5555555555555555)
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [fingerprint(text or "", shingle_words, words) for (text,) in vocab.rows(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "fingerprint"])
 
-    return source.mapInArrow(run, f"id {kind}, fingerprint binary")
+    return source.mapInArrow(tidy(run), f"id {kind}, fingerprint binary")
 
 
 # ------------------------------------------------------------------------------- cover
@@ -338,11 +338,11 @@ def links(prints: DataFrame, cover: Cover, space: Workspace, chunk: int = CHUNK)
     def linked(dealt: DataFrame) -> DataFrame:
         """Edges within tiles of rows that have an array of ``tiles`` each."""
         tiles = dealt.select(F.explode("tiles").alias("tile"), "fingerprint", "own").repartition("tile").sortWithinPartitions("tile", "fingerprint")
-        return tiles.mapInArrow(find, "a binary, b binary").distinct()
+        return tiles.mapInArrow(tidy(find), "a binary, b binary").distinct()
 
     # rows of the cells are two numbers; fingerprints come back for those that meet another
     marked = prints.select("fingerprint", F.xxhash64("fingerprint").alias("mark"))
-    cells = space.table(marked.mapInArrow(spread, "cell long, mark long, own boolean"), "cells")
+    cells = space.table(marked.mapInArrow(tidy(spread), "cell long, mark long, own boolean"), "cells")
     n = F.col("n")
     shared = cells.groupBy(F.col("cell").alias("at")).agg(F.count("*").alias("n"), F.min("mark").alias("least"), F.max("own").alias("home")).filter("n > 1 AND home")
     split = F.when(n <= chunk, 1).otherwise(F.ceil(n / F.greatest(F.lit(chunk), F.ceil(8 * F.sqrt(n))))).cast("int")

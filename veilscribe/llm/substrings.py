@@ -41,13 +41,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscribe.llm.store import Workspace, free, get, groups, put
+from veilscribe.llm.store import Workspace, free, get, groups, put, tidy
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+\x20*[\x09-\x0D\x20]*")
 #: Text in a block, about, unless one document has more; documents in it at most; blocks that a task takes one after another.
 BLOCK_BYTES, BLOCK_DOCS, TASK_BLOCKS = 8_000_000, 32_768, 64
 #: Suffixes that a group should hold, and classes that the first word of a prefix is dealt into.
-TASK_SUFFIXES, FIRST_CLASSES = 400_000, 1024
+TASK_SUFFIXES, FIRST_CLASSES = 200_000, 1024
 #: Places that an anchor may have in a window.
 PLACES = 9
 _U = np.uint64
@@ -463,13 +463,13 @@ class _Search:
                 if found:
                     yield _batch(found)
 
-        first = space.table(docs.mapInArrow(write, _ROWS), "first")
+        first = space.table(docs.mapInArrow(tidy(write), _ROWS), "first")
         self.blocks = first.filter(F.col("kind") == _BLOCK)
         n_blocks = max(1, self.blocks.count())
         self.tasks = min(n_blocks, max(4 * shuffles, -(-n_blocks // TASK_BLOCKS)))
         width = min(buckets, shuffles)
         anchors = first.filter(F.col("kind") == _ANCHORS)
-        shared = anchors.repartitionById(width, (F.col("part") % width).cast("int")).sortWithinPartitions("part", "block").mapInArrow(meet, _ROWS)
+        shared = anchors.repartitionById(width, (F.col("part") % width).cast("int")).sortWithinPartitions("part", "block").mapInArrow(tidy(meet), _ROWS)
         prefixes = Prefixes(window - places(window) + 1, first_classes)
 
         def heads(batches):
@@ -501,10 +501,10 @@ class _Search:
             return dict(zip(found["node"].to_pylist(), found["n"].to_pylist(), strict=True))
 
         by_block = self.blocks.unionByName(shared).repartition(self.tasks, "block").sortWithinPartitions("block")
-        sizes = total(by_block.mapInArrow(heads, "node long, n long"))
+        sizes = total(by_block.mapInArrow(tidy(heads), "node long, n long"))
         limit = max(1, min(task_suffixes, max(task_suffixes // 16, -(-sum(sizes.values()) // (2 * shuffles)))))
         while prefixes.extend(sizes, task_suffixes):
-            sizes = total(self._names().mapInArrow(count, "node long, n long"))
+            sizes = total(self._names().mapInArrow(tidy(count), "node long, n long"))
         self.depth = int(prefixes.depth.max())
         group = prefixes.groups(sizes, limit)
         n_groups = int(group.max()) + 1
@@ -555,8 +555,8 @@ class _Search:
                     yield _batch(found)
 
         width = min(n_groups, max(shuffles, -(-n_groups // 8)))
-        sent = self._names().mapInArrow(suffixes, _ROWS)
-        self.found = sent.repartitionById(width, (F.col("part") % width).cast("int")).sortWithinPartitions("part", "block").mapInArrow(trees, _ROWS)
+        sent = self._names().mapInArrow(tidy(suffixes), _ROWS)
+        self.found = sent.repartitionById(width, (F.col("part") % width).cast("int")).sortWithinPartitions("part", "block").mapInArrow(tidy(trees), _ROWS)
 
     def _names(self) -> DataFrame:
         return self.blocks.select("block").repartition(self.tasks, "block")
@@ -631,7 +631,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield from part.combine_chunks().to_batches()
 
     schema = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema)
-    return search.by_block().mapInArrow(clean, f"{schema}, `{words_name}` long, `{removed_name}` long")
+    return search.by_block().mapInArrow(tidy(clean), f"{schema}, `{words_name}` long, `{removed_name}` long")
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 20, block_bytes: int = BLOCK_BYTES, task_suffixes: int = TASK_SUFFIXES, first_classes: int = FIRST_CLASSES) -> DataFrame:
@@ -676,5 +676,5 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
             yield pa.RecordBatch.from_arrays([null_again(block.ids[doc[head]]), pa.array(start[head] - begins[doc[head]]), pa.array(length), null_again(of[head]), pa.array(at[head])], ["id", "start", "length", "first_id", "first_start"])
 
-    found = search.by_block().mapInArrow(join, "id long, start long, length long, first_id long, first_start long")
+    found = search.by_block().mapInArrow(tidy(join), "id long, start long, length long, first_id long, first_start long")
     return found.toDF(id_col, *free([id_col], "start", "length", "first_id", "first_start"))
