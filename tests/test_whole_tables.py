@@ -100,4 +100,4 @@ def spans_of(text):
 def test_all_rules(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     found = sorted(map(tuple, catalogue.QUERIES["q_all_rules"](spark, DATA).collect()))
-    assert found == sorted((i, *s) for i, t in texts.items() for s in spans_of(t or "")) and len({r[3] for r in found}) > 2
+    assert found == sorted((i, *s) for i, t in texts.items() for s in spans_of(t or "")) and len(found) > 10
