@@ -5,6 +5,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel
 
 from veilscribe.llm import packing, queries, token_counts, token_files, vocab
 
@@ -44,6 +46,33 @@ def test_encoder_is_the_library_on_random_texts():
         assert encoder.ids(text).tolist() == ids_of(text), [hex(ord(c)) for c in text]
 
 
+def test_merges_by_ranks_are_the_library_s():
+    draw, encoder = np.random.default_rng(2), vocab.Encoder(memo_entries=64)
+    # no merge of a provable vocabulary goes through the library, whose tokens are objects
+    encoder._model = None
+    for k in range(3000):
+        letters = ("aehinorst", "aaab", "éüñaeßst", "!?*'.-", "0123456789", "你好ёжαβ", "\n\t ")[k % 7]
+        piece = "".join(letters[c] for c in draw.integers(0, len(letters), int(draw.integers(1, 90))).tolist())
+        expected = [i for p in encoder.pieces(piece) for i in ids_of(p)]
+        assert encoder.ids(piece).tolist() == ids_of(piece) == expected, piece
+
+
+@pytest.mark.parametrize("merges, ids", [
+    ([("a", "b"), ("b", "c"), ("a", "bc")], [256, 257, 258]),  # abc is ab and c, though it is in the vocabulary
+    ([("a", "b"), ("b", "c"), ("ab", "c")], [257, 256, 258]),  # ids that do not rise with the list
+    ([("a", "b"), ("b", "c"), ("ab", "c")], [256, 257, 258]),
+])
+def test_merges_that_are_not_by_ranks_stay_the_library_s(tmp_path, merges, ids):
+    known = {c: b for c, b in vocab.byte_alphabet().items()} | {"".join(m): i for m, i in zip(merges, ids, strict=True)}
+    library = Tokenizer(BPE(known, merges))
+    library.pre_tokenizer = ByteLevel(add_prefix_space=False)
+    library.save(str(tmp_path / "small.json"))
+    encoder = vocab.Encoder(str(tmp_path / "small.json"))
+    assert (encoder._ranked is not None) == (merges[2] == ("ab", "c") and ids == sorted(ids))
+    for text in ("abc", "abcbc abbc", "bcabc", "aabcc", "cab bca"):
+        assert encoder.ids(text).tolist() == library.encode(text).ids
+
+
 def test_op8_counts(spark, data):
     got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in queries.op8_token_counts(spark, data).collect()}
     assert got == {i: (len((t or "").encode()), n := len(ids_of(t)), n > 512) for i, t in texts_of(data)}

@@ -48,18 +48,18 @@ class Packer:
     def __init__(self, length: int, max_segments: int, max_loss: int, pool: int = POOL):
         if min(length, max_segments, max_loss) < 1:
             raise ValueError("limits start at 1")
-        self.limits, self.pool = np.array([length, max_segments, max_loss], float), pool
+        self.pool = pool
         self.length, self.max_segments, self.max_loss = length, max_segments, max_loss
         self.pieces: list[Piece] = []
-        # tokens, segments, loss of each piece in the pool
-        self.demand = np.zeros((pool + 2 * max_segments + 2, 3))
+        # tokens and loss of each piece in the pool; its segments are always one
+        self.demand = np.zeros((2, pool + 2 * max_segments + 2))
         self.tokens = 0
 
     def _put(self, piece: Piece) -> None:
         n = len(self.pieces)
-        if n == len(self.demand):
-            self.demand = np.concatenate([self.demand, np.zeros_like(self.demand)])
-        self.demand[n] = len(piece.ids), 1, piece.loss
+        if n == self.demand.shape[1]:
+            self.demand = np.concatenate([self.demand, np.zeros_like(self.demand)], axis=1)
+        self.demand[:, n] = len(piece.ids), piece.loss
         self.pieces.append(piece)
         self.tokens += len(piece.ids)
 
@@ -67,7 +67,7 @@ class Packer:
         piece, last = self.pieces[k], self.pieces.pop()
         if last is not piece:
             self.pieces[k] = last
-            self.demand[k] = self.demand[len(self.pieces)]
+            self.demand[:, k] = self.demand[:, len(self.pieces)]
         self.tokens -= len(piece.ids)
         return piece
 
@@ -89,30 +89,33 @@ class Packer:
             yield self._sequence()
 
     def _sequence(self) -> list[Piece]:
-        left = np.array([self.length, self.max_segments, self.max_loss])
+        room, segments, loss = self.length, self.max_segments, self.max_loss
         if self.tokens < self.length:
-            left[0] = 1 << (self.tokens.bit_length() - 1)
+            room = 1 << (self.tokens.bit_length() - 1)
         chosen: list[Piece] = []
-        while left[0] and left[1] and self.pieces:
-            demand = self.demand[: len(self.pieces)]
-            fit = (demand[:, 0] <= left[0]) & (demand[:, 2] <= left[2])
-            if left[1] == 1:
-                fit &= demand[:, 0] == left[0]
-            if fit.any():
-                piece = self._take(int(np.argmax(np.where(fit, demand @ (left / self.limits**2), -1))))
+        while room and segments and self.pieces:
+            tokens, bearing = self.demand[:, : len(self.pieces)]
+            # every piece is one segment, which adds the same to each dot product; those that fit are above zero, as all have tokens
+            score = tokens * (room / self.length**2)
+            score += bearing * (loss / self.max_loss**2)
+            score *= tokens <= room if segments > 1 else tokens == room
+            score *= bearing <= loss
+            k = int(score.argmax())
+            if score[k]:
+                piece = self._take(k)
             else:
                 # the longest by what of it could go in
-                goes = np.minimum(np.minimum(demand[:, 0], left[0]), demand[:, 0] - demand[:, 2] + left[2])
-                k = int(np.argmax(goes))
+                goes = np.minimum(np.minimum(tokens, room), tokens - bearing + loss)
+                k = int(goes.argmax())
                 if not goes[k]:
                     break
                 piece = self._take(k)
-                n = int(min(len(piece.ids), left[0], piece.bare + left[2]))
+                n = min(len(piece.ids), room, piece.bare + loss)
                 if n < len(piece.ids):
                     piece, rest = piece.cut(n)
                     self._put(rest)
             chosen.append(piece)
-            left -= [len(piece.ids), 1, piece.loss]
+            room, segments, loss = room - len(piece.ids), segments - 1, loss - piece.loss
         used = sum(len(p.ids) for p in chosen)
         surplus = used - (self.length if used == self.length else 1 << (used.bit_length() - 1))
         while surplus:

@@ -1,9 +1,17 @@
 """Byte-level BPE by pre-token, with the ids of the tokenizers library.
 
 Merges never cross a pre-token, so a text's ids are those of its pre-tokens in turn.
-``Encoder`` cuts a text into pre-tokens, takes ids of known ones from a table and lets
-the library merge the rest.  The table starts with the whole-token strings: vocabulary
-strings proved, once per process, to be one pre-token and to encode alone as themselves.
+``Encoder`` cuts a text into pre-tokens, takes ids of known ones from a table and merges
+the rest.  The table starts with the whole-token strings: vocabulary strings proved, once
+per process, to be one pre-token and to encode alone as themselves.
+
+Merges are by ranks where they are proved to be the library's, else the library's own.
+By ranks any two neighbours merge that make a vocabulary string, the least id first; the
+library merges the pairs of its list in their order.  Both are the same where ids rise
+with the list and the library merges every vocabulary string, alone, into itself.  For say
+that both have merged alike so far and that x and y stand side by side, xy is in the
+vocabulary, and the pair is not in the list.  Nothing has merged across the ends of xy, so
+that the library does the same with xy alone and is left with x and y, not with xy.
 """
 
 from __future__ import annotations
@@ -16,6 +24,7 @@ from itertools import islice
 import numpy as np
 import public_tokenizers
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,9 +32,9 @@ DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 MEMO_ENTRIES = 500_000
 
 _PATTERN = regex.compile(public_tokenizers.PATTERN)
-# The same pattern spelt out for code points below U+0250, for the faster engine.
+# The same pattern spelt out for code points below U+0250, for the faster engine; words first, as no place matches two of the first three.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \u0085 "
-_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_LATIN = re.compile(f" ?[{_L}]++| ?[{_N}]++|'(?:[stmd]|re|ve|ll)| ?[^{_S}{_L}{_N}]++|[{_S}]+(?![^{_S}])|[{_S}]++")
 _BEYOND_LATIN = re.compile("[^\u0000-ɏ]")
 #: Blocks in which the two libraries' Unicode tables differ; texts with these go to the tokenizers library whole.
 CONTESTED = (
@@ -46,7 +55,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class _Memo(dict):
-    """Pre-token to packed ids; asks the library for what it lacks and stays bounded.
+    """Pre-token to packed ids; has what it lacks merged and stays bounded.
 
     Once full, what it holds becomes the older half; what is asked for again moves back.
     """
@@ -100,6 +109,7 @@ class Encoder:
         for text, i in self.special.items():
             self.token_bytes[i] = text.encode()
         self.whole = self._prove()
+        self._ranked = self._prove_ranks(spec["model"])
         self.memo = _Memo({text: self._packed([i]) for text, i in self.whole.items()}, self._merge, memo_entries)
 
     def _packed(self, ids) -> bytes:
@@ -109,10 +119,25 @@ class Encoder:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _merge(self, piece: str) -> bytes:
-        """The library's merges of one pre-token, given in the vocabulary's stand-ins for bytes."""
-        spelt = piece.translate(self._ascii) if piece.isascii() else "".join(map(self._spell.__getitem__, piece.encode()))
-        tokens = self._model.tokenize(spelt)
-        return struct.pack(f"<{len(tokens)}{self._code}", *[t.id for t in tokens])
+        """The merges of one pre-token; the library takes it in the vocabulary's stand-ins for bytes."""
+        if self._ranked:
+            ids = self._ranked.encode_ordinary(piece)
+        else:
+            spelt = piece.translate(self._ascii) if piece.isascii() else "".join(map(self._spell.__getitem__, piece.encode()))
+            ids = [t.id for t in self._model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}{self._code}", *ids)
+
+    def _prove_ranks(self, model: dict) -> tiktoken.Encoding | None:
+        """Merges by ranks that take a string as one pre-token, if they are the library's."""
+        known = model["vocab"]
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        made = [known["".join(pair)] for pair in pairs]
+        plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        if not plain or any(a >= b for a, b in zip(made, made[1:], strict=False)) or not known.keys() >= set(self._spell.values()):
+            return None
+        if any([t.id for t in self._model.tokenize(text)] != [i] for text, i in known.items()):
+            return None
+        return tiktoken.Encoding("ranks", pat_str=r"(?s).+", mergeable_ranks={self.token_bytes[i]: i for i in known.values()}, special_tokens={})
 
     def _prove(self) -> dict[str, int]:
         """Vocabulary strings that are one pre-token and that the library encodes as that one id."""
