@@ -54,6 +54,12 @@ SCORES_SQL = """scores AS (
   FROM documents)"""
 
 
+def round_sql(x: Column, digits: int) -> Column:
+    """A double rounded as DuckDB does: the binary number times a power of ten, halves away from zero.  Spark's own rounding takes the shortest decimal form, which may be a half where the number is none."""
+    scaled = x * float(10**digits)
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / float(10**digits)).otherwise(x)
+
+
 def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to some digits, so that the order of a sum does not show."""
-    return frame.select(*((F.round(c, digits) if kind == "double" else F.col(c)).alias(c) for c, kind in frame.dtypes))
+    return frame.select(*((round_sql(F.col(c), digits) if kind == "double" else F.col(c)).alias(c) for c, kind in frame.dtypes))

@@ -20,7 +20,7 @@ def q_interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_interval_merge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same within a row of arrays."""
-    rows = events(spark, sf_dir).groupBy("user_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("value") * 36).alias("end"))).alias("all"))
+    rows = events(spark, sf_dir).filter("value > 0").groupBy("user_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("value") * 36).alias("end"))).alias("all"))
     out = rows.select("user_id", F.explode(times.merge_in_row(F.col("all"), 600.0)).alias("i")).select("user_id", F.col("i.start").alias("start_sec"), F.col("i.end").alias("end_sec"))
     return rounded(out, 3)
 
