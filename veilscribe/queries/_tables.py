@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores by a hash of all their columns, for costly work on each: a file with one row group is one task else, however large."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*rows.columns))
+
+
 def seconds(ts: str = "ts") -> Column:
     """Seconds since 2024 began, to the microsecond, of a timestamp without zone."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', {ts})") / 1e6

@@ -11,7 +11,7 @@ from veilscribe.functions.matches import find_spans
 from veilscribe.functions.spans import clean_spans, iou, locate_entities, merge_adjacent, redact
 from veilscribe.operators.detect import detect, gazetteer, llm_spans, segment_table, span_counts
 from veilscribe.operators.rules import RULES, rule_spans
-from veilscribe.queries._tables import SECONDS_SQL, events, rounded, table
+from veilscribe.queries._tables import SECONDS_SQL, events, rounded, spread, table
 
 _SPAN = ("s.start", "s.end", "s.type", "s.text")
 ONLY = {r.name: False for r in RULES}
@@ -23,7 +23,7 @@ def _rule(name: str):
 
 def _one_rule(spark, sf_dir, name):
     r = _rule(name)
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(find_spans(F.col("text"), r.pattern, r.kind, hints=r.hints)).alias("s")).select("doc_id", *_SPAN)
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(find_spans(F.col("text"), r.pattern, r.kind, hints=r.hints)).alias("s")).select("doc_id", *_SPAN)
 
 
 def q_email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,20 +38,21 @@ def q_phone_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with e-mail addresses replaced."""
-    found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), toggles=ONLY | {"email": True}, merge_gap=0, min_chars=1)
+    found = detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), toggles=ONLY | {"email": True}, merge_gap=0, min_chars=1)
     return found.select("doc_id", redact(F.col("text"), F.col("spans")).alias("redacted"), F.size("spans").alias("n_spans"))
 
 
 def q_span_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged spans of the phone and e-mail rules by type."""
-    found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), toggles=ONLY | {"email": True, "phone": True}, merge_gap=1, min_chars=2)
+    found = detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), toggles=ONLY | {"email": True, "phone": True}, merge_gap=1, min_chars=2)
     return span_counts(found)
 
 
 def q_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All thirteen rules on all documents: merged spans with their texts."""
-    found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), toggles={"generic_id": True}, merge_gap=1, min_chars=2)
-    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", *_SPAN)
+    # before a plain explode Spark filters by the array's size: below the shuffle, and all rules run twice
+    found = detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), toggles={"generic_id": True}, merge_gap=1, min_chars=2)
+    return found.select("doc_id", F.explode_outer("spans").alias("s")).filter("s IS NOT NULL").select("doc_id", *_SPAN)
 
 
 #: Texts with a number of the key in them, what the rule finds there and how far into the text: type, before, found, after.
@@ -77,15 +78,15 @@ def _planted(column: str) -> str:
 
 def q_rules_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules on texts made of customer keys: the merged spans."""
-    keyed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    keyed = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
     texts = keyed.withColumn("ks", F.col("k").cast("string")).selectExpr("k", f"concat({_planted('before')}, {_planted('found')}, {_planted('after')}) AS text")
     found = detect(texts, toggles={"generic_id": True}, merge_gap=1, min_chars=2)
-    return found.select("k", F.explode("spans").alias("s")).select("k", *_SPAN)
+    return found.select("k", F.explode_outer("spans").alias("s")).filter("s IS NOT NULL").select("k", *_SPAN)
 
 
 def q_raw_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many matches each planted text has before cleaning."""
-    keyed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    keyed = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
     texts = keyed.selectExpr("k", "CASE k % 3 WHEN 0 THEN concat('nric T', lpad(CAST(k AS string), 7, '0'), 'b x') WHEN 1 THEN '九八一零，二三四五' ELSE concat('a', k, '@b.co a', k, '@c.co') END AS text")
     return texts.select("k", F.size(rule_spans(F.col("text"))).alias("n"))
 
