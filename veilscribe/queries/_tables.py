@@ -31,7 +31,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as scored utterances: the lines of an order are up to seven models."""
-    lines = table(spark, sf_dir, "lineitem")
+    # by order before all sums: a task's sums are those of its orders, where a row group's would be held whole
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines = table(spark, sf_dir, "lineitem").repartition(parts, "l_orderkey")
     return lines.groupBy(F.col("l_orderkey").alias("seg_id"), F.concat(F.lit("m"), F.col("l_linenumber")).alias("model")).agg(
         F.min("l_returnflag").alias("session"), F.min("l_linestatus").alias("language"), F.max(F.round(F.col("l_discount") * 500, 2)).alias("wer"), F.max(F.round(F.col("l_tax") * 700, 2)).alias("cer"),
         F.max("l_quantity").alias("audio_dur_sec"), F.max(F.round(F.col("l_extendedprice") / 5000, 2)).alias("inference_sec"), F.max(F.col("l_partkey") % 11).alias("hits"), F.max(F.col("l_suppkey") % 5).alias("substitutions"),
