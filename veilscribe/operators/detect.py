@@ -50,7 +50,8 @@ def model_output(make: Callable[[], Model]):
         model = make()
         number = lambda x: float(x) if isinstance(x, (int, float)) else None
         whole = lambda x: x if isinstance(x, int) else None
-        for texts in batches:
+        # a few texts at a time: what a model finds in a whole batch of texts may be much larger than the batch
+        for texts in (batch.iloc[k : k + 256] for batch in batches for k in range(0, len(batch), 256)):
             yield pd.Series([[{"label": e.get("entity_group") or e.get("entity"), "start": whole(e.get("start")), "end": whole(e.get("end")), "score": number(e.get("score"))} for e in model(t)] if t and t.strip() else [] for t in texts])
 
     return run
