@@ -121,9 +121,9 @@ def bio_items(sentences: DataFrame, allowed: list[str], *, spans_col: str | None
 def bio_scores(items: DataFrame) -> DataFrame:
     """split, item_id, lang, token counts, and the numbers of gold, predicted, right and wrong entities of each sentence."""
     c = labels.entity_counts(F.col("gold_set"), F.col("predicted_set"))
-    return items.select(
+    return items.withColumn("__c", c).select(
         "split", "item_id", "lang", "token_count", "token_correct", F.size("gold_set").alias("gold_entities"), F.size("predicted_set").alias("pred_entities"),
-        F.size(c["tp"]).alias("tp"), F.size(c["fp"]).alias("fp"), F.size(c["fn"]).alias("fn"),
+        F.size("__c.tp").alias("tp"), F.size("__c.fp").alias("fp"), F.size("__c.fn").alias("fn"),
     )
 
 
@@ -131,7 +131,8 @@ def bio_outcomes(items: DataFrame) -> DataFrame:
     """split, type, tp, fp, fn: a row for each entity that is right or wrong."""
     c = labels.entity_counts(F.col("gold_set"), F.col("predicted_set"))
     row = lambda tp, fp, fn: lambda e: F.struct(e["type"].alias("type"), F.lit(tp).alias("tp"), F.lit(fp).alias("fp"), F.lit(fn).alias("fn"))
-    return items.select("split", F.inline(F.concat(F.transform(c["tp"], row(1, 0, 0)), F.transform(c["fp"], row(0, 1, 0)), F.transform(c["fn"], row(0, 0, 1)))))
+    # before a plain inline Spark filters by the array's size, which finds all entities twice
+    return items.withColumn("__c", c).select("split", F.inline_outer(F.concat(F.transform("__c.tp", row(1, 0, 0)), F.transform("__c.fp", row(0, 1, 0)), F.transform("__c.fn", row(0, 0, 1))))).filter("tp IS NOT NULL")
 
 
 def bio_summary(scores: DataFrame, beta: float = 1.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilscribe.functions import distance, labels
 from veilscribe.functions.text import mixed_chars, mixed_words
 from veilscribe.operators import scoring, transcripts
-from veilscribe.queries._tables import SCORES_SQL, UTTERANCES_SQL, conversation_scores, rounded, table, utterances
+from veilscribe.queries._tables import SCORES_SQL, UTTERANCES_SQL, conversation_scores, rounded, spread, table, utterances
 
 _MODELS = [f"m{k}" for k in range(1, 8)]
 
@@ -109,7 +109,7 @@ def _tagged(spark, sf_dir):
     tag = lambda w: F.when(n(w) % 5 == 0, "B-PER").when(n(w) % 5 == 1, "I-PER").when(n(w) % 5 == 2, "i-LOC").otherwise("O")
     other = lambda w: F.when(n(w) % 5 == 0, "B-PER").when(n(w) % 7 == 1, "I-PER").otherwise("O")
     tokens = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\n]+"), lambda w: w != "")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", tokens.alias("tokens"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", tokens.alias("tokens"))
     return docs.select(F.col("doc_id").alias("item_id"), F.col("lang").alias("split"), "lang", "tokens", F.transform("tokens", tag).alias("gold_tag_names"), F.transform("tokens", other).alias("predicted"))
 
 
